@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters other than ASCII white space (20, 09-0D).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,6 +54,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def plus(schema: T.StructType, ddl: str) -> T.StructType:
+    """schema with the fields of a DDL string after its own."""
+    return T.StructType(schema.fields + T.StructType.fromDDL(ddl).fields)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over `links`, for each node that has a link.
 

@@ -1,4 +1,6 @@
 """Every registered query by name, and the SQL that states the same."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import corpus  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -55,7 +55,7 @@ def chosen(items: Column, key: Column, n: Column, order: Callable[[Column, Colum
 
 def subset_size(key: Column, n: Column, seed: int = 0) -> Column:
     """2 to n, by the key."""
-    spread = F.when(n > 1, F.pmod(key * 7919 + seed, n - 1)).otherwise(F.lit(0))
+    spread = F.when(n > 1, F.pmod(F.pmod(key, n - 1) * 7919 + seed, n - 1)).otherwise(F.lit(0))
     return (spread + 2).cast("int")
 
 

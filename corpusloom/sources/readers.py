@@ -37,7 +37,13 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType =
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns)).write.mode(mode).csv(path, quote='"', escape='"', lineSep="\r\n", emptyValue="")
+    """Headerless CSV as Python's csv module writes it: quotes where needed, new lines kept as they are."""
+
+    def cell(c: str) -> Column:
+        v = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        return F.when(v.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+
+    df.select(F.concat_ws(",", *map(cell, df.columns)).alias("value")).write.mode(mode).text(path, lineSep="\r\n")
 
 
 def read_recaptions(spark: SparkSession, path: str) -> DataFrame:

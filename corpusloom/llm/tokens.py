@@ -6,6 +6,8 @@ white-space pieces in a row; each piece is encoded by the library once and then
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 #: After a letter or digit these always start a new pre-token.
@@ -15,9 +17,16 @@ CACHE = 600_000
 END_ID = 1
 
 
-def _ends_in_letter(core: bytes) -> bool:
-    last = core[-1:] if core[-1] < 0x80 else core[-4:].decode(errors="ignore")[-1:]
-    return last.isalnum() and last < ("\u0250" if isinstance(last, str) else b"\x80")
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: itself if it prints in Latin-1, else the next free one from 256 on."""
+    printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printing]
+    return {b: chr(b) for b in printing} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+#: Letters under this one have no case, composition or normalisation that depends on their neighbours.
+PLAIN = "\u0130"
 
 
 class Pieces(dict):
@@ -25,20 +34,34 @@ class Pieces(dict):
 
     def __init__(self, vocab: str):
         super().__init__()
+        self.tails = {}  # ids of runs of closing punctuation
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocab)
+        self.word = self.tokenizer.model.tokenize
+        # special tokens hold more than letters, so no plain word is one
+        self.whole = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
 
     def __missing__(self, piece: bytes) -> bytes:
         core = piece.rstrip(TAIL)
-        if core and len(core) < len(piece) and _ends_in_letter(core):
-            ids = self[core] + self[piece[len(core) :]]
+        if core.isalpha():  # ASCII letters: one pre-token, which byte level leaves as it is
+            ids = [t.id for t in self.word(core.lower().decode())]
         else:
-            ids = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            text = core.decode()
+            if text.isalpha() and max(text) < PLAIN:
+                ids = [t.id for t in self.word(text.lower().encode().decode("latin-1").translate(_LETTERS))]
+            elif core and text[-1].isalnum() and text[-1] < PLAIN:
+                ids = self.whole(text)
+            else:  # letters and marks at the end may hang together
+                core, ids = piece, self.whole(piece.decode())
+        out = array("I", ids).tobytes()
+        if len(core) < len(piece):
+            tail = piece[len(core) :]
+            out += self.tails[tail] if tail in self.tails else self.tails.setdefault(tail, array("I", self.whole(tail.decode())).tobytes())
         if len(self) >= CACHE:
             self.clear()
-        self[piece] = ids
-        return ids
+        self[piece] = out
+        return out
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a whole text; none for null or empty ones."""

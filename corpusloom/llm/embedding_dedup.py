@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop, written
+from .common import components, written
 from .hnsw import Hnsw, unit
 from .vectors import matrix, usable
 
@@ -180,7 +180,6 @@ def near_duplicate_vectors(rows: DataFrame, cosine: float = COSINE, shard: int =
         joined = components(edges)
         result = found.join(more, ["node", "key"], "left").join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
         result = result.select("node", "key", (F.col("links") + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("component"))
-        drop(across)
     of_class = classes.select("label", "key", "key2", "node").join(result, ["node", "key"]).select("label", "key", "key2", "links", "component")
     linked_rows = base.where("ok").select("vec_id", "label", "key", "key2").join(of_class, ["label", "key", "key2"])
     out = linked_rows.select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))

@@ -1,25 +1,31 @@
 """b-bit MinHash near-duplicate detection with exact confirmation.
 
-1. Each document's set of five-word shingles (64-bit hashes) gives 256 minima. 51 bands of five
+1. Each document's set of five-word shingles (64-bit hashes) gives 256 minima. 40 bands of five
    minima are hashed to candidate keys; of every minimum the two low bits are kept and packed
    into eight longs.
 2. Documents with equal sets are one class; only its representative (smallest doc_id) goes on.
-3. In each key's bucket every member is paired with the bucket's smallest member, not with all.
-   Pairs whose similarity, estimated from bit counts of the packed signatures and corrected for
-   chance collisions, isn't clearly under the threshold are confirmed on the full sets.
-4. Buckets whose members then lie in different components are joined with themselves, for pairs
-   across components only, again by estimate and full sets; so no link is lost to step 3.
+3. Not all pairs of a key's bucket are made: each member proposes one partner, the smallest member
+   of the bucket's largest component so far, from the buckets that agree most. Pairs whose
+   similarity, estimated from bit counts of the packed signatures and corrected for chance
+   collisions, isn't clearly under the threshold are confirmed on the full sets. Two such rounds
+   join nearly all that belongs together.
+4. So that no link is lost to step 3, components that then still share buckets, and whose
+   estimates connect them, form clusters; each cluster's texts meet in blocks and full sets are
+   compared across components by matrix products. Pairs are never rows.
 5. Components of the confirmed links.
 
-At similarity 0.75 a pair shares no band with probability (1 - 0.75^5)^51 < 10^-6, and the
-estimate falls under MARGIN with about as much.
+At similarity 0.75 a pair shares no band with probability (1 - 0.75^5)^40 = 2 * 10^-5 (at 0.8,
+10^-7), and the estimate falls under MARGIN with 10^-5.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +33,15 @@ from pyspark.sql import functions as F
 from .common import components, drop, written
 
 SHINGLE = 5
-PERMUTATIONS, BANDS, ROWS = 256, 51, 5
+PERMUTATIONS, BANDS, ROWS = 256, 40, 5
 BITS = 2
 WORDS = PERMUTATIONS * BITS // 64
 #: Estimates have a standard deviation of 0.033 at similarity 0.75.
 MARGIN = 0.15
+#: Rounds of proposals before the rest is compared in blocks of so many documents.
+ROUNDS = 2
+MEETING = 512
+SHINGLES_AT_ONCE = 4096
 SIMILARITY = 0.75
 
 _rng = np.random.default_rng(20240229)
@@ -106,8 +116,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             n, cs, bands, sigs = [], [], [], []
-            for text in b.column(1).to_pylist():
-                s = shingle_set(text)
+            for text in b.column(1):
+                s = shingle_set(text.as_py())
                 low = minima(s)
                 n.append(len(s))
                 cs.append(np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64))
@@ -120,48 +130,157 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, SKETCH)
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, c1, full (the set as bytes) of docs (doc_id, text)."""
+#: Document ids that are broadcast to pick texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
 
-        for b in batches:
-            found = [shingle_set(t).tobytes() for t in b.column(1).to_pylist()]
-            if found:
-                c1 = [int(np.frombuffer(xxh3_128_digest(s), np.int64)[0]) for s in found]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c1, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "c1", "full"])
-
-    return docs.mapInArrow(sets, "doc_id long, c1 long, full binary")
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text of the documents wanted (doc_id)."""
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(wanted, "doc_id", "left_semi"), "texts")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, ca, b, cb) those (a, b) whose full sets are similar enough."""
+    """Of pairs (a, b) those whose full sets are similar enough."""
     hundred = round(100 * similarity)
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    full = written(full_sets(rows.join(wanted, "doc_id", "left_semi")), "sets")
-    both = pairs
-    for x in "ab":
-        both = both.join(full.select(F.col("doc_id").alias(x), F.col("c1").alias(f"c{x}"), F.col("full").alias(f"full_{x}")), [x, f"c{x}"])
+    texts = _texts(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
         for t in batches:
             keep = []
             for x, y in zip(t.column(2), t.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(p), len(q)) < hundred * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
+                x = x.as_py()
+                p = last[1] if x == last[0] else shingle_set(x)
+                last = (x, p)
+                q = shingle_set(y.as_py())
                 common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
                 keep.append(100 * common >= hundred * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays(list(t.columns[:2]), ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    out = written(both.select("a", "b", "full_a", "full_b").mapInArrow(confirm, "a long, b long").distinct(), "confirmed")
-    drop(full)
+    out = written(both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long").distinct(), "confirmed")
+    drop(texts)
     return out
 
 
+def _bucket_edges(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b): edges between components that join those of a bucket whose members' estimates reach
+    `least`. rows: key, component and signature. No more edges leave a bucket than it has members."""
+    names = ["key", "component", *(f"s{i}" for i in range(WORDS))]
+    most = math.floor(PERMUTATIONS * (1 - 2.0**-BITS) * (1 - least))  # differing lanes
+
+    def edges(c: np.ndarray, s: np.ndarray) -> Iterator[tuple[int, int]]:
+        # breadth first; each member is held only against those not yet reached
+        left = np.arange(len(c))
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                i = queue.pop()
+                z = s[left] ^ s[i]
+                differ = np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1)
+                same = c[left] == c[i]
+                hit = same | (differ <= most)
+                for x in np.unique(c[left[hit & ~same]]).tolist():
+                    yield int(c[i]), x
+                queue += left[hit].tolist()
+                left = left[~hit]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in chain(batches, [None]):
+            t = rest if b is None else np.array([b.column(i).to_numpy() for i in range(len(names))]).T if rest is None else np.vstack([rest, np.array([b.column(i).to_numpy() for i in range(len(names))]).T])
+            if t is None or not len(t):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], t[1:, 0] != t[:-1, 0]]))
+            # the last group goes on in the next batch
+            stop = len(t) if b is None else starts[-1]
+            found = set()
+            for i, j in zip(starts, [*starts[1:], len(t)], strict=True):
+                if i < stop:
+                    found.update(edges(t[i:j, 1], np.ascontiguousarray(t[i:j, 2:]).view(np.uint64)))
+            rest = t[stop:]
+            if found:
+                x, y = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    return rows.select(names).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_pairs(one: list[np.ndarray], two: list[np.ndarray], hundred: int) -> np.ndarray:
+    """Matrix of whether sets are similar enough, by products over the shingles that both sides share."""
+    n, m = np.array([len(s) for s in one]), np.array([len(s) for s in two])
+    p, q = np.concatenate(one), np.concatenate(two)
+    at_p, at_q = np.repeat(np.arange(len(one)), n), np.repeat(np.arange(len(two)), m)
+    known = np.intersect1d(p, q)
+    common = np.zeros((len(one), len(two)), np.float32)
+    for i in range(0, len(known), SHINGLES_AT_ONCE):
+        k = known[i : i + SHINGLES_AT_ONCE]
+        sides = []
+        for h, at, size in ((p, at_p, len(one)), (q, at_q, len(two))):
+            col = np.minimum(np.searchsorted(k, h), len(k) - 1)
+            ok = k[col] == h
+            x = np.zeros((size, len(k)), np.float32)
+            x[at[ok], col[ok]] = 1
+            sides.append(x)
+        common += sides[0] @ sides[1].T
+    common = np.rint(common).astype(np.int64)
+    return 100 * common >= hundred * (n[:, None] + m[None, :] - common)
+
+
+def _across(docs: DataFrame, rows: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame | None:
+    """Links between components of rows (key, rep, component), found without making pairs.
+
+    Components that estimates connect form a cluster. Its members' texts meet in blocks of a bounded
+    number: those of the largest component (A) with the rest (X), and the rest with itself; within the
+    largest nothing is left to find. In each meeting full sets are compared, and one link is reported
+    for components it joins.
+    """
+    hundred = round(100 * similarity)
+    edges = written(_bucket_edges(rows.join(sigs, "rep"), similarity - MARGIN), "edges")
+    if edges.isEmpty():
+        drop(edges)
+        return None
+    cluster = written(components(edges), "clusters")
+    drop(edges)
+    members = rows.select("rep", "component").distinct().join(cluster.toDF("component", "cluster"), "component")
+    members = written(members, "members")
+    sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("a"), F.sum("n").alias("n"))
+    blocks = lambda c: F.ceil(c / MEETING).cast("int")
+    sizes = sizes.select("cluster", "largest", blocks(F.col("n") - F.col("a")).alias("xs"), blocks(F.col("a")).alias("as"))
+    placed = members.join(sizes, "cluster").withColumn("inner", F.col("component") == F.col("largest"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("inner"), F.col("as")).otherwise(F.col("xs"))).cast("int"))
+    # meetings (i, j): block i of X with block j of X (0 to xs - 1, i <= j) or block j - xs of A
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    meet = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    block, xs = F.col("block"), F.col("xs")
+    of_a = F.transform(every(xs), lambda i: meet(i, xs + block, 1))
+    first = F.transform(F.sequence(block, xs + F.col("as") - 1), lambda j: meet(block, j, 0))
+    second = F.transform(F.filter(every(xs), lambda i: i <= block), lambda i: meet(i, block, 1))
+    placed = placed.select("cluster", "component", "rep", F.explode(F.when(F.col("inner"), of_a).otherwise(F.concat(first, second))).alias("m")).select("cluster", "component", "rep", "m.*")
+    texts = _texts(docs, members.select(F.col("rep").alias("doc_id")).distinct())
+    units = placed.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        out = []
+        if len(one) and len(two):
+            like = similar_pairs([shingle_set(t) for t in one["text"]], [shingle_set(t) for t in two["text"]], hundred)
+            c, d = one["component"].to_numpy(), two["component"].to_numpy()
+            a, b = np.nonzero(like & (c[:, None] != d[None, :]))
+            names, reps = pd.Series(c[a]).combine(pd.Series(d[b]), lambda x, y: (min(x, y), max(x, y))), {}
+            for k, x, y in zip(names, one["rep"].to_numpy()[a], two["rep"].to_numpy()[b], strict=True):
+                reps.setdefault(k, (x, y))
+            out = list(reps.values())
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    more = written(units.groupBy("cluster", "i", "j").applyInPandas(verify, "a long, b long").distinct(), "confirmed")
+    drop(texts, members, cluster)
+    return more
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for docs (doc_id, text), one row a row.
 
@@ -173,44 +292,51 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     sig = [f"s{i}" for i in range(WORDS)]
     all_docs = written(sketches(docs), "sketches")
     sets = all_docs.where("n_shingles > 0 and doc_id is not null")
-    classes = written(sets.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), *(F.min_by(s, "doc_id").alias(s) for s in sig)), "classes")
-    members = classes.select("rep", "c1", F.explode("bands").alias("key"))
-    hubs = members.groupBy("key").agg(F.min_by(F.struct("rep", "c1"), F.struct("rep", "c1")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    classes = sets.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), *(F.min_by(s, "doc_id").alias(s) for s in sig))
+    classes = written(classes, "classes")
+    members = classes.select("rep", F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    active = written(members.join(shared, "key"), "buckets")
 
     def estimated(pairs: DataFrame) -> DataFrame:
         for x in "ab":
-            pairs = pairs.join(classes.select(F.col("rep").alias(x), F.col("c1").alias(f"c{x}"), *(F.col(s).alias(f"{x}{s}") for s in sig)), [x, f"c{x}"])
+            pairs = pairs.join(classes.select(F.col("rep").alias(x), *(F.col(s).alias(f"{x}{s}") for s in sig)), x)
         good = estimate([F.col(f"a{s}") for s in sig], [F.col(f"b{s}") for s in sig]) >= similarity - MARGIN
-        return pairs.where(good).select("a", "ca", "b", "cb")
-
-    near = members.join(hubs, "key").select(F.col("hub.rep").alias("a"), F.col("hub.c1").alias("ca"), F.col("rep").alias("b"), F.col("c1").alias("cb")).where("a <> b or ca <> cb").distinct()
-    tried = written(estimated(near), "pairs")
-    links = _confirmed(docs, tried, similarity)
-    found = written(components(links), "components")
-
-    # buckets that hold several components
-    placed = members.join(found, members.rep == found.node, "left").select("key", "rep", "c1", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    left = placed.join(mixed, "key", "left_semi").join(classes.drop("bands", "c2"), ["rep", "c1"])
-    one, two = left.alias("one"), left.alias("two")
-    good = estimate([F.col(f"one.{s}") for s in sig], [F.col(f"two.{s}") for s in sig]) >= similarity - MARGIN
-    across = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.component") < F.col("two.component")) & good)
-    across = across.select(F.col("one.rep").alias("a"), F.col("one.c1").alias("ca"), F.col("two.rep").alias("b"), F.col("two.c1").alias("cb")).distinct()
-    done = tried.union(tried.select(F.col("b").alias("a"), F.col("cb").alias("ca"), F.col("a").alias("b"), F.col("ca").alias("cb")))
-    more = written(across.join(done, ["a", "ca", "b", "cb"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        late = _confirmed(docs, more, similarity)
-        if not late.isEmpty():
-            old = found
-            joined = links.union(late)
-            found = written(components(joined), "components")
-            drop(old)
-        drop(late)
-    drop(tried, more, links)
-
-    class_of = classes.select("c1", "c2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("class_component"))
-    out = sets.select("doc_id", "n_shingles", "c1", "c2").join(class_of, ["c1", "c2"])
-    # the smallest doc_id of a class is its representative, so components' smallest nodes are smallest documents
-    out = out.select("doc_id", "n_shingles", F.col("class_component").alias("component_id"))
+        return pairs.where(good).select("a", "b").distinct()
+
+    def placed(found: DataFrame | None) -> DataFrame:
+        """Members of buckets that hold several components, with their components."""
+        rows = active.withColumn("component", F.col("rep")) if found is None else active.join(found, active.rep == found.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        return rows if found is None else rows.join(mixed, "key")
+
+    def proposed(rows: DataFrame) -> DataFrame:
+        """(a, b): for each member b one a of another component: the smallest of the bucket's largest
+        component, from the buckets that agree most."""
+        by_part = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("rep").alias("a"))
+        hub = by_part.groupBy("key").agg(F.min_by(F.struct("a", "component"), F.struct(-F.col("n"), "component")).alias("hub"))
+        votes = rows.join(hub, "key").where("component <> hub.component").groupBy(F.col("hub.a").alias("a"), F.col("rep").alias("b")).count()
+        return votes.groupBy("b").agg(F.min_by("a", F.struct(-F.col("count"), "a")).alias("a")).select("a", "b")
+
+    found, links = None, None
+    for no in range(ROUNDS + 1):
+        rows = written(placed(found), "placed")
+        if no < ROUNDS:
+            pairs = written(estimated(proposed(rows)), "pairs")
+            more = None if pairs.isEmpty() else _confirmed(docs, pairs, similarity)
+            drop(pairs)
+        else:
+            more = _across(docs, rows, classes.select("rep", *sig), similarity)
+        drop(rows)
+        if more is None:
+            continue
+        links = more if links is None else links.union(more)
+        found = written(components(links), "components")
+
+    if found is None:
+        found = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
+    class_of = classes.select("c1", "c2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
+    # the smallest doc_id of a class is its representative, so a component's smallest node is its smallest document
+    out = sets.select("doc_id", "n_shingles", "c1", "c2").join(class_of, ["c1", "c2"]).select("doc_id", "n_shingles", "component_id")
     alone = all_docs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -1,57 +1,18 @@
-"""Shared pieces of the training-data operators: the shared folder, tables written there to cut
-lineage, components of a link table."""
+"""Shared pieces of the training-data operators: components of a link table, schemas, words; and from
+the library, tables written to the shared folder."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A word is a run of characters other than ASCII white space (20, 09-0D).
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; where the setting is
-    absent (tests on one machine) a temporary one, which is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/corpusloom/{re.sub('[^a-z0-9]+', '-', tag)}-{uuid.uuid4().hex}"
+from ..storage import drop, new_path, written
 
+__all__ = ["WORD", "components", "drop", "new_path", "plus", "written"]
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back: lineage ends there, and a lost
-    executor costs nothing. `path_of` gives its path, `drop` deletes it."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables that `written` made, once nothing reads them."""
-    for t in tables:
-        drop_path(t.sparkSession, t.written_path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+#: A word is a run of characters other than ASCII white space (20, 09-0D).
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def plus(schema: T.StructType, ddl: str) -> T.StructType:
@@ -59,7 +20,7 @@ def plus(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType(schema.fields + T.StructType.fromDDL(ddl).fields)
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over `links`, for each node that has a link.
 
     Alternating large-star and small-star rounds: each node's larger neighbours, then its smaller
@@ -83,11 +44,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
 
     edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
     seen = None
-    for _ in range(most):
+    while True:
         nxt = written(star(star(edges, True), False), "stars")
         drop(edges)
         edges = nxt
-        now = tuple(edges.agg(F.count("*"), F.sum("v"), F.sum(F.hash("u", "v").cast("long"))).first())
+        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == seen:
             break
         seen = now

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(folds: int, remainder: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == remainder, F.lit(False))
+
+
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import near_duplicate_vectors
 
@@ -64,7 +68,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     found = identify_language(docs.select("doc_id", "text"), train(docs))
-    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score", F.array_join("langs", ",").alias("langs"))
+    return found.select("doc_id", _fold(4, 2).alias("held_out"), "lang_pred", "score", F.array_join("langs", ",").alias("langs"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +90,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = score_toxicity(docs, train(docs, _table(spark, sf_dir, "labels")))
-    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", _fold(5, 0).alias("held_out"), "score", "predicted")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

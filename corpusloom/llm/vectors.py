@@ -21,7 +21,16 @@ def matrix(column) -> np.ndarray:
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of each row of a with the same row of b, the same bits for the same vectors anywhere."""
-    a = a / np.abs(a).max(axis=1, keepdims=True)
-    b = b / np.abs(b).max(axis=1, keepdims=True)
-    dot = np.array([float((x * y).sum()) for x, y in zip(a, b, strict=True)])
-    return dot / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+
+    def plain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        dot = np.array([float((x * y).sum()) for x, y in zip(a, b, strict=True)])
+        return dot / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+
+    with np.errstate(all="ignore"):
+        out = plain(a, b)
+    # vectors so long or short that their squares don't fit
+    top = np.abs(a).max(axis=1), np.abs(b).max(axis=1)
+    odd = ~((top[0] > 1e-100) & (top[0] < 1e100) & (top[1] > 1e-100) & (top[1] < 1e100))
+    if odd.any():
+        out[odd] = plain(a[odd] / top[0][odd, None], b[odd] / top[1][odd, None])
+    return out

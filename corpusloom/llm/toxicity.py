@@ -80,11 +80,10 @@ class Distance:
         import zstandard as z
 
         p = z.ZstdCompressionParameters(window_log=15, chain_log=14, hash_log=14, search_log=5, min_match=4, target_length=32, strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
-        # the ordinary part comes last in both, so it lies as near to the window either way
+        # the ordinary part lies as far from the window in both, the toxic one near it
         raw = lambda x: z.ZstdCompressionDict(x, dict_type=z.DICT_TYPE_RAWCONTENT)
-        pad = b" " * 8
-        self.one = z.ZstdCompressor(dict_data=raw(pad + ordinary), compression_params=p)
-        self.both = z.ZstdCompressor(dict_data=raw(toxic + pad + ordinary), compression_params=p)
+        self.one = z.ZstdCompressor(dict_data=raw(ordinary + bytes(max(8, len(toxic)))), compression_params=p)
+        self.both = z.ZstdCompressor(dict_data=raw(ordinary + (toxic or bytes(8))), compression_params=p)
 
     def features(self, text: str | None) -> list[float]:
         """Mean, largest and second largest saving of the windows, share of clear savings, log of the windows."""
@@ -176,7 +175,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
         d = Distance(held.value.toxic, held.value.ordinary)
         for b in batches:
             if b.num_rows:
-                x = np.array([d.features(t) for t in b.column(at).to_pylist()], float)
+                x = np.array([d.features(t.as_py()) for t in b.column(at)], float)
                 s = held.value.scores(x)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(x[:, 1])], [*b.schema.names, "score", "predicted", "top_saving"])
 

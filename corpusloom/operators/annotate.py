@@ -153,3 +153,17 @@ def average_lengths(stats: DataFrame) -> DataFrame:
     """Average prompt and output length by task and lang of long statistics (measure, task, lang, value)."""
     wide = stats.groupBy("task", "lang").pivot("measure", ["total_prompt_count", "total_output_count", "sample_count"]).sum("value")
     return wide.select("task", "lang", (F.col("total_prompt_count") / F.col("sample_count")).alias("avg_prompt"), (F.col("total_output_count") / F.col("sample_count")).alias("avg_output"))
+
+
+def encoded(annotations: Column) -> Column:
+    """Annotations as the bytes a shard member holds."""
+    return F.to_json(annotations).cast("binary")
+
+
+def decoded(data: Column) -> Column:
+    """Annotations of a shard member's bytes; null if they can't be read."""
+    return F.from_json(data.cast("string"), f"array<{ANNOTATION}>")
+
+
+def first_annotation(data: Column) -> Column:
+    return F.get(data, F.lit(0))

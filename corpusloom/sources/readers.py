@@ -170,3 +170,22 @@ def synthetic(spark: SparkSession, n: int, tokens: int = 8, vocabulary: int = 10
     """n copies of one random sample, for trial runs."""
     ids = F.array(*(F.lit(x) for x in random.Random(seed).choices(range(vocabulary), k=tokens)))
     return spark.range(n).select("id", ids.alias("input_ids"), F.array_repeat(F.lit(1), tokens).alias("attention_mask"), ids.alias("labels"))
+
+
+def process_pending(spark: SparkSession, inputs: list[str], output: str, schema: str, make) -> list[str]:
+    """Runs make on the rows of each Parquet input that has no output yet and writes it under its name.
+
+    All pending inputs are one job; outputs are folders in_file=<name> that appear when the job
+    commits, so what a failed run left out is done by the next. Returns the inputs done.
+    """
+    name = lambda p: p.rstrip("/").rpartition("/")[2]
+    todo = [p for p in inputs if not exists(spark, f"{output}/in_file={name(p)}")]
+    if todo:
+        rows = spark.read.schema(schema).parquet(*todo).withColumn("in_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+        make(rows).write.mode("append").partitionBy("in_file").parquet(output)
+    return todo
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A small table as one JSON file."""
+    df.coalesce(1).write.mode("overwrite").json(path)

@@ -17,7 +17,8 @@ import zlib
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,6 +114,16 @@ def settled(copies: list[int], size: list[int], target: float, most: int) -> lis
         off += step * size[i]
 
 
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *_keys())
+
+
+def _keys() -> list[Column]:
+    """128 bits that tell rows apart by doc_id, source and text."""
+    parts = [F.col("doc_id"), F.coalesce("source", F.lit("")), F.col("source").isNull(), F.col("text")]
+    return [F.xxhash64(*parts).alias("__k1"), F.xxhash64(F.lit(1), *parts).alias("__k2")]
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """docs (doc_id, text, source and any other columns) with size, source_size, target and copies.
 
@@ -120,17 +131,24 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     size 0 and fly like the others; a null source is a source of its own. A source without words
     takes each of its rows once. Repeated rows are units of their own. Columns of docs named like
     those added are replaced. Equal inputs give equal results. An empty table gives no rows.
+
+    Decisions are made on rows without texts and joined to docs by a hash of the row; rows that are
+    equal share their copies evenly.
     """
-    spark = docs.sparkSession
     added = ["size", "source_size", "target", "copies"]
-    rows = docs.drop(*added).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    return _mixed(spark, rows, weights, most, block)
+    docs = docs.drop(*added)
+    made = _mixed(docs.sparkSession, written(_slim(docs), "sizes"), weights, most, block)
+    made = made.groupBy("__k1", "__k2").agg(*(F.first(c).alias(c) for c in added[:3]), F.sum("copies").alias("__sum"), F.count("*").alias("__n"))
+    w = W.partitionBy("__k1", "__k2").orderBy("__k1")
+    rows = docs.select("*", *_keys()).withColumn("__i", F.row_number().over(w)).join(made, ["__k1", "__k2"])
+    copies = F.expr("__sum div __n + if(__i <= __sum % __n, 1, 0)").cast("long")
+    return rows.select(*docs.columns, *added[:3], copies.alias("copies"))
 
 
 def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """Like mix_sources, without carrying the texts: doc_id, source, size, source_size, target, copies."""
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    return _mixed(docs.sparkSession, written(rows, "sizes"), weights, most, block)
+    """Like mix_sources, without the texts: doc_id, source, size, source_size, target, copies."""
+    made = _mixed(docs.sparkSession, written(_slim(docs), "sizes"), weights, most, block)
+    return made.drop("__k1", "__k2")
 
 
 def _mixed(spark, rows: DataFrame, weights: tuple[int, ...], most: int, block: int) -> DataFrame:
@@ -142,18 +160,21 @@ def _mixed(spark, rows: DataFrame, weights: tuple[int, ...], most: int, block: i
         "source string, source_size long, target double, ratio double, blocks long",
     )
     names = rows.columns
-    rest = [c for c in ("doc_id", "text") if c in names]
     rows = rows.alias("d").join(F.broadcast(plan.alias("p")) if len(of) < 100_000 else plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    rows = rows.select(*(F.col(f"d.{c}") for c in names), "source_size", "target", F.floor("ratio").alias("copies"), (F.col("ratio") - F.floor("ratio")).alias("__p"), F.xxhash64(*(F.col(f"d.{c}") for c in rest)).alias("__tie"), "blocks")
+    rows = rows.select(*(F.col(f"d.{c}") for c in names), "source_size", "target", F.floor("ratio").alias("copies"), (F.col("ratio") - F.floor("ratio")).alias("__p"), F.col("d.__k1").alias("__tie"), "blocks")
     rows = rows.withColumn("__block", F.pmod(F.xxhash64("__tie"), F.col("blocks"))).drop("blocks")
     schema = T.StructType([f for f in rows.schema])
 
+    def in_order(t: pd.DataFrame) -> pd.DataFrame:
+        return t.sort_values(["size", "__tie"], ascending=[False, True], kind="stable").reset_index(drop=True)
+
     def fly(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["size", "__tie"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        t = in_order(t)
         t["__p"] = flight(t["__p"].tolist(), t["size"].tolist(), repr(key))
         return t
 
     def land(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        t = in_order(t)
         goal = float((t["size"] * (t["copies"] + t["__p"])).sum())
         t = fly(key, t)
         t["__p"] = landing(t["__p"].tolist(), t["size"].tolist())

@@ -6,6 +6,8 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,16 +21,24 @@ from corpusloom.llm.packing import pack_documents
 LEAST_SHARE = 0.2
 
 
+def _judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], keep: tuple[str, ...] = ("text",)) -> DataFrame:
+    """The rows that judge passes on, with the columns they came with, whatever names it uses itself."""
+    rest = [c for c in docs.columns if c not in keep]
+    out = judge(docs.select(*keep, F.struct(*rest).alias("__rest")))
+    return out.select(*(F.col(c) if c in keep else F.col(f"__rest.`{c}`").alias(c) for c in docs.columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those no language has a clear share in."""
-    found = languages.identify_language(docs, languages.train(docs))
-    return found.where((F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    model = languages.train(docs)
+    clear = (F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= LEAST_SHARE)
+    return _judged(docs, lambda d: languages.identify_language(d, model).where(clear))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents predicted toxic by a model of the labelled ones."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_toxicity(docs, model).where("predicted = 0").select(docs.columns)
+    return _judged(docs, lambda d: toxicity.score_toxicity(d, model).where("predicted = 0"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +54,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as its source's target weight asks for."""
-    mixed = mix_sources(docs)
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    repeated = lambda d: mix_sources(d).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return _judged(docs, repeated, ("doc_id", "source", "text"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,13 +3,18 @@ the library, tables written to the shared folder."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import drop, new_path, written
 
-__all__ = ["WORD", "components", "drop", "new_path", "plus", "written"]
+__all__ = ["WORD", "components", "drop", "lean", "new_path", "plus", "written"]
 
 #: A word is a run of characters other than ASCII white space (20, 09-0D).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,6 +25,22 @@ def plus(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType(schema.fields + T.StructType.fromDDL(ddl).fields)
 
 
+def lean(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of a task's batches, so that results aren't gathered for many rows at once; at the end
+    of the task the memory it took goes back, as the worker process lives on."""
+    try:
+        for b in batches:
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another libc
+            pass
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over `links`, for each node that has a link.
 

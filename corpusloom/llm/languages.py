@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plus
+from .common import lean, plus
 
 #: Training takes about this many documents of a language, picked by a hash of doc_id.
 SAMPLE = 2000
+#: Languages learned: those with the most rows, so that the model's size is bounded.
+LANGUAGES = 128
 BINS = 1 << 15
 ROUNDS = 12
 #: A further language must raise the log-likelihood by this many times log(n-grams) and have this share.
@@ -85,7 +87,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from docs (doc_id, text, lang), rows with null lang or crc32(doc_id) mod 4 = 2 excepted."""
     spark = docs.sparkSession
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    counts = {r.lang: r["count"] for r in most.collect()}
     if not counts:
         return Model([], np.zeros((BINS, 0)))
     langs = sorted(counts)
@@ -94,8 +97,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for b in lean(batches):
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = text.as_py()
                 if has_letter(text):
                     # of equal weight, so that one long document isn't a language
                     c = bins(text)
@@ -122,9 +126,9 @@ def identify_language(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             if b.num_rows:
-                found = [held.value.infer(t) for t in b.column(at).to_pylist()]
+                found = [held.value.infer(t.as_py()) for t in b.column(at)]
                 cols = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "lang_pred", "score", "langs", "shares"])
 

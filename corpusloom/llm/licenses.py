@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import plus
+from .common import lean, plus
 
 #: Phrases that count exactly, word by word, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -128,10 +128,10 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFra
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scanner(notices)
-        for b in batches:
+        for b in lean(batches):
             rows = []
-            for text in b.column(at).to_pylist():
-                n, starts, base, spans = s.scan(text)
+            for text in b.column(at):
+                n, starts, base, spans = s.scan(text.as_py())
                 best = max([1.0 if starts else 0.0, *(1 - e / len(x) for x, _, _, _, e in spans)])
                 labels = sorted({*base, *(x[1] for x in spans)})
                 keys = ("notice", "label", "first_word", "last_word", "edits")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop, written
+from .common import components, drop, lean, written
 
 SHINGLE = 5
 PERMUTATIONS, BANDS, ROWS = 256, 40, 5
@@ -114,7 +114,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        for b in batches:
+        for b in lean(batches):
             n, cs, bands, sigs = [], [], [], []
             for text in b.column(1):
                 s = shingle_set(text.as_py())
@@ -149,7 +149,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFram
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
-        for t in batches:
+        for t in lean(batches):
             keep = []
             for x, y in zip(t.column(2), t.column(3), strict=True):
                 x = x.as_py()

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .tokens import END_ID, default_vocab, pieces, sentence_ends
 
 WINDOW = 2048
@@ -166,9 +167,9 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, vocab: str | None = No
         packer = Packer(sentence_ends(vocab), window, TaskContext.get().partitionId() << 33)
         end = np.array([end_id], "<u4").tobytes()
         rows: list[tuple] = []
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows.extend(packer.add(doc_id, np.frombuffer(cache.ids(text) + end, "<u4")))
+        for b in lean(batches):
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows.extend(packer.add(doc_id, np.frombuffer(cache.ids(text.as_py()) + end, "<u4")))
             yield from _batch(rows)
             rows = []
         yield from _batch(list(packer.flush()))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import lean, new_path
 from .tokens import END_ID, default_vocab, pieces
 
 MAGIC = b"CLTOKEF1"
@@ -199,10 +199,10 @@ def write_token_files(docs: DataFrame, path: str, vocab: str | None = None, end_
         no = TaskContext.get().partitionId()
         name = f"{path}/tokens-{no:06d}.cltok"
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for b in lean(batches):
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 out = out or Writer(name, width)
-                out.add(doc_id, np.frombuffer(cache.ids(text) + end, "<u4"))
+                out.add(doc_id, np.frombuffer(cache.ids(text.as_py()) + end, "<u4"))
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [no], "file": [name], "docs": [len(out.ends)], "tokens": [out.n_tokens]})

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus
+from .common import lean, plus
 
 #: Training takes at most this many rows of each class, of texts up to so many characters.
 SAMPLE, SAMPLE_CHARS = 2000, 20_000
@@ -173,7 +173,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = Distance(held.value.toxic, held.value.ordinary)
-        for b in batches:
+        for b in lean(batches):
             if b.num_rows:
                 x = np.array([d.features(t.as_py()) for t in b.column(at)], float)
                 s = held.value.scores(x)

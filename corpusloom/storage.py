@@ -46,3 +46,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables written so far by anyone into the shared folder's `corpusloom` part; only
+    when no result that reads them is needed any more."""
+    drop_path(spark, f"{shared_dir(spark)}/corpusloom")

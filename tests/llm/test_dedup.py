@@ -79,6 +79,38 @@ def test_near_duplicates_against_all_pairs(spark):
     assert near(spark, rows) == plain_duplicates(rows)
 
 
+def underestimated(n):
+    """Pairs of short texts of similarity 0.75 exactly whose estimates fall under the margin."""
+    rng, out = np.random.default_rng(12), []
+    while len(out) < n:
+        words = [f"w{rng.integers(1 << 30)}" for _ in range(8)]
+        p, q = " ".join(words[:7]), " ".join(words)
+        x, y = (M.packed(M.minima(M.shingle_set(t))).view(np.uint64) for t in (p, q))
+        z = x ^ y
+        differ = np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum()
+        if (1 - differ / M.PERMUTATIONS - 0.25) / 0.75 < M.SIMILARITY - M.MARGIN:
+            out.append((p, q))
+    return out
+
+
+def test_small_sets_are_confirmed_whatever_the_estimate(spark):
+    pairs = underestimated(12)
+    rows = list(enumerate(t for pair in pairs for t in pair))
+    got = near(spark, rows)
+    assert got == plain_duplicates(rows)
+    assert len({r[2] for r in got}) == len(pairs)
+
+
+def test_small_sets_of_a_bucket_are_joined_whatever_the_estimate(spark):
+    rows = []
+    for i, pair in enumerate(underestimated(3)):
+        for j, t in enumerate(pair):
+            s = M.shingle_set(t)
+            rows.append((i, 2 * i + j, len(s), *M.packed(M.minima(s)).tolist()))
+    df = spark.createDataFrame(rows, "key long, component long, n_shingles long, " + ", ".join(f"s{i} long" for i in range(M.WORDS)))
+    assert {frozenset((r.a, r.b)) for r in M._bucket_edges(df, M.SIMILARITY).collect()} == {frozenset((2 * i, 2 * i + 1)) for i in range(3)}
+
+
 def test_chain_of_edits_is_one_component(spark):
     words = [f"w{i}" for i in range(120)]
     rows = []

@@ -1,6 +1,6 @@
 """b-bit MinHash near-duplicate detection with exact confirmation.
 
-1. Each document's set of five-word shingles (64-bit hashes) gives 256 minima. 40 bands of five
+1. Each document's set of five-word shingles (64-bit hashes) gives 256 minima. 51 bands of five
    minima are hashed to candidate keys; of every minimum the two low bits are kept and packed
    into eight longs.
 2. Documents with equal sets are one class; only its representative (smallest doc_id) goes on.
@@ -15,8 +15,8 @@
    blocks and full sets are compared across components by matrix products. Pairs are never rows.
 5. Components of the confirmed links.
 
-At similarity 0.75 a pair shares no band with probability (1 - 0.75^5)^40 = 2 * 10^-5 (at 0.8,
-10^-7). From SMALL shingles on its estimate falls under MARGIN with about 10^-5 (simulated: none of
+At similarity 0.75 a pair shares no band with probability (1 - 0.75^5)^51 = 10^-6 (at 0.8,
+10^-9). From SMALL shingles on its estimate falls under MARGIN with about 10^-5 (simulated: none of
 15,000 pairs of 64 and 100 shingles; without the exception for small sets it was 1.6 % of pairs with
 3 of 4 shingles in common, 0.2 % with 6 of 8, 0.07 % with 9 of 12).
 """
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import components, drop, lean, written
 
 SHINGLE = 5
-PERMUTATIONS, BANDS, ROWS = 256, 40, 5
+PERMUTATIONS, BANDS, ROWS = 256, 51, 5
 BITS = 2
 WORDS = PERMUTATIONS * BITS // 64
 #: Estimates of sets that aren't small have a standard deviation of 0.033 at similarity 0.75.

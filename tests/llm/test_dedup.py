@@ -111,6 +111,17 @@ def test_small_sets_of_a_bucket_are_joined_whatever_the_estimate(spark):
     assert {frozenset((r.a, r.b)) for r in M._bucket_edges(df, M.SIMILARITY).collect()} == {frozenset((2 * i, 2 * i + 1)) for i in range(3)}
 
 
+def test_bands_use_all_whole_rows_of_minima():
+    low = M.minima(M.shingle_set("a b c d e f g h"))
+    keys = M.band_keys(low)
+    assert len(keys) == M.PERMUTATIONS // M.ROWS
+    for i in range(len(keys) * M.ROWS):
+        other = low.copy()
+        other[i] += np.uint32(1)
+        assert np.flatnonzero(M.band_keys(other) != keys).tolist() == [i // M.ROWS]
+    assert (1 - M.SIMILARITY**M.ROWS) ** len(keys) < 2e-6
+
+
 def test_chain_of_edits_is_one_component(spark):
     words = [f"w{i}" for i in range(120)]
     rows = []

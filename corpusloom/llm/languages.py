@@ -20,13 +20,15 @@ from .common import lean, plus
 
 #: Training takes about this many documents of a language, picked by a hash of doc_id.
 SAMPLE = 2000
-#: Languages learned: those with the most rows, so that the model's size is bounded.
-LANGUAGES = 128
 BINS = 1 << 15
+#: A training task hands its counts on when it holds so many.
+HELD = 1 << 20
 ROUNDS = 12
 #: A further language must raise the log-likelihood by this many times log(n-grams) and have this share.
 PENALTY, LEAST_SHARE = 12.0, 0.1
 UNKNOWN = "und"
+#: Added to each count, so that no trigram is impossible.
+SMOOTH = 0.5
 
 
 def bins(text: str) -> np.ndarray:
@@ -45,29 +47,47 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class Model:
+    """Smoothed trigram counts of every language, only those seen: bin i's are starts[i] to starts[i + 1]."""
+
     langs: list[str]
-    logs: np.ndarray  # bins x languages
+    starts: np.ndarray
+    lang: np.ndarray
+    count: np.ndarray
+    total: np.ndarray  # a language's counts with SMOOTH for each bin
 
     def infer(self, text: str | None) -> tuple[str, float, list[str], list[float]]:
         """Language, score, the set chosen and its proportions, largest first."""
         if not has_letter(text) or not self.langs:
             return UNKNOWN, 0.0, [], []
+        if len(self.langs) == 1:
+            return self.langs[0], 1.0, self.langs, [1.0]
         c = bins(text)
         at = np.flatnonzero(c)
-        c, logs = c[at].astype(float), self.logs[at]
+        c = c[at].astype(float)
         n = c.sum()
-        single = c @ logs
-        if len(self.langs) == 1:
-            return self.langs[0], 1.0, self.langs, [1.0]
-        p = np.exp(logs)
-        share, _ = _em(p, c, np.full(p.shape[1], 1 / p.shape[1]))
+        # probability of a bin in a language: what all bins have, and more where it was seen
+        base = SMOOTH / self.total
+        sizes = self.starts[at + 1] - self.starts[at]
+        row = np.repeat(np.arange(len(at)), sizes)
+        held = np.arange(len(row)) + np.repeat(self.starts[at] - (np.cumsum(sizes) - sizes), sizes)
+        col = self.lang[held]
+        more = self.count[held] / self.total[col]
+        single = n * np.log(base) + np.bincount(col, c[row] * np.log1p(more / base[col]), len(base))
+        share = np.full(len(base), 1 / len(base))
+        for _ in range(ROUNDS):
+            r = c / (base @ share + np.bincount(row, more * share[col], len(c)))
+            share = share * (base * r.sum() + np.bincount(col, more * r[row], len(base))) / n
         order = np.lexsort((np.arange(len(share)), -share))
+        order = order[share[order] >= LEAST_SHARE]
+        place = np.full(len(base), -1)
+        place[order] = np.arange(len(order))
+        known = place[col] >= 0
+        p = np.tile(base[order], (len(c), 1))
+        p[row[known], place[col[known]]] += more[known]
         best = int(np.argmax(single))
         chosen, value, parts = [best], single[best], np.ones(1)
         for k in range(2, len(order) + 1):
-            if share[order[k - 1]] < LEAST_SHARE:
-                break
-            s, ll = _em(p[:, order[:k]], c, share[order[:k]] / share[order[:k]].sum())
+            s, ll = _em(p[:, :k], c, share[order[:k]] / share[order[:k]].sum())
             if ll - PENALTY * (k - 1) * math.log(n + 1) > value and s.min() >= LEAST_SHARE:
                 chosen, value, parts = list(order[:k]), ll - PENALTY * (k - 1) * math.log(n + 1), s
         rank = np.argsort(-parts, kind="stable")
@@ -87,31 +107,45 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from docs (doc_id, text, lang), rows with null lang or crc32(doc_id) mod 4 = 2 excepted."""
     spark = docs.sparkSession
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    counts = {r.lang: r["count"] for r in most.collect()}
-    if not counts:
-        return Model([], np.zeros((BINS, 0)))
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     langs = sorted(counts)
-    rate = spark.createDataFrame([(k, math.ceil((1 << 20) * min(1.0, sample / n))) for k, n in counts.items()], "lang string, bar long")
-    picked = known.join(F.broadcast(rate), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("bar")).select("lang", "text")
+    if not langs:
+        return Model([], np.zeros(BINS + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0))
+    rate = spark.createDataFrame([(k, i, math.ceil((1 << 20) * min(1.0, sample / counts[k]))) for i, k in enumerate(langs)], "lang string, no int, bar long")
+    picked = known.join(F.broadcast(rate), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("bar")).select("no", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        keys: list[np.ndarray] = []
+        weights: list[np.ndarray] = []
+        held = 0
+
+        def sums() -> pa.RecordBatch:
+            k, at = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.round(np.bincount(at, np.concatenate(weights)) * 1000).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array((k // BINS).astype(np.int32)), pa.array((k % BINS).astype(np.int32)), pa.array(n)], ["no", "bin", "n"])
+
         for b in lean(batches):
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for no, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py()
                 if has_letter(text):
                     # of equal weight, so that one long document isn't a language
                     c = bins(text)
-                    sums[lang] = sums.get(lang, 0) + c * (1000 / max(1000, c.sum()))
-        for lang, c in sums.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int64()), pa.array(np.round(c[at] * 1000).astype(np.int64))], ["lang", "bin", "n"])
-
-    got = picked.mapInArrow(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()  # languages x BINS at most
-    table = np.full((BINS, len(langs)), 0.5)
-    table[got["bin"].to_numpy(), got["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy()] += got["n"].to_numpy() / 1000
-    return Model(langs, np.log(table / table.sum(0)))
+                    at = np.flatnonzero(c)
+                    keys.append(no * BINS + at)
+                    weights.append(c[at] * (1000 / max(1000, c.sum())))
+                    held += len(at)
+                    if held >= HELD:
+                        yield sums()
+                        keys, weights, held = [], [], 0
+        if held:
+            yield sums()
+
+    got = picked.mapInArrow(count, "no int, bin int, n long").groupBy("no", "bin").agg(F.sum("n").alias("n")).toArrow()  # trigrams seen, by language
+    no, at, n = (got.column(i).to_numpy() for i in range(3))
+    order = np.lexsort((no, at))
+    no, at, n = no[order], at[order], n[order] / 1000
+    starts = np.searchsorted(at, np.arange(BINS + 1)).astype(np.int64)
+    return Model(langs, starts, no.astype(np.int32), n.astype(np.float32), SMOOTH * BINS + np.bincount(no, n, len(langs)))
 
 
 def identify_language(docs: DataFrame, model: Model) -> DataFrame:
@@ -121,7 +155,7 @@ def identify_language(docs: DataFrame, model: Model) -> DataFrame:
     read. Columns of docs named like those added are replaced. An empty table gives no rows; without
     training rows every row is `und`.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # BINS x languages
+    held = docs.sparkSession.sparkContext.broadcast(model)  # the trigrams each language was seen with
     docs = docs.drop("lang_pred", "score", "langs", "shares")
     at = docs.columns.index("text")
 

@@ -147,6 +147,19 @@ def test_language_mixtures(spark):
     assert model.infer(by["de"])[2] == ["de"]
 
 
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(8)
+    rows, asked = [], {}
+    for k in range(150):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)]
+        for _ in range(16 if k < 140 else 8):
+            rows.append((len(rows), " ".join(rng.choice(words, 40)), f"l{k:03}"))
+        asked[f"l{k:03}"] = " ".join(rng.choice(words, 40))
+    model = G.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted(asked)
+    assert {k: model.infer(t)[0] for k, t in asked.items()} == {k: k for k in asked}
+
+
 def test_language_edges(spark):
     docs, _ = docs_and_labels(spark)
     model = G.train(docs)

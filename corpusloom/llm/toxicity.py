@@ -1,10 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on what toxic text has and
-ordinary text lacks (words with letter sequences that many toxic and hardly any ordinary documents
-hold). A window of text is compressed with the ordinary dictionary alone and with both; where the
-toxic one saves bytes, the text is near toxic text. The windows' savings of a whole document give
-the score by a logistic regression, calibrated on savings under dictionaries of the other folds.
+Two zstandard dictionaries are trained separately, one on windows of toxic and one on windows of
+ordinary text. A window is a word with its spaces (long ones are cut into overlapping pieces), each
+byte written twice, so that a match is worth more than what telling its place costs. What a
+dictionary holds are the windows that recur in documents of its class, the most frequent ones last,
+where places cost least; the library's trainer provides the entropy tables. (The trainer's own choice
+of content leaves out recurring words at random, and then the lengths differ for no reason.)
+
+Every window of a text is compressed with either dictionary. It is evidence if the toxic dictionary
+takes no more than KNOWN bytes (it holds the window as a whole) and the ordinary one more than that.
+This threshold and the weights of the evidence in a document (the largest differences, how many
+exceed each of CLEAR, out of how many) are calibrated on folds, each compressed with dictionaries of
+the others.
 """
 
 from __future__ import annotations
@@ -22,114 +29,145 @@ from pyspark.sql import functions as F
 
 from .common import lean, plus
 
-#: Training takes at most this many rows of each class, of texts up to so many characters.
-SAMPLE, SAMPLE_CHARS = 2000, 20_000
+#: Training takes at most so many toxic and ordinary rows, of texts up to so many characters.
+SAMPLE, ORDINARY, SAMPLE_CHARS = 2000, 4000, 20_000
 FOLDS = 3
-WINDOW, OVERLAP = 64, 16
-GRAM = 5
-TOXIC_BYTES, ORDINARY_BYTES = 2048, 16384
+#: Longer words are cut into pieces of so many bytes that overlap by half.
+PIECE = 24
+#: A dictionary holds windows that recur in so many documents of its class, or in this share of them.
+TOXIC_DOCS, TOXIC_SHARE = 4, 0.006
+ORDINARY_DOCS, ORDINARY_SHARE = 3, 0.0008
+#: Sizes, which only the rarest of very many windows exceed.
+TOXIC_BYTES, ORDINARY_BYTES = 1 << 18, 1 << 21
+#: Bytes over the least possible that a window held as a whole may take; the best one is calibrated.
+KNOWN = (0, 1, 2, 3)
+CLEAR = (2, 4, 6, 8)
+FEATURES = 4 + 2 * len(CLEAR)
+#: Windows whose lengths a worker remembers (about 120 bytes each).
+CACHE = 300_000
+
+#: What opens a dictionary in the public zstandard format.
+MAGIC = bytes([0x37, 0xA4, 0x30, 0xEC])
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
-def padded_words(text: str) -> list[bytes]:
-    return [b" " + w + b" " for w in _WORD.findall(text.encode().lower())]
+def windows(text: str | None) -> list[bytes]:
+    """Words of the lower-cased text, long ones in pieces; one empty window where there is none."""
+    out = []
+    for w in _WORD.findall((text or "").encode().lower()):
+        if len(w) <= PIECE:
+            out.append(w)
+        else:
+            out += [w[i : i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2)]
+    return out or [b""]
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
-    """A dictionary's bytes; samples too few for training are a dictionary themselves."""
+def _twice(window: bytes) -> bytes:
+    out = bytearray(2 * len(window) + 4)
+    out[::2] = out[1::2] = b" " + window + b" "
+    return bytes(out)
+
+
+def distinct(docs: list[list[bytes]]) -> list[list[bytes]]:
+    """Without those half of whose three-window runs stood in earlier ones: copies lend weight to chance."""
+    seen: set[int] = set()
+    out = []
+    for d in docs:
+        runs = {hash(tuple(d[i : i + 3])) for i in range(max(1, len(d) - 2))}
+        if 2 * len(runs - seen) >= len(runs):
+            out.append(d)
+        seen |= runs
+    return out
+
+
+def trained(docs: list[list[bytes]], least: int, share: float, size: int) -> bytes:
+    """A dictionary of the windows that recur in docs, in the public zstandard format: the trainer's
+    magic number, id and entropy tables, which end with the three repeat offsets 1, 4 and 8, then
+    content. Where samples are too few for the trainer (some thousand bytes), only the content."""
     import zstandard
 
-    joined = [b"".join(samples[i : i + 6]) for i in range(0, len(samples), 6)]
+    in_docs = Counter(w for d in docs for w in set(d))
+    least = max(least, math.ceil(share * len(docs)))
+    content = b"".join(_twice(w) for w in sorted((w for w, n in in_docs.items() if n >= least), key=lambda w: (in_docs[w], w)))[-size:]
+    content = content.rjust(8)
+    samples = [_twice(w) for d in docs[:: max(1, len(docs) // 100)] for w in sorted(set(d))]
     try:
-        return zstandard.train_dictionary(size, joined).as_bytes()
+        made = zstandard.train_dictionary(1 << 14, samples, k=64, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
-
-
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """Toxic and ordinary dictionary."""
-
-    def grams(texts: list[str]) -> Counter:
-        found: Counter = Counter()
-        for t in texts:
-            found.update({w[i : i + GRAM] for w in set(padded_words(t)) for i in range(len(w) - GRAM + 1)})
-        return found
-
-    toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))  # copies would lend weight to chance
-    hot, usual = grams(toxic), grams(ordinary)
-    least = max(2, 0.01 * len(toxic))
-    odds = len(ordinary) / max(1, len(toxic))
-    told = {g for g, n in hot.items() if n >= least and math.log((n + 0.5) * odds / (usual[g] + 0.5)) >= 3}
-    spans = []
-    for t in toxic:
-        for w in padded_words(t):
-            at = [i for i in range(len(w) - GRAM + 1) if w[i : i + GRAM] in told]
-            if at:
-                spans.append(w[at[0] : at[-1] + GRAM])
-    common = [w for t in ordinary[:: max(1, len(ordinary) // 400)] for w in padded_words(t)]
-    rng = np.random.default_rng(7)
-    shuffled = lambda x: [x[i] for i in rng.permutation(len(x))]
-    return _trained(shuffled(spans), TOXIC_BYTES), _trained(shuffled(common), ORDINARY_BYTES)
-
-
-class Distance:
-    """Compresses windows with and without the toxic dictionary."""
+        return content
+    return made[: made.index(np.array([1, 4, 8], "<u4").tobytes(), 8) + 12] + content
+
+
+def _compressor(dictionary: bytes):
+    import zstandard as z
+
+    p = z.ZstdCompressionParameters(window_log=21, chain_log=20, hash_log=18, search_log=8, min_match=4, target_length=64, strategy=z.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+    kind = z.DICT_TYPE_FULLDICT if dictionary[:4] == MAGIC else z.DICT_TYPE_RAWCONTENT
+    return z.ZstdCompressor(dict_data=z.ZstdCompressionDict(dictionary, dict_type=kind), compression_params=p).compress
+
+
+class Distance(dict):
+    """window -> its length with the ordinary dictionary times 65,536, and its length with the toxic one."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        import zstandard as z
-
-        p = z.ZstdCompressionParameters(window_log=15, chain_log=14, hash_log=14, search_log=5, min_match=4, target_length=32, strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
-        # the ordinary part lies as far from the window in both, the toxic one near it
-        raw = lambda x: z.ZstdCompressionDict(x, dict_type=z.DICT_TYPE_RAWCONTENT)
-        self.one = z.ZstdCompressor(dict_data=raw(ordinary + bytes(max(8, len(toxic)))), compression_params=p)
-        self.both = z.ZstdCompressor(dict_data=raw(ordinary + (toxic or bytes(8))), compression_params=p)
-
-    def features(self, text: str | None) -> list[float]:
-        """Mean, largest and second largest saving of the windows, share of clear savings, log of the windows."""
-        flat = b" " + b" ".join(_WORD.findall((text or "").encode().lower())) + b" "
-        one, both = self.one.compress, self.both.compress
-        saved = []
-        for k in range(0, max(1, len(flat) - OVERLAP), WINDOW - OVERLAP):
-            w = flat[k : k + WINDOW]
-            saved.append(len(one(w)) - len(both(w)))
-        n = len(saved)
-        total, clear = sum(saved), sum(x >= 4 for x in saved)
-        top = saved.pop(saved.index(max(saved)))
-        second = max(saved, default=0)
-        return [total / n, top, second, min(clear, 4), clear / n, math.log1p(n)]
+        super().__init__()
+        self.toxic, self.ordinary = _compressor(toxic), _compressor(ordinary)
+
+    def __missing__(self, window: bytes) -> int:
+        w = _twice(window)
+        out = len(self.ordinary(w)) << 16 | len(self.toxic(w))
+        if len(self) >= CACHE:
+            self.clear()
+        self[window] = out
+        return out
+
+    def lengths(self, text: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, text), np.int64, len(text))
+
+
+_last: list = [None, None]
+
+
+def _distance(toxic: bytes, ordinary: bytes) -> Distance:
+    """One for a worker process and model, as loading a dictionary takes as long as many documents."""
+    if _last[0] != (toxic, ordinary):
+        _last[:] = (toxic, ordinary), Distance(toxic, ordinary)
+    return _last[1]
+
+
+def features(lengths: np.ndarray, known: int) -> np.ndarray:
+    """The three largest differences of windows the toxic dictionary holds (-1 for missing ones), how
+    many are clear, which share of all, log of all. Sums and shares are taken over the whole text."""
+    n = len(lengths)
+    held = lengths[(lengths & 0xFFFF) <= known]
+    hits = (held >> 16) - (held & 0xFFFF)
+    hits = np.sort(hits[hits > -1])[::-1]
+    counts = np.array([(hits >= k).sum() for k in CLEAR])
+    out = np.full(FEATURES, -1.0)
+    out[: min(3, len(hits))] = hits[:3]
+    out[3 : 3 + len(CLEAR)] = np.minimum(8, np.log1p(counts))
+    out[3 + len(CLEAR) : -1] = np.sqrt(counts / n)
+    out[-1] = math.log1p(n)
+    return out
 
 
 @dataclass
 class Model:
     toxic: bytes
     ordinary: bytes
+    known: int
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray  # the last is the constant
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        x = (features - self.mean) / self.scale
+    def scores(self, found: np.ndarray) -> np.ndarray:
+        x = (found - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
-    """From texts of both classes; share: of toxic rows among all labelled ones."""
-    if not toxic or not ordinary:
-        w = np.zeros(7)
-        w[-1] = 30.0 if toxic else -30.0
-        return Model(b"", b"", np.zeros(6), np.ones(6), w)
-    rows: list[list[float]] = []
-    y = []
-    for k in range(FOLDS):
-        inside, outside = lambda x: x[k::FOLDS], lambda x: [t for i, t in enumerate(x) if i % FOLDS != k] or x  # noqa: B023, E731
-        d = Distance(*dictionaries(outside(toxic), outside(ordinary)))
-        for label, texts in ((1.0, inside(toxic)), (0.0, inside(ordinary))):
-            rows += [d.features(t) for t in texts]
-            y += [label] * len(texts)
-    dicts = dictionaries(toxic, ordinary)
-    x, y = np.array(rows, float), np.array(y)
-    weight = np.where(y == 1, share / len(toxic), (1 - share) / len(ordinary)) * len(y)
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Mean, scale and weights of a logistic regression, and its loss."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
@@ -141,18 +179,48 @@ def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return Model(*dicts, mean, scale, w)
+    p = np.clip(1 / (1 + np.exp(-np.clip(z @ w, -30, 30))), 1e-12, 1 - 1e-12)
+    return mean, scale, w, float(-(weight * np.where(y == 1, np.log(p), np.log(1 - p))).sum() + (ridge * w * w).sum() / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from docs (doc_id, text) with labels (doc_id, toxic), except rows whose crc32(doc_id) mod 5 is 0."""
+def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
+    """From texts of both classes; share: of toxic rows among all labelled ones. Without texts of a
+    class every score is that of the other."""
+    if not toxic or not ordinary:
+        w = np.zeros(FEATURES + 1)
+        w[-1] = 30.0 if toxic else -30.0
+        return Model(bytes(8), bytes(8), 0, np.zeros(FEATURES), np.ones(FEATURES), w)
+    hot, usual = (distinct([windows(t) for t in texts]) for texts in (toxic, ordinary))
+    make = lambda a, b: (trained(a, TOXIC_DOCS, TOXIC_SHARE, TOXIC_BYTES), trained(b, ORDINARY_DOCS, ORDINARY_SHARE, ORDINARY_BYTES))
+    got, y = [], []
+    for k in range(FOLDS):
+        others = lambda x: [t for i, t in enumerate(x) if i % FOLDS != k] or x  # noqa: B023, E731
+        d = Distance(*make(others(hot), others(usual)))
+        for label, docs in ((1.0, hot[k::FOLDS]), (0.0, usual[k::FOLDS])):
+            got += [d.lengths(t) for t in docs]
+            y += [label] * len(docs)
+    least = min(int((x & 0xFFFF).min()) for x in got)
+    target = np.array(y)
+    weight = np.where(target == 1, share / len(hot), (1 - share) / len(usual)) * len(y)
+    tried = []
+    for more in KNOWN:
+        mean, scale, w, loss = _logistic(np.array([features(x, least + more) for x in got]), target, weight)
+        tried.append((loss, more, mean, scale, w))
+    _, more, mean, scale, w = min(tried, key=lambda t: t[:2])
+    return Model(*make(hot, usual), least + more, mean, scale, w)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ordinary: int = ORDINARY) -> Model:
+    """Learns from docs (doc_id, text) with labels (doc_id, toxic), except rows whose crc32(doc_id) mod 5
+    is 0: of each class the rows with the smallest hashes, which lie evenly over the corpus."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    # the smallest hashes of each class; four of five may be too long or missing
-    near = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, _bar(sample, counts.get(1, 0))).otherwise(_bar(sample, counts.get(0, 0))))
+    most = {1: sample, 0: ordinary}
+    # some of the rows may be too long or missing
+    near = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, _bar(sample, counts.get(1, 0))).otherwise(_bar(ordinary, counts.get(0, 0))))
     rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(near, "doc_id").withColumn("order", F.xxhash64("doc_id", "text"))
-    got = {k: [r.text for r in rows.where(F.col("toxic") == k).orderBy("order", "text").limit(sample).collect()] for k in (1, 0)}
+    got = {k: [r.text for r in rows.where(F.col("toxic") == k).orderBy("order", "text").limit(most[k]).collect()] for k in (1, 0)}
     return fit(got[1], got[0], min(max(share, 1e-3), 1 - 1e-3))
 
 
@@ -161,22 +229,24 @@ def _bar(sample: int, count: int) -> int:
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (text and any other columns) with score (0 to 1), predicted (1 if score >= 0.5) and windows' savings.
+    """docs (text and any other columns) with score (0 to 1), predicted (1 if score >= 0.5) and
+    top_saving, the largest difference of a window that the toxic dictionary holds (-1: none).
 
     Null and empty texts are one empty window. Whole texts are read, however long. Columns of docs
     named like those added are replaced. An empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)  # two dictionaries of a fixed size and 20 numbers
+    held = spark.sparkContext.broadcast(model)  # two dictionaries of bounded sizes and a few numbers
     docs = docs.drop("score", "predicted", "top_saving")
     at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = Distance(held.value.toxic, held.value.ordinary)
+        m = held.value
+        d = _distance(m.toxic, m.ordinary)
         for b in lean(batches):
             if b.num_rows:
-                x = np.array([d.features(t.as_py()) for t in b.column(at)], float)
-                s = held.value.scores(x)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(x[:, 1])], [*b.schema.names, "score", "predicted", "top_saving"])
+                x = np.array([features(d.lengths(windows(t.as_py())), m.known) for t in b.column(at)])
+                s = m.scores(x)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(x[:, 0])], [*b.schema.names, "score", "predicted", "top_saving"])
 
     return docs.mapInArrow(score, plus(docs.schema, "score double, predicted int, top_saving double"))

@@ -1,4 +1,3 @@
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,7 +41,8 @@ def test_language_stage(spark, docs):
 def test_toxicity_stage(spark, docs):
     out = P.toxic(spark, docs, SMALL)
     model = toxicity.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
-    plain = {r.doc_id for r in docs.collect() if model.scores(np.array([toxicity.Distance(model.toxic, model.ordinary).features(r.text)]))[0] < 0.5}
+    distance = toxicity.Distance(model.toxic, model.ordinary)
+    plain = {r.doc_id for r in docs.collect() if model.scores(toxicity.features(distance.lengths(toxicity.windows(r.text)), model.known)[None])[0] < 0.5}
     assert out.columns == COLUMNS and set(ids(out)) == plain
 
 

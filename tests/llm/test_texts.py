@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 
@@ -174,16 +175,44 @@ def test_language_edges(spark):
 
 
 def test_toxicity_accuracy(spark):
-    """Held-out rows. Toxic French and German words of these tables are everyday syllables, which
-    compression hardly tells; English ones it does (see the README)."""
+    """Held-out rows of every language: toxic ones are found, ordinary ones left alone."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = T.score_toxicity(docs.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 5 = 0"), T.train(docs, labels)).toPandas()
-    assert (got.toxic == got.predicted).mean() > 0.92
-    english = got[got.lang == "en"]
-    assert (english.toxic == english.predicted).mean() > 0.95
-    ranks, bad = english.score.rank(), english.toxic == 1
-    assert (ranks[bad].mean() - (bad.sum() + 1) / 2) / (~bad).sum() > 0.9
+    for lang in ("en", "de", "fr", "es"):
+        of = got[got.lang == lang]
+        assert of[of.toxic == 1].predicted.mean() >= 0.8, lang
+        assert of[of.toxic == 0].predicted.mean() <= 0.02, lang
+
+
+def test_toxicity_plain_loop(spark):
+    """Scores against a plain loop: each window compressed anew with two compressors of its own."""
+    import zstandard as z
+
+    docs, labels = docs_and_labels(spark)
+    model = T.train(docs, labels)
+    assert model.toxic[:4] == model.ordinary[:4] == T.MAGIC and model.toxic != model.ordinary
+    p = z.ZstdCompressionParameters(window_log=21, chain_log=20, hash_log=18, search_log=8, min_match=4, target_length=64, strategy=z.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+    toxic, ordinary = (z.ZstdCompressor(dict_data=z.ZstdCompressionDict(x), compression_params=p) for x in (model.toxic, model.ordinary))
+
+    def score(text):
+        words = re.findall(rb"(?:[0-9a-z]|[\x80-\xff])+", (text or "").encode().lower()) or [b""]
+        pieces = [w[i : i + 24] for w in words for i in (range(0, len(w) - 12, 12) if len(w) > 24 else [0])]
+        found = []
+        for w in pieces:
+            twice = bytes(c for c in b" " + w + b" " for _ in range(2))
+            a, b = len(ordinary.compress(twice)), len(toxic.compress(twice))
+            found.append(a - b if b <= model.known else -1)
+        best = sorted((x for x in found if x >= 0), reverse=True)[:3]
+        counts = [sum(x >= k for x in found) for k in (2, 4, 6, 8)]
+        row = best + [-1] * (3 - len(best)) + [min(8, math.log1p(n)) for n in counts] + [math.sqrt(n / len(found)) for n in counts] + [math.log1p(len(found))]
+        odds = sum(w * (x - m) / s for w, x, m, s in zip(model.weights, row, model.mean, model.scale)) + model.weights[-1]
+        return 1 / (1 + math.exp(-max(-30, min(30, odds))))
+
+    got = {r.doc_id: (r.score, r.text) for r in T.score_toxicity(docs, model).collect()}
+    assert len(got) == docs.count()
+    for s, text in got.values():
+        assert s == pytest.approx(score(text), abs=1e-9)
 
 
 def test_toxicity_edges(spark):

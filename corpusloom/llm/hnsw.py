@@ -162,11 +162,13 @@ class Hnsw:
         return np.vstack(out) if out else np.zeros((0, 1), np.int64)
 
     def dump(self) -> bytes:
+        """The graph without its vectors."""
         f = io.BytesIO()
-        np.savez(f, order=self.order, x=self.x[:-1], **{f"l{k}": v for k, v in enumerate(self.layers)})
+        np.savez(f, order=self.order, **{f"l{k}": v for k, v in enumerate(self.layers)})
         return f.getvalue()
 
     @classmethod
-    def load(cls, raw: bytes) -> Hnsw:
+    def load(cls, raw: bytes, x: np.ndarray) -> Hnsw:
+        """x: the unit rows it was built from."""
         z = np.load(io.BytesIO(raw))
-        return cls(z["order"], z["x"], [z[f"l{k}"] for k in range(len(z.files) - 2)])
+        return cls(z["order"], x[z["order"]], [z[f"l{k}"] for k in range(len(z.files) - 1)])

@@ -2,10 +2,15 @@
 
 Vectors of length one are projected to a few dimensions by a normal (2-stable) matrix: the squared
 projected distance of two vectors, over their squared distance, is chi-square with as many degrees
-of freedom. A kd-tree over the projections yields neighbours leaf by leaf in order of the least
-projected distance; each is verified by its true cosine. With d the k-th best true distance so far
-and r the least projected distance left, a neighbour nearer than d is still left with a chance of
-at most 1 - F(r^2 / d^2); the search stops when F(r^2 / d^2) reaches CONFIDENCE.
+of freedom. With d the k-th best true distance so far and r the least projected distance left, a
+neighbour nearer than d is still left with a chance of at most 1 - F(r^2 / d^2); a search stops when
+F(r^2 / d^2) reaches CONFIDENCE.
+
+The kd-tree has two levels. The upper one, fitted on a bounded sample, divides the projected space into
+cells; a cell's rows (dealt further where they are many, as in a hot spot) are shards. The lower one is
+a tree in each shard, stored with it; its leaves are visited in order of the least projected distance
+and their rows verified by true cosine. A query first searches a shard of its own cell; the distance
+found there tells by the same test which cells are left to search, so whole cells are skipped.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 from .hnsw import unit
 from .vectors import cosines, matrix, usable
 
@@ -27,10 +32,14 @@ NEIGHBOURS = 5
 DIMENSIONS = 12
 CONFIDENCE = 0.98
 LEAF = 64
-#: Rows of an index and of a block of queries, which meet in one task.
-SHARD, QUERIES = 8192, 4096
-#: Distinct vectors kept for a query before ties are settled.
+#: Rows of an index and of a block of queries, which meet in one task; fewer where rows take more bytes.
+SHARD, QUERIES, MEETING_BYTES = 8192, 4096, 1 << 25
+#: Rows of a length that the upper tree is fitted on, and its cells at most (their boxes are broadcast).
+SAMPLE, CELLS = 1 << 16, 1 << 12
+#: Distinct vectors kept for a query; where more tie with the last one, all that tie are looked at.
 SPARE = 8
+#: Products that differ by less may be equal cosines.
+CLOSE = 1e-9
 
 
 def chi_square(x: float, m: int) -> float:
@@ -50,46 +59,85 @@ def chi_square_inverse(p: float, m: int) -> float:
     return high
 
 
-class Tree:
-    """kd-tree over projections: points in leaf order, leaf limits and bounding boxes."""
+def _halves(p: np.ndarray, leaf: int) -> tuple[np.ndarray, list[int], list[tuple[int, float, int, int]]]:
+    """Rows in leaf order, limits of the leaves, and the splits (axis, value, low child, high child; a
+    child of -1 - i is leaf i)."""
+    order = np.arange(len(p))
+    limits, splits = [0], []
+    stack = [(0, len(p), -1, 0)]
+    while stack:
+        a, b, parent, side = stack.pop()
+        axis = int(np.ptp(p[order[a:b]], axis=0).argmax()) if b - a > leaf else 0
+        if b - a <= leaf or np.ptp(p[order[a:b], axis]) == 0:
+            me = -len(limits)
+            limits.append(b)
+        else:
+            rows = order[a:b]
+            mid = (b - a) // 2
+            order[a:b] = rows[np.argpartition(p[rows, axis], mid)]
+            me = len(splits)
+            splits.append([axis, float(p[order[a + mid], axis]), 0, 0])
+            stack += [(a + mid, b, me, 3), (a, a + mid, me, 2)]
+        if parent >= 0:
+            splits[parent][side] = me
+    return order, limits, [tuple(s) for s in splits]
+
 
-    def __init__(self, x: np.ndarray, matrix_: np.ndarray):
-        p = x @ matrix_
-        self.order = np.arange(len(x))
-        limits = [0]
-        stack = [(0, len(x))]
+class Cells:
+    """The upper tree: which cell a projected point lies in."""
+
+    def __init__(self, p: np.ndarray, cells: int):
+        _, limits, self.splits = _halves(p, max(1, math.ceil(len(p) / max(1, cells))))
+        self.n = len(limits) - 1
+
+    def of(self, p: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(p), np.int64)
+        stack = [(0, np.arange(len(p)))] if self.splits else []
         while stack:
-            a, b = stack.pop()
-            if b - a <= LEAF:
-                limits.append(b)
+            node, rows = stack.pop()
+            if not len(rows):
                 continue
-            rows = self.order[a:b]
-            axis = int(np.ptp(p[rows], axis=0).argmax())
-            mid = (b - a) // 2
-            self.order[a:b] = rows[np.argpartition(p[rows, axis], mid)]
-            stack += [(a + mid, b), (a, a + mid)]
-        self.limits = np.array(limits)
-        self.x = x[self.order]
-        p = p[self.order]
-        self.low = np.array([p[a:b].min(0) for a, b in zip(limits, limits[1:], strict=False)])
-        self.high = np.array([p[a:b].max(0) for a, b in zip(limits, limits[1:], strict=False)])
-
-    def nearest(self, q: np.ndarray, matrix_: np.ndarray, bound: float, k: int, spare: int = SPARE) -> tuple[np.ndarray, np.ndarray]:
-        """Rows (of the x given) of the best found for each row of q, -1 for missing ones, and the number verified."""
-        pq = q @ matrix_
+            if node < 0:
+                out[rows] = -1 - node
+                continue
+            axis, value, low, high = self.splits[node]
+            left = p[rows, axis] < value
+            stack += [(low, rows[left]), (high, rows[~left])]
+        return out
+
+
+class Tree:
+    """kd-tree over projections: points in leaf order, leaf limits and bounding boxes."""
+
+    def __init__(self, x: np.ndarray, order: np.ndarray, limits: np.ndarray, low: np.ndarray, high: np.ndarray):
+        """x: unit rows in leaf order."""
+        self.x, self.order, self.limits, self.low, self.high = x, order, limits, low, high
+
+    @classmethod
+    def build(cls, x: np.ndarray, projection: np.ndarray) -> Tree:
+        p = x @ projection
+        order, limits, _ = _halves(p, LEAF)
+        p = p[order]
+        spans = list(zip(limits, limits[1:], strict=False))
+        return cls(x[order], order, np.array(limits), np.array([p[a:b].min(0) for a, b in spans]), np.array([p[a:b].max(0) for a, b in spans]))
+
+    def nearest(self, q: np.ndarray, projection: np.ndarray, bound: float, k: int, floor: np.ndarray | None = None, spare: int = SPARE) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray], np.ndarray]:
+        """Rows (of the x built from) of the best found for each row of q, -1 for missing ones, their
+        products, for queries of which more tie with the k-th than are kept all that do, and the
+        number verified. floor: a product known to be reached k times elsewhere."""
+        pq = q @ projection
         out = np.full((len(q), k + spare), -1)
         best = np.full((len(q), k + spare), -np.inf)
         seen = np.zeros(len(q), np.int64)
-        least = np.zeros((len(q), len(self.low)))
-        for m in range(pq.shape[1]):
-            c = pq[:, m : m + 1]
-            least += np.maximum(0, np.maximum(self.low[:, m] - c, c - self.high[:, m])) ** 2
+        least = gaps(pq, self.low, self.high)
         leaves = np.argsort(least, axis=1, kind="stable")
+        floor = np.full(len(q), -np.inf) if floor is None else floor
+        kth = floor.copy()
         live = np.arange(len(q))
         for t in range(leaves.shape[1]):
             leaf = leaves[live, t]
-            kth = 2 - 2 * np.partition(best[live], spare, axis=1)[:, spare]
-            go = least[live, leaf] <= bound * kth + 1e-9
+            kth[live] = np.maximum(floor[live], np.partition(best[live], spare, axis=1)[:, spare])
+            go = least[live, leaf] <= bound * (2 - 2 * kth[live]) + CLOSE
             live, leaf = live[go], leaf[go]
             if not len(live):
                 break
@@ -102,36 +150,67 @@ class Tree:
                 top = np.argpartition(-s, k + spare - 1, axis=1)[:, : k + spare]
                 best[at], out[at] = np.take_along_axis(s, top, 1), np.take_along_axis(ids, top, 1)
                 seen[at] += b - a
-        return out, seen
+        kth = np.maximum(floor, np.partition(best, spare, axis=1)[:, spare])
+        ties = {}
+        for i in np.flatnonzero((best.min(1) >= kth - CLOSE) & (best.min(1) > -np.inf)).tolist():
+            there = np.flatnonzero(least[i] <= bound * (2 - 2 * kth[i]) + CLOSE)
+            hit = [self.order[a:b][self.x[a:b] @ q[i] >= kth[i] - CLOSE] for a, b in zip(self.limits[there], self.limits[there + 1], strict=True)]
+            ties[i] = np.concatenate(hit)
+        return out, best, ties, seen
+
 
+def gaps(p: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distance of each point from each box."""
+    out = np.zeros((len(p), len(low)))
+    for m in range(p.shape[1]):
+        c = p[:, m : m + 1]
+        out += np.maximum(0, np.maximum(low[:, m] - c, c - high[:, m])) ** 2
+    return out
 
-def _projection(d: int, m: int) -> np.ndarray:
+
+def projection(d: int, m: int) -> np.ndarray:
     return np.random.default_rng(d * 1000 + m).standard_normal((d, m))
 
 
-def _index(pdf: pd.DataFrame, k: int) -> bytes:
-    """A shard: distinct vectors, and of each the k + 1 smallest ids, as no others can be results."""
+def _pack(**arrays: np.ndarray) -> bytes:
+    f = io.BytesIO()
+    np.savez(f, **arrays)
+    return f.getvalue()
+
+
+def _index(pdf: pd.DataFrame, k: int, m: int) -> tuple[bytes, list[float], list[float]]:
+    """A shard's tree over distinct vectors, of each the k + 1 smallest ids (no others can be results),
+    and its box in the projected space."""
     pdf = pdf.sort_values("vec_id")
     x = matrix(pdf["embedding"])
-    _, first, which = np.unique(x.view(np.void if x.shape[1] == 0 else f"V{8 * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    _, first, which = np.unique(x.view(f"V{8 * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
     by = np.argsort(which, kind="stable")
     place = np.arange(len(by)) - np.searchsorted(which[by], which[by])
     keep = by[place <= k]
-    f = io.BytesIO()
-    np.savez(f, x=x[first], ids=pdf["vec_id"].to_numpy(np.int64)[keep], of=which[keep])
-    return f.getvalue()
+    t = Tree.build(unit(x[first]), projection(x.shape[1], m))
+    data = _pack(x=x[first], ids=pdf["vec_id"].to_numpy(np.int64)[keep], of=which[keep], order=t.order, limits=t.limits, low=t.low, high=t.high)
+    return data, t.low.min(0).tolist(), t.high.max(0).tolist()
+
+
+FOUND = "query_id long, vec_id long, score double, verified long"
 
 
-def _search(index: bytes, queries: bytes, k: int, m: int, bound: float) -> pd.DataFrame:
-    z, y = np.load(io.BytesIO(index)), np.load(io.BytesIO(queries))
-    x, ids, of = z["x"], z["ids"], z["of"]
-    q, names = y["x"], y["ids"]
-    r = _projection(x.shape[1], m)
-    found, seen = Tree(unit(x), r).nearest(unit(q), r, bound, k + 1)
+def _search(index: bytes, names: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, m: int, bound: float) -> pd.DataFrame:
+    z = np.load(io.BytesIO(index))
+    x, ids, of, order = z["x"], z["ids"], z["of"], z["order"]
+    tree = Tree(unit(x)[order], order, z["limits"], z["low"], z["high"])
+    found, _, ties, seen = tree.nearest(unit(q), projection(x.shape[1], m), bound, k + 1, floor)
     start = np.searchsorted(of, np.arange(len(x) + 1))
+    for i in ties:
+        found[i] = -1
     rows, cols = np.nonzero(found >= 0)
     hit = found[rows, cols]
-    score = cosines(q[rows], x[hit]) if len(rows) else np.zeros(0)
+    score = cosines(q[rows], x[hit])
+    for i, at in ties.items():
+        # k + 1 vectors, best first, those of smaller ids before, hold all results
+        s = cosines(np.broadcast_to(q[i], (len(at), q.shape[1])), x[at])
+        best = np.lexsort((ids[start[at]], -s))[: k + 1]
+        rows, hit, score = np.append(rows, np.full(len(best), i)), np.append(hit, at[best]), np.append(score, s[best])
     n = start[hit + 1] - start[hit]
     rows, score, hit = np.repeat(rows, n), np.repeat(score, n), np.repeat(hit, n)
     member = ids[start[hit] + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)]
@@ -139,11 +218,13 @@ def _search(index: bytes, queries: bytes, k: int, m: int, bound: float) -> pd.Da
     rows, score, member = rows[other], score[other], member[other]
     by = np.lexsort((member, -score, rows))
     by = by[(np.arange(len(by)) - np.searchsorted(rows[by], rows[by])) < k]
-    return pd.DataFrame({"query_id": names[rows[by]], "vec_id": member[by], "score": score[by], "verified": seen[rows[by]]})
+    # a row without a neighbour tells how many were verified for the query
+    return pd.DataFrame({"query_id": np.append(names[rows[by]], names), "vec_id": pd.array([*member[by].tolist(), *[None] * len(names)], "Int64"), "score": np.append(score[by], np.full(len(names), np.nan)), "verified": np.append(np.zeros(len(by), np.int64), seen)})
 
 
 def nearest_vectors(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, dimensions: int = DIMENSIONS, confidence: float = CONFIDENCE, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k rows nearest to each query found, by cosine.
+    """query_id, rank, vec_id, score, verified: the k rows nearest to each query found, by cosine, and
+    the number of distinct vectors that were verified for it.
 
     rows and queries have vec_id and embedding. A query's own vec_id is no candidate; ties go to
     the smaller vec_id. Vectors that are null, empty, zero, or hold null or non-finite components,
@@ -151,6 +232,8 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, di
     its vector). Vectors of different lengths aren't compared. Other columns are ignored; empty
     tables give no rows. Rows meet queries in blocks of bounded size, shard by shard.
     """
+    spark = rows.sparkSession
+    bound = chi_square_inverse(confidence, dimensions)
 
     def clean(df: DataFrame) -> DataFrame:
         v = F.col("embedding").cast("array<double>")
@@ -158,33 +241,93 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, di
         one = good.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min_by(v, F.xxhash64(v)).alias("embedding"))
         return one.withColumn("dim", F.size("embedding"))
 
-    def dealt(df: DataFrame, size: int, name: str, pack) -> DataFrame:
-        df = written(clean(df), name)
-        parts = df.groupBy("dim").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))  # one row a length
-        df = df.join(parts, "dim").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-        make = lambda key, pdf: pd.DataFrame({"dim": [key[0]], "part": [key[1]], "parts": [int(pdf["parts"].iloc[0])], "data": [pack(pdf)]})
-        return df.groupBy("dim", "part").applyInPandas(make, "dim int, part int, parts int, data binary")
+    def most(of: int):
+        return F.least(F.lit(of), F.greatest(F.lit(1), F.floor(F.lit(MEETING_BYTES) / (8 * F.col("dim")))))
 
-    def block_of(pdf: pd.DataFrame) -> bytes:
-        f = io.BytesIO()
-        np.savez(f, x=matrix(pdf["embedding"]), ids=pdf["vec_id"].to_numpy(np.int64))
-        return f.getvalue()
+    base = written(clean(rows), "vectors")
+    asked = written(clean(queries), "queries")
+    # one row a length; of each a sample by hash, whose projections tell the cells
+    sizes = {r.dim: (r.n, r.cells) for r in base.groupBy("dim").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.first(most(shard))).alias("cells")).collect()}
+    cells = {}
+    for d, (n, wanted) in sizes.items():
+        bar = math.ceil((1 << 30) * min(1.0, SAMPLE / n))
+        part = base.where((F.col("dim") == d) & (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < bar)).select("embedding")
+        made = part.mapInPandas(lambda it: (pd.DataFrame({"p": (unit(matrix(t["embedding"])) @ projection(t["embedding"].map(len).iloc[0], dimensions)).tolist()}) for t in it if len(t)), "p array<double>")
+        p = made.toArrow().column(0).to_pylist() if wanted > 1 else []
+        cells[d] = Cells(np.array(p).reshape(-1, dimensions), min(int(wanted), CELLS, max(1, len(p) // 8)))
+    held = spark.sparkContext.broadcast(cells)  # at most CELLS splits a length
 
-    bound = chi_square_inverse(confidence, dimensions)
-    index = written(dealt(rows, shard, "vectors", lambda pdf: _index(pdf, k)), "trees")
-    asked = written(dealt(queries, block, "queries", block_of), "queries")
-    places = index.select("dim", "parts").distinct()
-    blocks = asked.select("dim", "parts").distinct()
-    many = lambda df, n: df.join(n.select("dim", F.col("parts").alias("n")), "dim").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    left = many(index, blocks).select("dim", F.col("part").alias("s"), F.col("o").alias("b"), F.lit(0).alias("kind"), "data")
-    right = many(asked, places).select("dim", F.col("o").alias("s"), F.col("part").alias("b"), F.lit(1).alias("kind"), "data")
+    def placed(batches):
+        for t in batches:
+            out = np.zeros(len(t), np.int32)
+            for d, part in t.groupby("dim"):
+                if d in held.value:
+                    at = t.index.get_indexer(part.index)
+                    out[at] = held.value[d].of(unit(matrix(part["embedding"])) @ projection(d, dimensions))
+            yield t.assign(cell=out)
+
+    schema = "vec_id long, embedding array<double>, dim int, cell int"
+    put = written(base.mapInPandas(placed, schema), "cells")
+    drop(base)
+    parts = put.groupBy("dim", "cell").agg(F.count("*").alias("n")).select("dim", "cell", F.ceil(F.col("n") / most(shard)).cast("int").alias("parts"))
+    parts = written(parts, "parts")
+    dealt = put.join(parts, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+
+    def index(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        data, low, high = _index(pdf, k, dimensions)
+        return pd.DataFrame({"dim": [key[0]], "cell": [key[1]], "part": [key[2]], "low": [low], "high": [high], "data": [data]})
+
+    trees = written(dealt.groupBy("dim", "cell", "part").applyInPandas(index, "dim int, cell int, part int, low array<double>, high array<double>, data binary"), "trees")
+    drop(put)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("kind")
-        if len(pdf) < 2:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "verified": []})
-        return _search(*pdf["data"], k, dimensions, bound)
+        tree = pdf[pdf["data"].notna()]
+        ask = pdf[pdf["data"].isna()]
+        if not len(tree) or not len(ask):
+            return pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")})
+        return _search(tree["data"].iloc[0], ask["vec_id"].to_numpy(np.int64), matrix(ask["embedding"]), ask["floor"].fillna(-np.inf).to_numpy(), k, dimensions, bound)
+
+    def searched(wanted: DataFrame, tag: str) -> DataFrame:
+        """wanted: vec_id, embedding, floor and the shard (dim, cell, part) each is sent to."""
+        counts = wanted.groupBy("dim", "cell", "part").agg(F.ceil(F.count("*") / F.first(most(block))).cast("int").alias("blocks"))
+        left = trees.join(counts, ["dim", "cell", "part"]).select("dim", "cell", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("embedding"), F.lit(None).cast("double").alias("floor"), "data")
+        right = wanted.join(counts, ["dim", "cell", "part"]).select("dim", "cell", "part", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("blocks")).cast("int").alias("b"), "vec_id", "embedding", "floor", F.lit(None).cast("binary").alias("data"))
+        return written(left.union(right).groupBy("dim", "cell", "part", "b").applyInPandas(meet, FOUND), tag)
+
+    home = asked.mapInPandas(placed, schema).join(parts, ["dim", "cell"], "left")
+    # a cell without rows, or a length without any, has no shard to begin with
+    home = written(home.select("vec_id", "embedding", "dim", "cell", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.coalesce("parts", F.lit(1))).cast("int").alias("part")), "home")
+    drop(asked)
+    one = searched(home.withColumn("floor", F.lit(None).cast("double")), "first")
+    far = one.where("vec_id is not null").groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
+    far = far.select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("kth")).alias("floor"))
+    # boxes of cells: at most CELLS a length
+    box = trees.select("dim", "cell", F.posexplode(F.arrays_zip("low", "high"))).groupBy("dim", "cell", "pos").agg(F.min("col.low").alias("low"), F.max("col.high").alias("high"))
+    boxes: dict[int, tuple] = {}
+    for r in box.groupBy("dim", "cell").agg(F.array_sort(F.collect_list(F.struct("pos", "low", "high"))).alias("b")).orderBy("dim", "cell").collect():
+        boxes.setdefault(r.dim, ([], [], []))
+        for x, y in zip(boxes[r.dim], (r.cell, [v.low for v in r.b], [v.high for v in r.b]), strict=True):
+            x.append(y)
+    there = spark.sparkContext.broadcast({d: tuple(map(np.array, v)) for d, v in boxes.items()})
+
+    def left_over(batches):
+        for t in batches:
+            at = np.empty(len(t), object)
+            for i, (d, v, f) in enumerate(zip(t["dim"], t["embedding"], t["floor"], strict=True)):
+                at[i] = []
+                if d in there.value:
+                    names, low, high = there.value[d]
+                    reach = np.inf if math.isnan(f) else bound * (2 - 2 * f) + CLOSE
+                    at[i] = names[gaps(unit(np.array([v], float)) @ projection(d, dimensions), low, high)[0] <= reach].tolist()
+            yield t.assign(cells=at)
 
-    met = left.union(right).groupBy("dim", "s", "b").applyInPandas(meet, "query_id long, vec_id long, score double, verified long")
+    ask = home.withColumnRenamed("cell", "own").withColumnRenamed("part", "own_part").join(far, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("nan"))))
+    ask = ask.mapInPandas(left_over, "vec_id long, embedding array<double>, dim int, own int, own_part int, floor double, cells array<int>")
+    ask = ask.select("*", F.explode("cells").alias("cell")).join(parts, ["dim", "cell"]).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    ask = ask.where("not (cell = own and part = own_part)").select("vec_id", "embedding", F.nanvl("floor", F.lit(None).cast("double")).alias("floor"), "dim", "cell", "part")
+    two = searched(written(ask, "asked"), "second")
+    met = one.union(two)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = met.where("vec_id is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    looked = met.where("vec_id is null").groupBy("query_id").agg(F.sum("verified").alias("verified"))
+    return best.drop("verified").join(looked, "query_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "verified")

@@ -169,7 +169,7 @@ def clustered(seed, n, dim, groups, spread):
 def test_hnsw_finds_near_vectors():
     x = unit(clustered(1, 3000, 24, 40, 0.05).astype(float))
     g = Hnsw.build(x)
-    g = Hnsw.load(g.dump())
+    g = Hnsw.load(g.dump(), x)
     found = g.search(x, 32)
     true = np.argsort(-(x @ x.T), axis=1)[:, :5]
     assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(true.tolist(), found.tolist(), strict=True)]) > 0.7
@@ -196,6 +196,53 @@ def test_embedding_dedup_against_all_pairs(spark, shard):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("n", [40, 100, 3000])
+def test_graph_is_asked_first(n):
+    """Whatever a shard's size, links come from a beam; a scan follows a failed audit only."""
+    x = unit(clustered(3, n, 16, max(2, n // 60), 0.08).astype(float))
+    g = Hnsw.build(x)
+    group, links, audit = E.within(g, x, np.ones(n, np.int64), 0.93)
+    assert audit.beam > 0 and audit.recall >= 0.99
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    assert (links == near.sum(1)).all() and links.sum() > 0
+    half = n // 2
+    one, two = ({"x": y, "copies": np.ones(len(y), np.int64), "group": E.within(Hnsw.build(y), y, np.ones(len(y), np.int64), 0.93)[0]} for y in (x[:half], x[half:]))
+    pairs, a, b, audit = E.between(Hnsw.build(two["x"]), one, two, 0.93)
+    assert audit.beam > 0 and audit.recall >= 0.99
+    assert (a == near[:half, half:].sum(1)).all() and (b == near[half:, :half].sum(1)).all() and len(pairs)
+
+
+def test_beams_widen_until_the_audit_passes():
+    """A first beam that finds nothing is followed by wider ones, then by a scan."""
+
+    class Blind(Hnsw):
+        asked: list = []
+
+        def search(self, q, beam):
+            self.asked.append(beam)
+            return super().search(q, beam) if beam >= 128 else np.full((len(q), 1), -1)
+
+    x = unit(clustered(5, 2000, 16, 30, 0.08).astype(float))
+    g = Hnsw.build(x)
+    g.__class__ = Blind
+    _, links, audit = E.within(g, x, np.ones(len(x), np.int64), 0.93)
+    assert Blind.asked == [32, 64, 128] and audit.beam == 128 and audit.recall < 0.1
+    assert (links == (x @ x.T >= 0.93).sum(1) - 1).all()
+
+
+@pytest.mark.parametrize("shard", [16384, 1500])
+def test_thousands_of_vectors_against_all_pairs(spark, shard):
+    x = clustered(6, 5000, 24, 120, 0.08)
+    df = spark.createDataFrame([(i, v.tolist(), i % 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicate_vectors(df, shard=shard).collect()}
+    u = unit(x.astype(float))
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.93, 1))
+    low = E.groups(len(x), a, b)
+    n = np.bincount(np.concatenate([a, b]), minlength=len(x))
+    assert n.sum() > 1000 and got == {i: (int(n[i]), int(low[i])) for i in range(len(x))}
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert E.near_duplicate_vectors(none).count() == 0
@@ -235,6 +282,53 @@ def test_nearest_against_all_pairs(spark, shard):
     assert [v for _, v, _ in got[50]] == [5000, 5001, 5002, 5003, 5004]
 
 
+def nearest(spark, x, shard=10_000, ids=None):
+    ids = range(len(x)) if ids is None else ids
+    df = spark.createDataFrame([(int(i), list(map(float, v))) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in N.nearest_vectors(df, df.where("vec_id % 50 = 0"), shard=shard).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score, r.verified))
+    return {q: sorted(v) for q, v in got.items()}
+
+
+@pytest.mark.parametrize("shard", [10_000, 64])
+def test_ties_of_distinct_vectors(spark, shard):
+    """Copies scaled by powers of two have equal cosines and are distinct vectors."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((400, 16))
+    x[1:41] = x[0] * 2.0 ** rng.permutation(np.arange(-20, 20))[:, None]
+    x[100:130] = x[50] * 2.0 ** np.arange(1, 31)[:, None]
+    got = nearest(spark, x, shard)
+    assert [v for _, v, _, _ in got[0]] == [1, 2, 3, 4, 5] and [v for _, v, _, _ in got[50]] == [100, 101, 102, 103, 104]
+    # further off, too: forty vectors of one direction are the nearest of a query that isn't among them
+    y = np.vstack([x[:41], rng.standard_normal((60, 16))])
+    y[0] = x[0] + 0.05 * rng.standard_normal(16)
+    assert [v for _, v, _, _ in nearest(spark, y, shard)[0]] == [1, 2, 3, 4, 5]
+
+
+def test_cosines_are_the_same_bits_anywhere():
+    from corpusloom.llm.vectors import cosines
+
+    rng = np.random.default_rng(12)
+    for d in (1, 3, 8, 64, 129, 1000):
+        a, b = rng.standard_normal((37, d)), rng.standard_normal((37, d))
+        whole = cosines(a, b)
+        assert all(cosines(a[i : i + 1], b[i : i + 1])[0] == whole[i] for i in range(37))
+        assert (cosines(np.broadcast_to(a[0], a.shape), b) == [cosines(a[:1], b[i : i + 1])[0] for i in range(37)]).all()
+
+
+def test_clustered_vectors_are_searched_in_part(spark):
+    """On clusters the test stops early: whole cells and most leaves are skipped, and recall holds."""
+    rng = np.random.default_rng(13)
+    centres = rng.standard_normal((100, 32))
+    x = np.repeat(centres, 60, 0) + 0.08 * rng.standard_normal((6000, 32))
+    got = nearest(spark, x, 512)
+    u = unit(x)
+    hits = sum(len({v for _, v, _, _ in found} & set(np.argsort(-(u @ u[q]), kind="stable")[1:6].tolist())) for q, found in got.items())
+    assert len(got) == 120 and hits / 600 >= 0.9
+    assert np.mean([found[0][3] for found in got.values()]) < 0.5 * 6000
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id) for r in N.nearest_vectors(df, df).orderBy("query_id").collect()] == [(0, 1, 1), (1, 1, 0)]

@@ -38,10 +38,9 @@ def test_pieces_are_the_librarys(cache, text):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(0, 10**9), max_size=300).map(sorted))
+@given(st.lists(st.integers(0, 10**9) | st.integers(0, 2**64 - 1), max_size=300).map(sorted))
 def test_elias_fano(values):
     e = EliasFano.encode(np.array(values, np.uint64))
-    assert e.values().tolist() == values
     assert e.select(np.arange(len(values))).tolist() == values
     again = EliasFano.read(e.bytes(), *e.shape())
     assert again.select(np.arange(len(values))[::-1]).tolist() == values[::-1]
@@ -49,7 +48,7 @@ def test_elias_fano(values):
 
 def test_elias_fano_is_small():
     e = EliasFano.encode(np.arange(0, 1_000_000, 100))
-    assert e.nbytes * 8 / 10_000 < 2 + np.log2(100) + 0.1
+    assert e.nbytes * 8 / 10_000 < 2 + np.log2(100) + 0.2  # directory and all
     with pytest.raises(ValueError, match="decrease"):
         EliasFano.encode(np.array([2, 1]))
     with pytest.raises(IndexError):
@@ -62,9 +61,11 @@ def rows(spark, extra=True):
 
 
 def test_token_files_round_trip(spark, cache, tmp_path):
-    files = write_token_files(rows(spark), f"file://{tmp_path}/t")
+    files = write_token_files(rows(spark), f"file://{tmp_path}/t").orderBy("no").collect()
     docs, at = [], 0
-    for name, n, tokens in files:
+    assert [f.no for f in files] == list(range(len(files)))
+    for _, name, n, tokens, start in files:
+        assert start == at
         r = Reader(name)
         assert (r.n_docs, r.n_tokens) == (n, tokens)
         got = list(r)
@@ -89,6 +90,58 @@ def test_token_query_columns(spark, cache):
     assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
 
 
+def test_select_over_many_super_blocks():
+    rng = np.random.default_rng(4)
+    values = np.cumsum(rng.integers(0, 900, 200_000)).astype(np.uint64)
+    e = EliasFano.encode(values)
+    e = EliasFano.read(e.bytes(), *e.shape())
+    assert len(e.supers) > 3 and (e.select(np.arange(len(values))) == values).all()
+    some = rng.integers(0, len(values), 500)
+    assert (e.select(some) == values[some]).all()
+
+
+def test_wide_ids_files_and_long_texts(spark, cache, tmp_path, monkeypatch):
+    """The least and greatest doc_id of 64 bits in one file, documents longer than what is read at
+    once, files closed at their bound, and one task a file."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    from corpusloom.llm import token_files as T
+
+    cloudpickle.register_pickle_by_value(sys.modules["corpusloom.llm.token_files"])
+    try:
+        monkeypatch.setattr(T, "FILE_IDS", 5000)
+        monkeypatch.setattr(T, "IDS_AT_ONCE", 1000)
+        monkeypatch.setattr(T, "DOCS_AT_ONCE", 2)
+        texts = {-(1 << 63): "least", (1 << 63) - 1: "greatest one", 0: "word " * 7000, 1: "a b c", 2: "", 3: "x y " * 3000, 4: None}
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+        manifest = T.write_token_files(df, f"file://{tmp_path}/w")
+        assert manifest.count() >= 3 and all(r.docs for r in manifest.collect())
+        read = T.read_token_files(manifest)
+        assert read.rdd.getNumPartitions() == manifest.count()
+        got = {r.doc_id: r for r in read.collect()}
+        at = 0
+        for d in sorted(texts):
+            ids = [*library(cache, texts[d]), END_ID]
+            assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            at += len(ids)
+        assert len(got) == len(texts)
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules["corpusloom.llm.token_files"])
+
+
+def test_one_file_with_the_widest_ids(tmp_path):
+    from corpusloom.llm.token_files import Writer
+
+    w = Writer(f"file://{tmp_path}/one.cltok", 2)
+    ids = [None, None, -(1 << 63), -5, 0, (1 << 63) - 1]
+    for k, d in enumerate(ids):
+        w.add(d, np.arange(k + 1, dtype=np.uint32))
+    w.close()
+    assert [(d, s, len(x)) for d, s, x in Reader(f"file://{tmp_path}/one.cltok")] == [(d, k * (k + 1) // 2, k + 1) for k, d in enumerate(ids)]
+
+
 def test_empty_table(spark):
     none = rows(spark).limit(0)
     assert token_binary(none).count() == 0 and P.pack_documents(none).count() == 0

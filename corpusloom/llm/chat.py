@@ -6,9 +6,10 @@ reference and the tokens it will expand to are recorded. A turn is written as
 
     ### role: body</turn>\n
 
-Inside roles and texts, control strings are escaped reversibly: \ is \0, </turn> is \1, "### " is
-\2, <| is \3 and, in roles, ": " is \4. As each backslash then starts one of these, undoing the
-replacements in the opposite order restores the text.
+Inside roles, texts and types, control strings are escaped reversibly: \ is \0, </turn> is \1, "### "
+is \2, <| is \3 and, in roles, ": " is \4, in types, |> is \5. As each backslash then starts one of
+these, undoing the replacements in the opposite order restores the text. Text parts that follow each
+other are one text before they are escaped, so no control string can be put together from parts.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 HEAD, SEP, END = "### ", ": ", "</turn>\n"
 ESCAPES = (("\\", "\\0"), ("</turn>", "\\1"), ("### ", "\\2"), ("<|", "\\3"))
 ROLE_ESCAPES = (*ESCAPES, (": ", "\\4"))
+TYPE_ESCAPES = (*ESCAPES, ("|>", "\\5"))
 CONTENT = "array<struct<type:string,text:string,ref:string,amount:double>>"
 #: Tokens that an attachment expands to for each unit of its amount (tiles, seconds, pages; null: one).
 TOKENS = {"image": 576.0, "audio": 12.5, "document": 1024.0}
@@ -43,7 +45,7 @@ def text_content(text: Column) -> Column:
 
 
 def _placeholder(part: Column, turn: Column, no: Column) -> Column:
-    return F.concat(F.lit("<|"), F.coalesce(part["type"], F.lit("other")), F.lit(":"), turn.cast("string"), F.lit("."), no.cast("string"), F.lit("|>"))
+    return F.concat(F.lit("<|"), escape(F.coalesce(part["type"], F.lit("other")), TYPE_ESCAPES), F.lit(":"), turn.cast("string"), F.lit("."), no.cast("string"), F.lit("|>"))
 
 
 def _is_text(part: Column) -> Column:
@@ -60,7 +62,15 @@ def _tokens(part: Column) -> Column:
 def visit(content: Column, turn: Column) -> tuple[Column, Column]:
     """Flattened body and attachments of one turn. turn: its number in the conversation, from 0."""
     parts = F.coalesce(content, F.array().cast(CONTENT))
-    body = F.array_join(F.transform(parts, lambda p, i: F.when(_is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(_placeholder(p, turn, i))), "")
+    marked = F.transform(parts, lambda p, i: F.struct(_is_text(p).alias("text"), F.when(_is_text(p), F.coalesce(p["text"], F.lit(""))).otherwise(_placeholder(p, turn, i)).alias("s")))
+    empty = F.struct(F.lit("").alias("done"), F.lit("").alias("run"))
+    step = lambda a, p: F.struct(
+        F.when(p["text"], a["done"]).otherwise(F.concat(a["done"], escape(a["run"]), p["s"])).alias("done"),
+        F.when(p["text"], F.concat(a["run"], p["s"])).otherwise(F.lit("")).alias("run"),
+    )
+    several = F.aggregate(marked, empty, step, lambda a: F.concat(a["done"], escape(a["run"])))
+    single = escape(F.coalesce(F.element_at(parts, 1)["text"], F.lit("")))  # the usual case
+    body = F.when((F.size(parts) == 1) & F.element_at(marked, 1)["text"], single).otherwise(several)
     numbered = F.transform(parts, lambda p, i: F.struct(turn.cast("int").alias("turn"), i.alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens"), _placeholder(p, turn, i).alias("placeholder"), _is_text(p).alias("text")))
     kept = F.transform(F.filter(numbered, lambda p: ~p["text"]), lambda p: p.dropFields("text"))
     return body, kept

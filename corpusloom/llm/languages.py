@@ -23,7 +23,8 @@ SAMPLE = 2000
 BINS = 1 << 15
 #: A training task hands its counts on when it holds so many.
 HELD = 1 << 20
-ROUNDS = 12
+#: Expectation-maximisation ends when no proportion moves by more than this, or after so many rounds.
+STILL, ROUNDS = 1e-4, 500
 #: A further language must raise the log-likelihood by this many times log(n-grams) and have this share.
 PENALTY, LEAST_SHARE = 12.0, 0.1
 UNKNOWN = "und"
@@ -55,12 +56,21 @@ class Model:
     count: np.ndarray
     total: np.ndarray  # a language's counts with SMOOTH for each bin
 
-    def infer(self, text: str | None) -> tuple[str, float, list[str], list[float]]:
-        """Language, score, the set chosen and its proportions, largest first."""
+    def typical(self) -> np.ndarray:
+        """Mean log-likelihood of a trigram in text of each language."""
+        base = SMOOTH / self.total
+        p = (self.count + SMOOTH) / self.total[self.lang]
+        seen = np.bincount(self.lang, minlength=len(base))
+        return np.bincount(self.lang, p * np.log(p), len(base)) + (BINS - seen) * base * np.log(base)
+
+    def infer(self, text: str | None) -> tuple[str, float, list[str], list[float], float | None]:
+        """Language, score, the set chosen and its proportions, largest first, and the fit: the mean
+        log-likelihood of the text's trigrams in its best language, where 1 is that of the language's
+        own text and 0 that of trigrams never seen in it."""
         if not has_letter(text) or not self.langs:
-            return UNKNOWN, 0.0, [], []
-        if len(self.langs) == 1:
-            return self.langs[0], 1.0, self.langs, [1.0]
+            return UNKNOWN, 0.0, [], [], None
+        if not hasattr(self, "_typical"):
+            self._typical = self.typical()
         c = bins(text)
         at = np.flatnonzero(c)
         c = c[at].astype(float)
@@ -76,7 +86,9 @@ class Model:
         share = np.full(len(base), 1 / len(base))
         for _ in range(ROUNDS):
             r = c / (base @ share + np.bincount(row, more * share[col], len(c)))
-            share = share * (base * r.sum() + np.bincount(col, more * r[row], len(base))) / n
+            before, share = share, share * (base * r.sum() + np.bincount(col, more * r[row], len(base))) / n
+            if np.abs(share - before).max() < STILL:
+                break
         order = np.lexsort((np.arange(len(share)), -share))
         order = order[share[order] >= LEAST_SHARE]
         place = np.full(len(base), -1)
@@ -92,14 +104,16 @@ class Model:
                 chosen, value, parts = list(order[:k]), ll - PENALTY * (k - 1) * math.log(n + 1), s
         rank = np.argsort(-parts, kind="stable")
         chosen, parts = [chosen[i] for i in rank], parts[rank]
-        return self.langs[chosen[0]], float(min(1.0, share[chosen[0]])), [self.langs[i] for i in chosen], parts.tolist()
+        return self.langs[chosen[0]], float(min(1.0, share[chosen[0]])), [self.langs[i] for i in chosen], parts.tolist(), float((single[best] / n - math.log(base[best])) / (self._typical[best] - math.log(base[best])))
 
 
 def _em(p: np.ndarray, c: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
     """Proportions and log-likelihood of the mixture of p's columns."""
     n = c.sum()
     for _ in range(ROUNDS):
-        share = share * (p.T @ (c / (p @ share))) / n
+        before, share = share, share * (p.T @ (c / (p @ share))) / n
+        if np.abs(share - before).max() < STILL:
+            break
     return share, float(c @ np.log(p @ share))
 
 
@@ -149,21 +163,22 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def identify_language(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (text and any other columns) with lang_pred, score, langs (the set chosen) and shares.
+    """docs (text and any other columns) with lang_pred, score, langs (the set chosen), shares and fit
+    (near 1 for text like that learned from, near 0 for text of no learned language).
 
-    Null texts and texts without a letter are `und` with score 0 and an empty set. Whole texts are
+    Null texts and texts without a letter are `und` with score 0, an empty set and null fit. Whole texts are
     read. Columns of docs named like those added are replaced. An empty table gives no rows; without
     training rows every row is `und`.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # the trigrams each language was seen with
-    docs = docs.drop("lang_pred", "score", "langs", "shares")
+    docs = docs.drop("lang_pred", "score", "langs", "shares", "fit")
     at = docs.columns.index("text")
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in lean(batches):
             if b.num_rows:
                 found = [held.value.infer(t.as_py()) for t in b.column(at)]
-                cols = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "lang_pred", "score", "langs", "shares"])
+                cols = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "lang_pred", "score", "langs", "shares", "fit"])
 
-    return docs.mapInArrow(infer, plus(docs.schema, "lang_pred string, score double, langs array<string>, shares array<double>"))
+    return docs.mapInArrow(infer, plus(docs.schema, "lang_pred string, score double, langs array<string>, shares array<double>, fit double"))

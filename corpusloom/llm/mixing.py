@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.order import numbered
 from .common import WORD, written
 
 WEIGHTS = (5, 2, 1)
@@ -114,8 +115,31 @@ def settled(copies: list[int], size: list[int], target: float, most: int) -> lis
         off += step * size[i]
 
 
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """sizes (source, words, docs; one row a source) with its target, as `targets` has it: level by level
+    over the table, so that sources may be as many as hosts. Only sums pass the driver."""
+    no = numbered(sizes.withColumn("__last", F.col("source").isNull()), "__last", F.coalesce("source", F.lit("")))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("row_no") % len(weights) + 1).cast("int"))
+    known = written(no.select("source", "words", "docs", weight.alias("w")), "sources")
+    big = "decimal(38,0)"
+    total = known.agg(F.coalesce(F.sum(F.col("words").cast(big)), F.lit(0)).cast("string").alias("t")).first().t
+    level, capped = None, None
+    while True:
+        # words * most < level * w: cut off at the level so far
+        over = F.lit(False) if level is None else F.col("words").cast(big) * most * level.denominator < F.col("w").cast(big) * F.lit(str(level.numerator)).cast(big)
+        got = known.agg(F.count(F.when(over, 1)).alias("n"), F.coalesce(F.sum(F.when(over, F.col("words").cast(big))), F.lit(0)).cast("string").alias("words"), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0)).alias("w")).first()
+        if got.n == capped or not got.w:
+            break
+        capped, level = got.n, Fraction(int(total) - most * int(got.words), int(got.w))
+    ratio = F.lit(0.0) if level is None else F.lit(level.numerator / level.denominator)
+    return known.select("source", "words", "docs", F.when(over, (F.col("words") * most).cast("double")).otherwise(F.col("w") * ratio).alias("target"))
+
+
 def _slim(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *_keys())
+    """One row a document, without its text: doc_id, source, size, two keys of the row and, of equal rows, the how-manieth it is."""
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *_keys())
+    counted = rows.groupBy(rows.columns).agg(F.count("*").alias("__n"))
+    return counted.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__n")
 
 
 def _keys() -> list[Column]:
@@ -130,38 +154,42 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     size is the number of words, copies how often the mix takes the row. Null and empty texts have
     size 0 and fly like the others; a null source is a source of its own. A source without words
     takes each of its rows once. Repeated rows are units of their own. Columns of docs named like
-    those added are replaced. Equal inputs give equal results. An empty table gives no rows.
+    those added are replaced, those of any other name are kept. Equal inputs give equal results. An
+    empty table gives no rows.
 
     Decisions are made on rows without texts and joined to docs by a hash of the row; rows that are
     equal share their copies evenly.
     """
     added = ["size", "source_size", "target", "copies"]
     docs = docs.drop(*added)
-    made = _mixed(docs.sparkSession, written(_slim(docs), "sizes"), weights, most, block)
+    rest = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    made = _mixed(docs.sparkSession, written(_slim(docs.select("doc_id", "source", "text")), "sizes"), weights, most, block)
     made = made.groupBy("__k1", "__k2").agg(*(F.first(c).alias(c) for c in added[:3]), F.sum("copies").alias("__sum"), F.count("*").alias("__n"))
+    # other columns go along as one, so that no name of theirs meets one used here
+    rows = docs.select("doc_id", "source", "text", F.struct(*rest).alias("__rest") if rest else F.lit(None).alias("__rest"))
+    rows = rows.select("*", *_keys()).join(made, ["__k1", "__k2"])
     w = W.partitionBy("__k1", "__k2").orderBy("__k1")
-    rows = docs.select("*", *_keys()).withColumn("__i", F.row_number().over(w)).join(made, ["__k1", "__k2"])
+    # only rows that repeat are numbered
+    once, more = rows.where("__n = 1").withColumn("__i", F.lit(1)), rows.where("__n > 1").withColumn("__i", F.row_number().over(w))
+    rows = once.union(more)
     copies = F.expr("__sum div __n + if(__i <= __sum % __n, 1, 0)").cast("long")
-    return rows.select(*docs.columns, *added[:3], copies.alias("copies"))
+    return rows.select(*(F.col(f"__rest.`{c}`").alias(c) if c in rest else F.col(c) for c in docs.columns), *added[:3], copies.alias("copies"))
 
 
 def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """Like mix_sources, without the texts: doc_id, source, size, source_size, target, copies."""
     made = _mixed(docs.sparkSession, written(_slim(docs), "sizes"), weights, most, block)
-    return made.drop("__k1", "__k2")
+    return made.drop("__k1", "__k2", "__i")
 
 
 def _mixed(spark, rows: DataFrame, weights: tuple[int, ...], most: int, block: int) -> DataFrame:
-    # one row a source
-    of = {r.source: (r.words, r.docs) for r in rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).collect()}
-    goal = targets({s: w for s, (w, _) in of.items()}, weights, most)
-    plan = spark.createDataFrame(
-        [(s, w, goal[s], goal[s] / w if w else 1.0, max(1, math.ceil(n / block))) for s, (w, n) in of.items()],
-        "source string, source_size long, target double, ratio double, blocks long",
-    )
+    by = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
+    plan = source_targets(by, weights, most)
+    plan = written(plan.select("source", F.col("words").alias("source_size"), "target", F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(F.lit(1.0)).alias("ratio"), F.ceil(F.col("docs") / block).cast("int").alias("blocks")), "plan")
+    about = plan.agg(F.count("*").alias("n"), F.coalesce(F.max("blocks"), F.lit(1)).alias("blocks")).first()
     names = rows.columns
-    rows = rows.alias("d").join(F.broadcast(plan.alias("p")) if len(of) < 100_000 else plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    rows = rows.select(*(F.col(f"d.{c}") for c in names), "source_size", "target", F.floor("ratio").alias("copies"), (F.col("ratio") - F.floor("ratio")).alias("__p"), F.col("d.__k1").alias("__tie"), "blocks")
+    rows = rows.alias("d").join(F.broadcast(plan.alias("p")) if about.n < 100_000 else plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    rows = rows.select(*(F.col(f"d.{c}") for c in names), "source_size", "target", F.floor("ratio").alias("copies"), (F.col("ratio") - F.floor("ratio")).alias("__p"), F.xxhash64("d.__k1", "d.__i").alias("__tie"), "blocks")
     rows = rows.withColumn("__block", F.pmod(F.xxhash64("__tie"), F.col("blocks"))).drop("blocks")
     schema = T.StructType([f for f in rows.schema])
 
@@ -182,7 +210,7 @@ def _mixed(spark, rows: DataFrame, weights: tuple[int, ...], most: int, block: i
         t["__p"] = 0.0
         return t
 
-    blocks = max([1, *(math.ceil(n / block) for _, n in of.values())])
+    blocks = max(1, about.blocks)
     decided = []
     while blocks > 1:
         level = written(rows.groupBy("source", "__block").applyInPandas(fly, schema), "flight")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..storage import drop, new_path, written
 
-__all__ = ["WORD", "components", "drop", "lean", "new_path", "plus", "written"]
+__all__ = ["WORD", "components", "drop", "kept", "lean", "new_path", "plus", "written"]
 
 #: A word is a run of characters other than ASCII white space (20, 09-0D).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,6 +41,18 @@ def lean(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Reco
             pass
 
 
+_owner: list = [None, {}]
+
+
+def kept(owner: str) -> dict:
+    """What a worker process keeps between the tasks of one operator; the next operator's first task
+    lets go of it, as a worker lives through many."""
+    if _owner[0] != owner:
+        _owner[:] = owner, {}
+        gc.collect()
+    return _owner[1]
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over `links`, for each node that has a link.
 
@@ -74,4 +86,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         seen = now
     out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return out.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = out.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out.written_path = edges.written_path  # so that drop() deletes what it reads
+    return out

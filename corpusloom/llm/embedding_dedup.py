@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, drop, written
 from .hnsw import Hnsw, unit
 from .vectors import matrix, usable
 
@@ -192,6 +192,7 @@ def near_duplicate_vectors(rows: DataFrame, cosine: float = COSINE, shard: int =
     index = written(index.applyInPandas(lambda key, pdf: _index(pdf, cosine).assign(label=key[0], dim=key[1]), f"label {dict(classes.dtypes)['label']}, dim int, {INDEX}"), "graphs")
 
     found = index.selectExpr("inline(arrays_zip(nodes, keys, links, groups))").toDF("node", "key", "links", "group")
+    used = [classes, index]
     if index.where("shards > 1").isEmpty():
         result = found.select("node", "key", "links", F.col("group").alias("component"))
     else:
@@ -204,10 +205,13 @@ def near_duplicate_vectors(rows: DataFrame, cosine: float = COSINE, shard: int =
         more = across.where("other is null").groupBy("node", "key").agg(F.sum("links").alias("more"))
         edges = across.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).union(found.where("node <> group").select("node", "group"))
         joined = components(edges)
+        used += [across, joined]
         result = found.join(more, ["node", "key"], "left").join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
         result = result.select("node", "key", (F.col("links") + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("component"))
     of_class = classes.select("label", "key", "key2", "node").join(result, ["node", "key"]).select("label", "key", "key2", "links", "component")
     linked_rows = base.where("ok").select("vec_id", "label", "key", "key2").join(of_class, ["label", "key", "key2"])
     out = linked_rows.select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     out = out.union(base.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id")))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = written(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "components")
+    drop(*used)
+    return out

@@ -13,6 +13,8 @@
 4. So that no link is lost to step 3, components that then still share buckets, and that sizes
    and estimates (of small sets sizes alone) connect, form clusters; each cluster's texts meet in
    blocks and full sets are compared across components by matrix products. Pairs are never rows.
+   Members of a bucket, too, meet in blocks of a bounded number (see _meetings): those of its
+   largest component with the others, and the others with each other.
 5. Components of the confirmed links.
 
 At similarity 0.75 a pair shares no band with probability (1 - 0.75^5)^51 = 10^-6 (at 0.8,
@@ -24,7 +26,7 @@ At similarity 0.75 a pair shares no band with probability (1 - 0.75^5)^51 = 10^-
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -43,9 +45,10 @@ WORDS = PERMUTATIONS * BITS // 64
 MARGIN = 0.15
 #: Below so many shingles the low bits of minima depend on each other (0.09 at 4 shingles).
 SMALL = 64
-#: Rounds of proposals before the rest is compared in blocks of so many documents.
+#: Rounds of proposals before the rest is compared in blocks of so many documents and, of texts,
+#: about so many shingles (a longer text is a block of its own).
 ROUNDS = 2
-MEETING = 512
+MEETING, MEETING_SHINGLES = 512, 1 << 20
 SHINGLES_AT_ONCE = 4096
 SIMILARITY = 0.75
 
@@ -170,11 +173,31 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFram
     return out
 
 
-def _bucket_edges(rows: DataFrame, similarity: float) -> DataFrame:
+def _meetings(rows: DataFrame, group: str, blocks: Callable[[Column, Column], Column]) -> DataFrame:
+    """rows (group, component, rep, n_shingles and others) dealt into meetings (group, i, j, side) of two
+    blocks each. A group's largest component (A) needs no meeting with itself: block i of the rest (X)
+    meets block j of X (0 to xs - 1, i <= j) or block j - xs of A. blocks: their number for a count of
+    rows and of shingles."""
+    parts = rows.groupBy(group, "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    sizes = parts.groupBy(group).agg(F.max_by(F.struct("component", "n", "s"), F.struct("n", "component")).alias("a"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    sizes = sizes.select(group, F.col("a.component").alias("largest"), blocks(F.col("n") - F.col("a.n"), F.col("s") - F.col("a.s")).alias("xs"), blocks(F.col("a.n"), F.col("a.s")).alias("as"))
+    placed = rows.join(sizes, group).withColumn("inner", F.col("component") == F.col("largest"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("inner"), F.col("as")).otherwise(F.col("xs"))).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    meet = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    block, xs = F.col("block"), F.col("xs")
+    of_a = F.transform(every(xs), lambda i: meet(i, xs + block, 1))
+    first = F.transform(F.sequence(block, xs + F.col("as") - 1), lambda j: meet(block, j, 0))
+    second = F.transform(F.filter(every(xs), lambda i: i <= block), lambda i: meet(i, block, 1))
+    placed = placed.where("xs > 0").withColumn("m", F.explode(F.when(F.col("inner"), of_a).otherwise(F.concat(first, second))))
+    return placed.select(*rows.columns, "m.*")
+
+
+def _bucket_edges(rows: DataFrame, similarity: float, meeting: int = MEETING) -> DataFrame:
     """(a, b): edges between components that join those of a bucket whose members' sizes allow
-    `similarity` and whose estimates, unless a set is small, come near it. rows: key, component,
-    n_shingles and signature. No more edges leave a bucket than it has members."""
-    names = ["key", "component", "n_shingles", *(f"s{i}" for i in range(WORDS))]
+    `similarity` and whose estimates, unless a set is small, come near it. rows: key, component, rep,
+    n_shingles and signature. No more edges leave a meeting than it has members."""
+    names = ["group", "component", "n_shingles", *(f"s{i}" for i in range(WORDS))]
     hundred = round(100 * similarity)
     most = math.floor(PERMUTATIONS * (1 - 2.0**-BITS) * (1 - (similarity - MARGIN)))  # differing lanes
 
@@ -196,13 +219,12 @@ def _bucket_edges(rows: DataFrame, similarity: float) -> DataFrame:
                 left = left[~hit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest = np.zeros((0, len(names)), np.int64)  # at most one meeting goes on in the next batch
         for b in chain(batches, [None]):
-            t = rest if b is None else np.array([b.column(i).to_numpy() for i in range(len(names))]).T if rest is None else np.vstack([rest, np.array([b.column(i).to_numpy() for i in range(len(names))]).T])
-            if t is None or not len(t):
+            t = rest if b is None else np.vstack([rest, np.array([b.column(i).to_numpy() for i in range(len(names))]).T])
+            if not len(t):
                 continue
             starts = np.flatnonzero(np.concatenate([[True], t[1:, 0] != t[:-1, 0]]))
-            # the last group goes on in the next batch
             stop = len(t) if b is None else starts[-1]
             found = set()
             for i, j in zip(starts, [*starts[1:], len(t)], strict=True):
@@ -213,7 +235,12 @@ def _bucket_edges(rows: DataFrame, similarity: float) -> DataFrame:
                 x, y = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    return rows.select(names).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    # most buckets are one meeting of one block; their rows needn't be told apart by sides
+    small = rows.groupBy("key").agg(F.count("*").alias("n"))
+    rows = rows.join(small, "key")
+    one = rows.where(F.col("n") <= meeting).withColumn("group", F.col("key"))
+    many = _meetings(rows.where(F.col("n") > meeting).drop("n"), "key", lambda n, _: F.ceil(n / meeting).cast("int")).withColumn("group", F.xxhash64("key", "i", "j"))
+    return one.select(names).union(many.select(names)).repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_pairs(one: list[np.ndarray], two: list[np.ndarray], hundred: int) -> np.ndarray:
@@ -237,37 +264,25 @@ def similar_pairs(one: list[np.ndarray], two: list[np.ndarray], hundred: int) ->
     return 100 * common >= hundred * (n[:, None] + m[None, :] - common)
 
 
-def _across(docs: DataFrame, rows: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame | None:
+def _across(docs: DataFrame, rows: DataFrame, sigs: DataFrame, similarity: float, meeting: int = MEETING) -> DataFrame | None:
     """Links between components of rows (key, rep, component), found without making pairs.
 
-    Components that sizes and estimates connect form a cluster. Its members' texts meet in blocks of a bounded
-    number: those of the largest component (A) with the rest (X), and the rest with itself; within the
-    largest nothing is left to find. In each meeting full sets are compared, and one link is reported
-    for components it joins.
+    Components that sizes and estimates connect form a cluster, whose members' texts meet in blocks
+    (see _meetings). In each meeting full sets are compared, and one link is reported for components
+    it joins.
     """
     hundred = round(100 * similarity)
-    edges = written(_bucket_edges(rows.join(sigs, "rep"), similarity), "edges")
+    edges = written(_bucket_edges(rows.join(sigs, "rep"), similarity, meeting), "edges")
     if edges.isEmpty():
         drop(edges)
         return None
-    cluster = written(components(edges), "clusters")
-    drop(edges)
-    members = rows.select("rep", "component").distinct().join(cluster.toDF("component", "cluster"), "component")
+    joined = components(edges)
+    cluster = written(joined, "clusters")
+    drop(edges, joined)
+    members = rows.select("rep", "component").distinct().join(cluster.toDF("component", "cluster"), "component").join(sigs.select("rep", "n_shingles"), "rep")
     members = written(members, "members")
-    sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("a"), F.sum("n").alias("n"))
-    blocks = lambda c: F.ceil(c / MEETING).cast("int")
-    sizes = sizes.select("cluster", "largest", blocks(F.col("n") - F.col("a")).alias("xs"), blocks(F.col("a")).alias("as"))
-    placed = members.join(sizes, "cluster").withColumn("inner", F.col("component") == F.col("largest"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("inner"), F.col("as")).otherwise(F.col("xs"))).cast("int"))
-    # meetings (i, j): block i of X with block j of X (0 to xs - 1, i <= j) or block j - xs of A
-    every = lambda n: F.sequence(F.lit(0), n - 1)
-    meet = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
-    block, xs = F.col("block"), F.col("xs")
-    of_a = F.transform(every(xs), lambda i: meet(i, xs + block, 1))
-    first = F.transform(F.sequence(block, xs + F.col("as") - 1), lambda j: meet(block, j, 0))
-    second = F.transform(F.filter(every(xs), lambda i: i <= block), lambda i: meet(i, block, 1))
-    placed = placed.select("cluster", "component", "rep", F.explode(F.when(F.col("inner"), of_a).otherwise(F.concat(first, second))).alias("m")).select("cluster", "component", "rep", "m.*")
+    placed = _meetings(members, "cluster", lambda n, shingles: F.ceil(F.greatest(n / meeting, F.when(n > 0, shingles / MEETING_SHINGLES).otherwise(0))).cast("int"))
+    placed = placed.select("cluster", "component", "rep", "i", "j", "side")
     texts = _texts(docs, members.select(F.col("rep").alias("doc_id")).distinct())
     units = placed.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
 
@@ -289,7 +304,7 @@ def _across(docs: DataFrame, rows: DataFrame, sigs: DataFrame, similarity: float
     return more
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, meeting: int = MEETING) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for docs (doc_id, text), one row a row.
 
     Links: 100 * |intersection| >= 100 * similarity * |union| of the shingle sets. Texts without
@@ -327,7 +342,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         votes = rows.join(hub, "key").where("component <> hub.component").groupBy(F.col("hub.a").alias("a"), F.col("rep").alias("b")).count()
         return votes.groupBy("b").agg(F.min_by("a", F.struct(-F.col("count"), "a")).alias("a")).select("a", "b")
 
-    found, links = None, None
+    found, links, confirmed = None, None, []
     for no in range(ROUNDS + 1):
         rows = written(placed(found), "placed")
         if no < ROUNDS:
@@ -335,17 +350,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             more = None if pairs.isEmpty() else _confirmed(docs, pairs, similarity)
             drop(pairs)
         else:
-            more = _across(docs, rows, classes.select("rep", "n_shingles", *sig), similarity)
+            more = _across(docs, rows, classes.select("rep", "n_shingles", *sig), similarity, meeting)
         drop(rows)
         if more is None:
             continue
         links = more if links is None else links.union(more)
-        found = written(components(links), "components")
-
-    if found is None:
+        confirmed.append(more)
+        joined = components(links)
+        if found is not None:
+            drop(found)
+        found = written(joined, "components")
+        drop(joined)
+    drop(active, *confirmed)
+
+    alone_classes = found is None
+    if alone_classes:
         found = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
     class_of = classes.select("c1", "c2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     # the smallest doc_id of a class is its representative, so a component's smallest node is its smallest document
     out = sets.select("doc_id", "n_shingles", "c1", "c2").join(class_of, ["c1", "c2"]).select("doc_id", "n_shingles", "component_id")
     alone = all_docs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = written(out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "duplicates")
+    drop(all_docs, classes, *([] if alone_classes else [found]))
+    return out

@@ -104,17 +104,17 @@ def best_cuts(places: list[int], cost: list[float], window: int = WINDOW, powers
 class Packer:
     """Takes documents in order, gives pieces (doc_id, start, length, crc, doc_tokens, sequence, offset)."""
 
-    def __init__(self, ends_sentence: np.ndarray, window: int = WINDOW, base: int = 0):
+    def __init__(self, ends_sentence: np.ndarray, window: int = WINDOW, base: int = 0, stretch: int = STRETCH):
         self.is_end = np.zeros(1 << 20, bool)
         self.is_end[ends_sentence] = True
-        self.window, self.sequence = window, base
+        self.window, self.sequence, self.stretch = window, base, stretch
         self.docs: list[tuple] = []  # doc_id, ids not yet cut off, start of these in the document, document's ids
         self.n = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[tuple]:
         self.docs.append((doc_id, ids, 0, len(ids)))
         self.n += len(ids)
-        if self.n >= STRETCH:
+        if self.n >= self.stretch:
             yield from self.flush(last=False)
 
     def flush(self, last: bool = True) -> Iterator[tuple]:

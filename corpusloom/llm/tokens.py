@@ -10,6 +10,8 @@ from array import array
 
 import numpy as np
 
+from .common import kept
+
 #: After a letter or digit these always start a new pre-token.
 TAIL = b".,;:!?"
 #: Pieces that a worker's cache holds before it starts anew (about 200 bytes each).
@@ -73,14 +75,12 @@ class Pieces(dict):
         return b"".join(map(self.__getitem__, raw.split()))
 
 
-_known: dict[str, Pieces] = {}
-
-
 def pieces(vocab: str) -> Pieces:
     """One cache for a worker process and vocabulary."""
-    if vocab not in _known:
-        _known[vocab] = Pieces(vocab)
-    return _known[vocab]
+    known = kept("tokens")
+    if vocab not in known:
+        known[vocab] = Pieces(vocab)
+    return known[vocab]
 
 
 def default_vocab() -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, plus
+from .common import kept, lean, plus
 
 #: Training takes at most so many toxic and ordinary rows, of texts up to so many characters.
 SAMPLE, ORDINARY, SAMPLE_CHARS = 2000, 4000, 20_000
@@ -126,14 +126,12 @@ class Distance(dict):
         return np.fromiter(map(self.__getitem__, text), np.int64, len(text))
 
 
-_last: list = [None, None]
-
-
 def _distance(toxic: bytes, ordinary: bytes) -> Distance:
     """One for a worker process and model, as loading a dictionary takes as long as many documents."""
-    if _last[0] != (toxic, ordinary):
-        _last[:] = (toxic, ordinary), Distance(toxic, ordinary)
-    return _last[1]
+    here = kept("toxicity")
+    if here.get("of") != (toxic, ordinary):
+        here.update({"of": (toxic, ordinary), "distance": Distance(toxic, ordinary)})
+    return here["distance"]
 
 
 def features(lengths: np.ndarray, known: int) -> np.ndarray:

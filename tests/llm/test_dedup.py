@@ -49,9 +49,9 @@ def plain_duplicates(rows):
     return sorted((str(d), len(s), str(low.get(d)), d is None or low[d] == d) for d, s in sets)
 
 
-def near(spark, rows):
+def near(spark, rows, **how):
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, key string, s0 int")
-    return sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in M.near_duplicates(df).collect())
+    return sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in M.near_duplicates(df, **how).collect())
 
 
 def copies(seed, n, words, edits):
@@ -106,8 +106,8 @@ def test_small_sets_of_a_bucket_are_joined_whatever_the_estimate(spark):
     for i, pair in enumerate(underestimated(3)):
         for j, t in enumerate(pair):
             s = M.shingle_set(t)
-            rows.append((i, 2 * i + j, len(s), *M.packed(M.minima(s)).tolist()))
-    df = spark.createDataFrame(rows, "key long, component long, n_shingles long, " + ", ".join(f"s{i} long" for i in range(M.WORDS)))
+            rows.append((i, 2 * i + j, 2 * i + j, len(s), *M.packed(M.minima(s)).tolist()))
+    df = spark.createDataFrame(rows, "key long, component long, rep long, n_shingles long, " + ", ".join(f"s{i} long" for i in range(M.WORDS)))
     assert {frozenset((r.a, r.b)) for r in M._bucket_edges(df, M.SIMILARITY).collect()} == {frozenset((2 * i, 2 * i + 1)) for i in range(3)}
 
 
@@ -133,6 +133,42 @@ def test_chain_of_edits_is_one_component(spark):
     assert len({r[2] for r in got}) == 1
 
 
+@pytest.mark.parametrize("meeting", [2, 3, 7])
+def test_meetings_of_many_blocks(spark, meeting):
+    """Buckets and clusters of several blocks give what one block does: chains and stars of edits
+    around common text, and others that share a passage only."""
+    rng = np.random.default_rng(meeting)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for g in range(4):
+        base = [f"g{g}{w}" for w in words]
+        for i in range(12):
+            t = list(base)
+            for _ in range(int(rng.integers(0, 3))):
+                t[int(rng.integers(0, 60))] = f"e{i}"
+            rows.append((len(rows), " ".join(t)))
+        rows.append((len(rows), " ".join(base[:40] + [f"z{g}{i}" for i in range(25)])))
+    assert near(spark, rows, meeting=meeting) == plain_duplicates(rows)
+
+
+def test_blocks_of_a_bucket_meet(spark):
+    """A bucket over the bound, members of many components: the same components are joined."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(90):
+        t = list(base) if i < 60 else [f"v{k}" for k in range(300)]
+        for _ in range(3):
+            t[int(rng.integers(0, 300))] = f"e{i}"
+        s = M.shingle_set(" ".join(t))
+        rows.append((1, i // 10 if i < 30 else i, i, len(s), *M.packed(M.minima(s)).tolist()))
+    df = spark.createDataFrame(rows, "key long, component long, rep long, n_shingles long, " + ", ".join(f"s{i} long" for i in range(M.WORDS))).repartition(4)
+    whole, split = ([(r.a, r.b) for r in M._bucket_edges(df, M.SIMILARITY, m).collect()] for m in (1000, 8))
+    names = {r[1] for r in rows}
+    assert plain_components(names, whole) == plain_components(names, split)
+    assert len(set(plain_components(names, split).values())) == 2
+
+
 def test_no_documents(spark):
     assert near(spark, []) == []
 

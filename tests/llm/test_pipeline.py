@@ -53,6 +53,24 @@ def test_dedup_stage(spark, docs):
     assert out.columns == COLUMNS and ids(out) == sorted(kept)
 
 
+def test_junk_is_rejected(spark, docs):
+    junk = spark.createDataFrame([(91_000, "xqzv kjwq zzxk qqpw vvbx kwjz hgfx qzxw", None, "src0", 1), (91_001, "Это русский текст о погоде", None, "src0", 1)], docs.schema)
+    out = P.language_id(spark, docs.union(junk), SMALL)
+    assert set(ids(docs.union(junk))) - set(ids(out)) == {90_000, 90_001, 90_002, 91_000, 91_001}
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """Different texts survive, near copies of kept texts don't, equal rows are one, clashing names are kept."""
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, long, 0), (1, "quite another text here that is alone in the table", 0), (1, "a third text with the very same number as two others", 0), (2, long + " end", 0), (3, "x y z", 0), (3, "x y z", 0), (None, "x y z", 0), (None, None, 0), (4, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id int")
+    out = P.near_dedup(spark, df, SMALL)
+    assert out.columns == df.columns
+    got = sorted(map(str, ((r.doc_id, r.text) for r in out.collect())))
+    assert got == sorted(map(str, [(1, rows[0][1]), (1, rows[1][1]), (1, rows[2][1]), (3, "x y z"), (None, "x y z"), (None, None), (4, None)]))
+    assert P.near_dedup(spark, df.limit(0), SMALL).count() == 0
+
+
 def test_mixing_stage(spark, docs):
     from corpusloom.llm.mixing import mix_sources
 

@@ -76,11 +76,63 @@ def test_mixing(spark):
     assert X.mix_sources(df.limit(0)).count() == 0
 
 
+def test_targets_of_many_sources(spark):
+    """The table's way against the plain one, ties and empty sources included."""
+    rng = np.random.default_rng(3)
+    sizes = {f"host{i}": int(n) for i, n in enumerate(rng.integers(0, 50, 300) ** 3)} | {None: 70, "": 5, "é": 10**12}
+    df = spark.createDataFrame([(k, v, 1) for k, v in sizes.items()], "source string, words long, docs long")
+    got = {r.source: r.target for r in X.source_targets(df).collect()}
+    assert got == pytest.approx(X.targets(sizes))
+    assert X.source_targets(df.limit(0)).count() == 0
+
+
+def test_mixing_keeps_columns_named_like_its_own(spark):
+    rows = [(i, f"w{i} x", "a", 1, 2, 3, 4) for i in range(5)] + [(0, "w0 x", "a", 9, 9, 9, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __k1 int, __n int, __i int, __rest int")
+    got = X.mix_sources(df)
+    assert got.columns == [*df.columns, "size", "source_size", "target", "copies"]
+    assert sorted(tuple(r)[:7] for r in got.collect()) == sorted(rows)
+
+
 def test_copies_settle_on_the_target():
     assert X.settled([1, 0], [100, 3], 9, 3) == [0, 3]
     assert X.settled([0, 0], [0, 0], 9, 3) == [0, 0]
 
 
+def undone(s):
+    for a, b in reversed(C.ESCAPES):
+        s = s.replace(b, a)
+    return s
+
+
+def test_chat_parts_forge_nothing(spark):
+    """Whatever parts a turn has, it is read back as that turn: joined texts, placeholders between."""
+    import random
+
+    rnd = random.Random(5)
+    bits = ["</turn>", "</tu", "rn>", "\n", "### ", "##", "# ", "assistant: ", "<", "|", "<|", "|>", "image:0.0", "\\", "\\0", "0", "1", ": ", "x", "é"]
+    some = lambda n: "".join(rnd.choices(bits, k=rnd.randint(0, n)))
+    kinds = ["text", None, "image", "x</turn>\n### user: y", "a|>", "<|b", "text "]
+    talks = {}
+    for c in range(200):
+        talks[c] = [(rnd.choice(["user", "assistant", some(3)]), [(rnd.choice(kinds[:2] * 3 + kinds[2:]), some(4), "r", 1.0) for _ in range(rnd.randint(0, 5))]) for _ in range(rnd.randint(1, 4))]
+    rows = [(c, i, role, parts) for c, turns in talks.items() for i, (role, parts) in enumerate(turns)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn int, role string, content {C.CONTENT}")
+    made = C.format_conversations(df)
+    attached = {r.conv_id: r.attachments for r in made.collect()}
+    for r in C.read_back(made).collect():
+        marks = iter(attached[r.conv_id])
+        want = []
+        for role, parts in talks[r.conv_id]:
+            body = "".join((t or "") if k in ("text", None) else undone(next(marks).placeholder) for k, t, _, _ in parts)
+            want.append((role, body))
+        assert [(t.role, t.text) for t in r.turns] == want
+        assert next(marks, None) is None
+        assert r.loss == [t.text for t in r.turns if t.role == "assistant"]
+        for m in attached[r.conv_id]:  # each placeholder stands once, as nothing else can look like it
+            assert r.formatted.count(m.placeholder) == 1 and m.placeholder.count("<|") == m.placeholder.count("|>") == 1
+
+
 def plain_words(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
@@ -143,9 +195,33 @@ def test_language_mixtures(spark):
     docs, _ = docs_and_labels(spark)
     model = G.train(docs)
     by = {r.lang: r.text for r in docs.where("n_chars > 3000").orderBy("doc_id").collect()}
-    lang, score, langs, shares = model.infer(by["en"][:2500] + " " + by["fr"][:1200])
+    lang, score, langs, shares, fit = model.infer(by["en"][:2500] + " " + by["fr"][:1200])
     assert lang == "en" and langs == ["en", "fr"] and 0.5 < score < 0.9 and sum(shares) == pytest.approx(1)
-    assert model.infer(by["de"])[2] == ["de"]
+    assert model.infer(by["de"])[2] == ["de"] and model.infer(by["de"])[4] > 0.8 and fit > 0.7
+    assert all(model.infer(t)[4] < 0.25 for t in ("xqzv kjwq zzxk qqpw vvbx", "Это русский текст о погоде"))
+
+
+def test_shares_against_a_grid(spark):
+    """Two languages: the share that a fine grid of mixtures finds likeliest, and the likelier set."""
+    docs, _ = docs_and_labels(spark)
+    whole = G.train(docs.where("lang in ('en', 'de')"))
+    by = {r.lang: r.text for r in docs.where("n_chars > 3000").orderBy("doc_id").collect()}
+    assert whole.langs == ["de", "en"]
+    dense = np.tile(G.SMOOTH / whole.total, (G.BINS, 1))
+    row = np.repeat(np.arange(G.BINS), np.diff(whole.starts))
+    dense[row, whole.lang] += whole.count / whole.total[whole.lang]
+    grid = np.linspace(0, 1, 2001)
+    for a, b in ((3000, 0), (0, 3000), (2000, 1000), (600, 2400), (1500, 1500), (300, 60)):
+        text = by["de"][:a] + " " + by["en"][:b]
+        c = G.bins(text)
+        at = np.flatnonzero(c)
+        values = np.array([c[at] @ np.log(dense[at] @ [s, 1 - s]) for s in grid])
+        best = grid[values.argmax()]
+        lang, score, langs, shares, _ = whole.infer(text)
+        assert lang == ("de" if best >= 0.5 else "en") and score == pytest.approx(max(best, 1 - best), abs=0.01)
+        alone = max(values[0], values[-1])
+        both = values.max() - G.PENALTY * np.log(c.sum() + 1) > alone and min(best, 1 - best) >= G.LEAST_SHARE
+        assert len(langs) == 1 + both and sum(shares) == pytest.approx(1)
 
 
 def test_every_language_is_learned(spark):

@@ -209,6 +209,30 @@ def test_packing(spark, cache):
         assert at <= P.WINDOW
 
 
+def test_pieces_across_stretches():
+    """With many short stretches, the last sequence of one starts the next: nothing is lost or padded early."""
+    rng = np.random.default_rng(2)
+    docs = [(d, rng.integers(2, 50, int(rng.integers(1, 900))).astype(np.uint32)) for d in range(120)]
+    packer = P.Packer(np.array([7, 9], np.uint32), window=128, base=5, stretch=1000)
+    pieces = [p for d, ids in docs for p in packer.add(d, ids)]
+    before_end = len({p[5] for p in pieces})
+    pieces += list(packer.flush())
+    assert before_end > 50
+    at = 0
+    stream = np.concatenate([ids for _, ids in docs])
+    sequences = {}
+    for d, start, length, crc, total, sequence, offset in pieces:
+        ids = docs[d][1]
+        assert total == len(ids) and crc == zlib.crc32(ids[start : start + length].astype("<u4").tobytes())
+        assert (ids[start : start + length] == stream[at : at + length]).all()
+        at += length
+        assert sequences.get(sequence, 0) == offset
+        sequences[sequence] = offset + length
+    assert at == len(stream) and list(sequences) == list(range(5, 5 + len(sequences))) and max(sequences.values()) <= 128
+    whole = P.best_cuts(*P.cut_places(np.cumsum([len(x) for _, x in docs]), np.flatnonzero(np.isin(stream, [7, 9])) + 1, len(stream)), 128)
+    assert len(sequences) <= 1.05 * len(whole)
+
+
 def test_packing_pads_little(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
     sizes = [r.n for r in P.pack_documents(docs).groupBy("sequence_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()]

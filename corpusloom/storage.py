@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where the setting is absent (tests on one machine) a
-    temporary one, which is then set."""
+    """The folder in spark.checkpoint.dir. Where the setting is absent and all runs on one machine
+    (a local master, as in tests) a temporary one, which is then set; on a cluster that's an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,9 +25,13 @@ def clip_score(a: Column, b: Column, weight: float = 2.5) -> Column:
     return weight * F.greatest(cosine(a, b), F.lit(0.0))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, though lambdas inside refer to it for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def log_sum_exp(v: Column) -> Column:
-    top = F.array_max(doubles(v))
-    return top + F.ln(F.aggregate(F.transform(doubles(v), lambda x: F.exp(x - top)), F.lit(0.0), lambda s, x: s + x))
+    return once(F.array_max(doubles(v)), lambda top: top + F.ln(F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + F.exp(x - top))))
 
 
 def cross_entropy(logits: Column, label: Column) -> Column:
@@ -38,7 +44,7 @@ def soft_capped(v: Column, cap: float = 30.0) -> Column:
 
 
 def rms_normalised(v: Column, epsilon: float = 1e-6) -> Column:
-    return F.transform(doubles(v), lambda x: x / F.sqrt(dot(v, v) / F.size(v) + epsilon))
+    return once(F.sqrt(dot(v, v) / F.size(v) + epsilon), lambda size: F.transform(doubles(v), lambda x: x / size))
 
 
 def masked_mean(values: Column, mask: Column) -> Column:

@@ -58,7 +58,7 @@ def characters(c: Column) -> Column:
 
 
 def _bleu(df: DataFrame, lang: str) -> dict[str, DataFrame]:
-    b = M.bleu(df, characters if lang == "zh" else M.tokens)
+    b = M.bleu(df, characters if lang == "zh" else M.tokens_13a)
     return {"SacreBLEU": b.select(F.col("bleu").alias("value"))}
 
 

@@ -1,11 +1,16 @@
 """Text metrics as aggregations: BLEU, CIDEr, METEOR on exact matches.
 
-Predictions come as (id, prediction, references); n-grams are rows, so nothing but sums per corpus
-or sample meets in one task.
+Predictions come as (id, prediction, references). What concerns one sample is counted where its row
+is, in Arrow batches; of BLEU only sums leave a batch, of CIDEr one row an n-gram, which is shuffled
+for the document frequencies alone.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,15 +23,20 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0))
 
 
-def ngrams(t: Column, n: int) -> Column:
-    places = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.array_join(F.slice(t, i, n), " "))
+def tokens_13a(c: Column) -> Column:
+    """The published metric's default tokens, with their case: signs apart, but not points and commas
+    between digits, nor hyphens that don't follow a digit."""
+    c = F.replace(F.replace(F.replace(c, F.lit("<skipped>"), F.lit("")), F.lit("-\n"), F.lit("")), F.lit("\n"), F.lit(" "))
+    for entity, sign in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        c = F.replace(c, F.lit(entity), F.lit(sign))
+    c = F.concat(F.lit(" "), c, F.lit(" "))
+    for pattern, out in ((r"([{-~\[-` -&(-+:-@/])", " $1 "), (r"([^0-9])([.,])", "$1 $2 "), (r"([.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 ")):
+        c = F.regexp_replace(c, pattern, out)
+    return F.filter(F.split(c, r"\s+"), lambda t: t != "")
 
 
-def _counted(df: DataFrame, keys: list[str], t: str) -> DataFrame:
-    """keys, n, gram, c: n-grams of each row's tokens up to ORDER."""
-    grams = F.concat(*(F.transform(ngrams(F.col(t), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in range(1, ORDER + 1)))  # noqa: B023
-    return df.select(*keys, F.explode(grams).alias("g")).groupBy(*keys, "g.n", "g.gram").agg(F.count("*").alias("c"))
+def _counts(t: list[str]) -> list[Counter]:
+    return [Counter(" ".join(t[i : i + n]) for i in range(len(t) - n + 1)) for n in range(1, ORDER + 1)]
 
 
 def _sides(df: DataFrame, tokenizer) -> tuple[DataFrame, DataFrame]:
@@ -41,15 +51,24 @@ def bleu(df: DataFrame, tokenizer=tokens) -> DataFrame:
     Clipped by the greatest count in any reference; the reference length is the nearest one's
     (the shorter of two as near). A precision without matches is smoothed by halving.
     """
-    hyp, ref = _sides(df, tokenizer)
-    most = _counted(ref, ["id", "ref"], "t").groupBy("id", "n", "gram").agg(F.max("c").alias("most"))
-    own = _counted(hyp, ["id"], "t")
-    sums = own.join(most, ["id", "n", "gram"], "left").groupBy("n").agg(F.sum("c").alias("total"), F.sum(F.least("c", F.coalesce("most", F.lit(0)))).alias("match"))
-    lengths = hyp.select("id", F.size("t").alias("h")).join(ref.select("id", F.size("t").alias("r")), "id")
-    nearest = lengths.groupBy("id").agg(F.first("h").alias("h"), F.min_by("r", F.struct(F.abs(F.col("h") - F.col("r")), "r")).alias("r"))
-    size = nearest.agg(F.sum("h").alias("prediction_length"), F.sum("r").alias("reference_length"))
-    wide = sums.agg(*(F.coalesce(F.max(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}") for n in range(1, ORDER + 1) for c in ("match", "total")))
-    out = wide.crossJoin(size)  # a row each
+    rows = df.select(tokenizer(F.col("prediction")).alias("h"), F.transform("references", tokenizer).alias("r")).where("h is not null and r is not null")
+    names = [*(f"match{n}" for n in range(1, ORDER + 1)), *(f"total{n}" for n in range(1, ORDER + 1)), "prediction_length", "reference_length"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = [0] * len(names)
+            for h, refs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                refs = [r for r in refs if r is not None]
+                counted = [_counts(r) for r in refs]
+                for n, own in enumerate(_counts(h)):
+                    sums[n] += sum(min(c, max((r[n][g] for r in counted), default=0)) for g, c in own.items())
+                    sums[ORDER + n] += own.total()
+                if refs:
+                    sums[-2] += len(h)
+                    sums[-1] += min((len(r) for r in refs), key=lambda x: (abs(len(h) - x), x))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in sums], names)
+
+    out = rows.mapInArrow(count, ", ".join(f"{x} long" for x in names)).agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names))
     zero = F.lit(0)
     for n in range(1, ORDER + 1):
         zero = zero + F.when(F.col(f"match{n}") == 0, 1).otherwise(0)
@@ -67,17 +86,33 @@ def cider(df: DataFrame, tokenizer=tokens, clipped: bool = True, sigma: float =
     clipped: counts are cut to the reference's and lengths that differ are discounted (the variant
     called D). Document frequencies count samples whose references hold the n-gram.
     """
-    hyp, ref = _sides(df, tokenizer)
-    own, theirs = _counted(hyp, ["id"], "t"), _counted(ref, ["id", "ref"], "t")
-    samples = df.agg(F.count("*").alias("samples"))
-    often = theirs.select("id", "n", "gram").distinct().groupBy("n", "gram").agg(F.count("*").alias("df"))
-    weigh = lambda t: t.join(often, ["n", "gram"], "left").crossJoin(samples).withColumn("w", F.col("c") * (F.ln("samples") - F.ln(F.coalesce("df", F.lit(1))))).drop("df", "samples", "c")
-    a, b = weigh(own), weigh(theirs).withColumnRenamed("w", "v")
-    norm_a = a.groupBy("id", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_a"))
-    norm_b = b.groupBy("id", "ref", "n").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm_b"))
+    kind = df.schema["id"].dataType
+    rows = df.select("id", tokenizer(F.col("prediction")).alias("h"), F.transform("references", tokenizer).alias("r"))
+    schema = f"id {kind.simpleString()}, ref int, n int, gram string, c long, d long, first int"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                known = [set() for _ in range(ORDER)]
+                own = _counts(b.column(1)[k].as_py() or [])
+                for ref, r in enumerate(b.column(2)[k].as_py() or []):
+                    for n, (c, d) in enumerate(zip(own, _counts(r or []), strict=True)):
+                        grams = list(c | d)
+                        if grams:
+                            # a sample counts once for a gram, whichever of its references hold it
+                            new = [int(g in d and g not in known[n]) for g in grams]
+                            known[n].update(d)
+                            size = len(grams)
+                            yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[k].as_py()] * size, b.schema.field(0).type), pa.array([ref] * size, pa.int32()), pa.array([n + 1] * size, pa.int32()), pa.array(grams), pa.array([c[g] for g in grams], pa.int64()), pa.array([d[g] for g in grams], pa.int64()), pa.array(new, pa.int32())], ["id", "ref", "n", "gram", "c", "d", "first"])
+
+    grams = rows.mapInArrow(count, schema)
+    often = grams.groupBy("n", "gram").agg(F.sum("first").alias("df"))
+    idf = F.ln("samples") - F.ln(F.greatest("df", F.lit(1)))
+    both = grams.join(often, ["n", "gram"]).crossJoin(df.agg(F.count("*").alias("samples"))).select("id", "ref", "n", (F.col("c") * idf).alias("w"), (F.col("d") * idf).alias("v"))
     product = F.least("w", "v") * F.col("v") if clipped else F.col("w") * F.col("v")
-    dots = a.join(b, ["id", "n", "gram"]).groupBy("id", "ref", "n").agg(F.sum(product).alias("dot"))
-    sims = dots.join(norm_a, ["id", "n"]).join(norm_b, ["id", "ref", "n"]).withColumn("sim", F.coalesce(F.try_divide("dot", F.col("norm_a") * F.col("norm_b")), F.lit(0.0)))
+    sims = both.groupBy("id", "ref", "n").agg(F.sum(product).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_a"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm_b"))
+    sims = sims.withColumn("sim", F.coalesce(F.try_divide("dot", F.col("norm_a") * F.col("norm_b")), F.lit(0.0)))
+    hyp, ref = _sides(df, tokenizer)
     size = hyp.select("id", F.size("t").alias("h")).join(ref.select("id", "ref", F.size("t").alias("r")), "id")
     near = F.exp(-F.pow((F.col("h") - F.col("r")).cast("double"), 2) / (2 * sigma * sigma)) if clipped else F.lit(1.0)
     per_ref = size.join(sims.groupBy("id", "ref").agg((F.sum("sim") / ORDER).alias("s")), ["id", "ref"], "left")

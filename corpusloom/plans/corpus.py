@@ -255,11 +255,16 @@ def _ended(spark, sf_dir, compat):
     return rows.select("doc_id", F.md5(X.end_sentence(F.col("text"), F.col("lang"), compat)).alias("fixed"))
 
 
-@query()
+_DIGITS = "零一二三四五六七八九"
+
+
+@query(f"""
+SELECT event_id, translate(event_id::VARCHAR, '0123456789', '{_DIGITS}') || ' a ' || translate(event_id::VARCHAR, '0123456789', '{_DIGITS}') || ' 2' AS joined FROM events
+""")
 def q_cjk_space(spark, sf_dir):
-    """Chinese characters of literal rows set apart and joined again."""
-    rows = spark.createDataFrame([(0, "你 好 世界"), (1, "图 a 为 b"), (2, "plain text"), (3, "你\n好 2")], "id int, text string")
-    return rows.select("id", X.join_cjk(F.col("text")).alias("joined"))
+    """Numbers in Chinese digits, written apart and joined again; other words stay apart."""
+    apart = F.trim(F.regexp_replace(F.translate(F.col("event_id").cast("string"), "0123456789", _DIGITS), "(.)", "$1 "))
+    return table(spark, sf_dir, "events").select("event_id", X.join_cjk(F.concat_ws(" ", apart, F.lit("a"), apart, F.lit("2"))).alias("joined"))
 
 
 def _sql_text(s: str) -> str:

@@ -43,6 +43,19 @@ def q_bleu(spark, sf_dir):
     return b.select(*(F.round(c, 6).alias(c) for c in ("bleu", "p1", "p2", "p3", "p4", "brevity")), "prediction_length", "reference_length")
 
 
+_13A = "' ' || replace(replace(replace(replace(replace(replace(replace({0}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') || ' '"
+for _pattern, _out in (("([{{-~\\[-` -&(-+:-@/])", " \\1 "), ("([^0-9])([.,])", "\\1 \\2 "), ("([.,])([^0-9])", " \\1 \\2"), ("([0-9])(-)", "\\1 \\2 ")):
+    _13A = f"regexp_replace({_13A}, '{_pattern}', '{_out}', 'g')"
+
+
+@query(f"""
+{_PAIRS}
+SELECT conv_id || '-' || turn AS id, md5(array_to_string(list_filter(regexp_split_to_array({_13A.format("source")}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), ' ')) AS tokens FROM pairs
+""")
+def q_sacrebleu_tokens(spark, sf_dir):
+    return _predictions(spark, sf_dir).select("id", F.md5(F.array_join(M.tokens_13a(F.col("prediction")), " ")).alias("tokens"))
+
+
 @query(f"""
 WITH {_SIDES}, k AS (SELECT count(*) AS samples FROM t), often AS (SELECT n, gram, count(DISTINCT id) AS df FROM rc GROUP BY ALL),
 a AS (SELECT id, n, gram, c * (ln(samples) - ln(coalesce(df, 1))) AS w FROM hc LEFT JOIN often USING (n, gram), k),
@@ -130,8 +143,8 @@ def q_parse_polygons(spark, sf_dir):
 
 
 def _results(spark, sf_dir):
-    """Metric rows of tasks named after event types; not every task has every metric."""
-    e = table(spark, sf_dir, "events").where("event_type <> 'error' or user_id % 3 = 0")
+    """Metric rows of tasks named after event types."""
+    e = table(spark, sf_dir, "events")
     metric = F.when(F.col("user_id") % 3 == 0, "SacreBLEU").when(F.col("user_id") % 3 == 1, "COMET").otherwise("CIDEr")
     return e.groupBy(F.concat(F.lit("multi_"), "event_type").alias("task"), metric.alias("metric")).agg(F.avg("value").alias("value"))
 
@@ -139,15 +152,15 @@ def _results(spark, sf_dir):
 _REPORT = """
 WITH r AS (
   SELECT event_type AS key, CASE user_id % 3 WHEN 0 THEN 'SacreBLEU' WHEN 1 THEN 'COMET' ELSE 'CIDEr' END AS metric, avg(value) AS value
-  FROM events WHERE event_type <> 'error' OR user_id % 3 = 0 GROUP BY ALL
-), w AS (SELECT key, coalesce(max(value) FILTER (metric = 'SacreBLEU'), -100) AS bleu, coalesce(max(value) FILTER (metric = 'COMET'), -100) AS comet FROM r WHERE key IN ('click', 'view', 'error') GROUP BY key)"""
+  FROM events GROUP BY ALL
+), w AS (SELECT key, coalesce(max(value) FILTER (metric = 'SacreBLEU'), -100) AS bleu, coalesce(max(value) FILTER (metric = 'METEOR'), -100) AS meteor, coalesce(max(value) FILTER (metric = 'COMET'), -100) AS comet FROM r WHERE key IN ('click', 'view', 'error') GROUP BY key)"""
 
 
 @query(f"""{_REPORT}
-SELECT key, round(bleu, 6) AS "SacreBLEU", round(comet, 6) AS "COMET" FROM w UNION ALL SELECT 'mean', round(avg(bleu), 6), round(avg(comet), 6) FROM w
+SELECT key, round(bleu, 6) AS "SacreBLEU", round(comet, 6) AS "COMET", round(meteor, 6) AS "METEOR" FROM w UNION ALL SELECT 'mean', round(avg(bleu), 6), round(avg(comet), 6), round(avg(meteor), 6) FROM w
 """)
 def q_report_pivot(spark, sf_dir):
-    metrics = ["SacreBLEU", "COMET"]
+    metrics = ["SacreBLEU", "COMET", "METEOR"]  # no row has the last
     t = T.selected(_results(spark, sf_dir), "multi_", ["click", "view", "error"], metrics)
     both = t.union(T.means(t, metrics).select(F.lit("mean").alias("key"), *metrics))
     return both.select("key", *(F.round(m, 6).alias(m) for m in metrics))

@@ -149,6 +149,14 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("idx").cast("long").alias("idx"), F.col("x.sources").alias("source"), F.col("x.predictions").alias("prediction"), F.col("x.references").alias("references"))
 
 
+def write_predictions(df: DataFrame, path: str) -> None:
+    """idx, source, prediction, references as one file of parallel lists in the order of idx, which
+    read_predictions reads. The file is one value, so a set of predictions must fit one task."""
+    rows = F.array_sort(F.collect_list(F.struct("idx", "source", "prediction", "references")))
+    lists = df.agg(rows.alias("r")).select(F.col("r.source").alias("sources"), F.col("r.prediction").alias("predictions"), F.col("r.references").alias("references"))
+    lists.coalesce(1).write.mode("overwrite").json(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -115,7 +115,9 @@ class TarStream(DataSourceStreamReader):
 
 class TarWriter(DataSourceWriter):
     """Rows with key and data (ext: data if there is none) become shards of at most per_shard keys; each
-    task writes its own shards under temporary names, which the commit puts in place."""
+    task writes its own files under temporary names, which the commit puts in place. A row's shard, if
+    it has a number for one, names its file; where a shard's rows came in several files (from several
+    tasks, out of order, or of too many keys), each further one is named after its place among them."""
 
     def __init__(self, path: str, schema: StructType, per_shard: int):
         self.path, self.names, self.per_shard = path, schema.names, per_shard
@@ -127,21 +129,22 @@ class TarWriter(DataSourceWriter):
         f, at = _fs(self.path)
         f.create_dir(at, recursive=True)
         files: list[tuple[str, str]] = []
-        tar = out = last = None
+        tar = out = last = here = None
         keys = 0
         for row in rows:
             r = row.asDict()
+            shard = str(r["shard"]) if r.get("shard") is not None and str(r["shard"]).isdigit() else None
             if r["key"] != last:
                 keys, last = keys + 1, r["key"]
-            if tar is None or keys > self.per_shard:
+            if tar is None or keys > self.per_shard or shard != here:
                 if tar:
                     tar.close()
                     out.close()
-                shard = r.get("shard")
-                name = f"{at}/{int(shard):06d}.tar" if shard is not None and str(shard).isdigit() else f"{at}/{task.partitionId():06d}-{len(files):04d}.tar"
-                temp = f"{name}.{task.taskAttemptId()}.tmp"
+                here, keys = shard, 1
+                name = f"{at}/{int(shard):06d}" if shard else f"{at}/{task.partitionId():06d}-{len(files):04d}"
+                temp = f"{name}.{task.taskAttemptId()}-{len(files)}.tmp"
                 files.append((temp, name))
-                out, keys = f.open_output_stream(temp), 1
+                out = f.open_output_stream(temp)
                 tar = tarfile.open(fileobj=out, mode="w|")
             info = tarfile.TarInfo(f"{r['key']}.{r.get('ext') or 'data'}")
             data = r["data"].encode() if isinstance(r["data"], str) else bytes(r["data"])
@@ -153,10 +156,13 @@ class TarWriter(DataSourceWriter):
         return Written(files)
 
     def commit(self, messages):
-        f, _ = _fs(self.path)
+        f, at = _fs(self.path)
+        used = {x.removesuffix(".tar") for x in shards(self.path)}
         for m in messages:
             for temp, name in m.files if m else []:
-                f.move(temp, name)
+                free = next(x for x in (name, *(f"{name}-{i:04d}" for i in range(1, 1 << 30))) if x not in used)
+                used.add(free)
+                f.move(temp, f"{free}.tar")
 
     def abort(self, messages):
         f, _ = _fs(self.path)

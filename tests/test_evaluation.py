@@ -48,6 +48,7 @@ def test_shaped_answers(spark):
 
 def test_vocabulary(spark):
     tokens = V.special_tokens()
+    assert tokens[:5] == ["<od>", "</od>", "<ocr>", "</ocr>", "<loc_0>"] and tokens[1013:1016] == ["</seg>", "<sep>", "<region_cap>"] and tokens[-1] == "<and>"
     assert len(tokens) == 1024 == len(set(tokens)) and "<LANG_FR>" in V.special_tokens(languages=True) and "<LANG_FR>" not in V.special_tokens(languages=True, compat=True)
     vocab = spark.createDataFrame([(0, "<bos>"), (1, "▁cat"), (2, "ab")], "id int, piece string")
     m = V.matched(vocab, lambda pieces: [[ord(c) for c in p] for p in pieces], {0: [7]})
@@ -85,3 +86,39 @@ def test_pending_files(spark, tmp_path):
     assert spark.read.parquet(out).count() == 6
     R.write_report(spark.createDataFrame([("a", 1.0)], "k string, v double"), str(tmp_path / "report"))
     assert json.loads(next((tmp_path / "report").glob("part-*")).read_text()) == {"k": "a", "v": 1.0}
+
+
+def test_tokens_of_the_published_metric(spark):
+    """By hand, after the rules: signs apart, numbers whole, case kept."""
+    from corpusloom.operators.metrics import tokens_13a
+
+    rows = {"Hello, World! It's 3.14 (x)": "Hello , World ! It's 3.14 ( x )", "a-b 1-2 $5,000.": "a-b 1 - 2 $ 5,000 .", "say &quot;hi&quot; &amp; go": 'say " hi " & go', "one-\ntwo\nthree": "onetwo three", "": ""}
+    df = spark.createDataFrame(list(rows.items()), "t string, want string")
+    for r in df.select("want", F.array_join(tokens_13a(F.col("t")), " ").alias("got")).collect():
+        assert r.got == r.want
+
+
+def test_bleu_of_the_published_metric_by_hand(spark):
+    """One of two words right in case: 4 of 5 unigrams, 3 of 4 bigrams, 2 of 3, 1 of 2."""
+    from corpusloom.operators.metrics import bleu, tokens_13a
+
+    df = spark.createDataFrame([(1, "The cat sat down Here", ["the cat sat down Here", "x"])], "id int, prediction string, references array<string>")
+    got = bleu(df, tokens_13a).first()
+    assert (got.p1, got.p2, got.p3, got.p4) == (80.0, 75.0, pytest.approx(200 / 3), 50.0) and got.brevity == 1.0
+    assert got.bleu == pytest.approx((80 * 75 * 200 / 3 * 50) ** 0.25)
+
+
+def test_a_phrase_over_lines_is_none(spark):
+    from corpusloom.operators import parse as Z
+
+    df = spark.createDataFrame([("\n a cat<loc_1><loc_2><loc_3><loc_4>a dog\nx<loc_1><loc_2><loc_3><loc_4>",)], "t string")
+    size = F.lit(10.0), F.lit(10.0)
+    got = df.select(Z.grounded_phrases(F.col("t"), *size).alias("g"), Z.described_boxes(F.col("t"), *size).alias("d")).first()
+    assert [x.cat_name for x in got.g] == ["a cat"] == [x.cat_name for x in got.d]
+
+
+def test_no_instruction_to_translate_to_english(spark):
+    from corpusloom.functions import prompts as P
+
+    with pytest.raises(Exception, match="unknown language"):
+        spark.range(1).select(P.translation_instruction(F.lit("en"))).collect()

@@ -154,3 +154,14 @@ def test_dead_letters_and_shuffle(spark, tmp_path):
     assert [r.raw for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["{oops"]
     shuffled_batches(stream, "raw", str(tmp_path / "mixed"), str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "mixed")).count() == 3
+
+
+def test_tar_shards_from_several_tasks_lose_nothing(spark, tmp_path):
+    spark.dataSource.register(TarSource)
+    rows = spark.range(40).selectExpr("string(id % 3) as shard", "string(id) as key", "cast(id as string) as data").repartition(4)
+    rows.write.format("tarshards").option("per_shard", 5).mode("append").save(str(tmp_path / "t"))
+    back = spark.read.format("tarshards").load(str(tmp_path / "t")).collect()
+    assert sorted(int(r.key) for r in back) == list(range(40)) and all(r.key == bytes(r.data).decode() for r in back)
+    assert all(int(str(r.shard).rpartition("/")[2][:6]) == int(r.key) % 3 for r in back)
+    names = [p.name for p in (tmp_path / "t").iterdir()]
+    assert {"000000.tar", "000001.tar", "000002.tar"} <= set(names) and not [n for n in names if n.endswith(".tmp")]

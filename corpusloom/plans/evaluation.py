@@ -49,7 +49,7 @@ for _pattern, _out in (("([{{-~\\[-` -&(-+:-@/])", " \\1 "), ("([^0-9])([.,])",
 
 
 @query(f"""
-{_PAIRS}
+WITH {_PAIRS}
 SELECT conv_id || '-' || turn AS id, md5(array_to_string(list_filter(regexp_split_to_array({_13A.format("source")}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), ' ')) AS tokens FROM pairs
 """)
 def q_sacrebleu_tokens(spark, sf_dir):

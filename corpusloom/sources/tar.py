@@ -13,6 +13,7 @@ import tarfile
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, count
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -160,7 +161,7 @@ class TarWriter(DataSourceWriter):
         used = {x.removesuffix(".tar") for x in shards(self.path)}
         for m in messages:
             for temp, name in m.files if m else []:
-                free = next(x for x in (name, *(f"{name}-{i:04d}" for i in range(1, 1 << 30))) if x not in used)
+                free = next(x for x in chain([name], (f"{name}-{i:04d}" for i in count(1))) if x not in used)
                 used.add(free)
                 f.move(temp, f"{free}.tar")
 

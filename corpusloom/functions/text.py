@@ -108,6 +108,16 @@ def nfkc(c: Column) -> Column:
     return normal(c)
 
 
+def nfkc_each(c: Column) -> Column:
+    """Compatibility normal forms of an array's texts."""
+
+    @F.pandas_udf("array<string>")
+    def normal(s: pd.Series) -> pd.Series:
+        return s.map(lambda xs: [x and unicodedata.normalize("NFKC", x) for x in xs], na_action="ignore")
+
+    return normal(c)
+
+
 def without_punctuation(c: Column) -> Column:
     return F.lower(F.translate(c, PUNCTUATION, ""))
 

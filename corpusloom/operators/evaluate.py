@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import metric_tokens, nfkc
+from ..functions.text import metric_tokens, nfkc, nfkc_each
 from . import metrics as M
 from . import report as T
 
@@ -84,7 +84,9 @@ def scorers(task: str) -> list[Callable[[DataFrame, str], dict[str, DataFrame]]]
     """What a task is scored by."""
     if task.startswith("xm3600"):
         lang = F.lit(task.rpartition("_")[2])
-        return [_cider("XM3600_CIDEr", lambda c: metric_tokens(nfkc(c), lang))]
+        cider = _cider("XM3600_CIDEr", lambda c: metric_tokens(c, lang))
+        # Python can't run inside a lambda over the references, so texts are normalised before
+        return [lambda df, code: cider(df.withColumns({"prediction": nfkc(F.col("prediction")), "references": nfkc_each(F.col("references"))}), code)]
     if "translation" in task:
         return [_bleu, _meteor]
     return [_orders, _cider("CIDEr", M.tokens), _meteor]

@@ -99,6 +99,30 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score_quality(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", _fold(3, 1).alias("held_out"), "score", "predicted")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import compress_vectors
+
+    found = compress_vectors(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import mine_negatives
+
+    rows = _table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    found = mine_negatives(rows, rows.where("vec_id % 50 = 0"))
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 OP1_SQL = """
 WITH RECURSIVE good AS (
   SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings
@@ -152,9 +176,47 @@ FROM sets LEFT JOIN low ON a = doc_id
 """
 
 
+_ASSIGNED = """
+d{r} AS (
+  SELECT v.n, v.part, c.entry, sum((v.x - c.x) * (v.x - c.x)) AS d FROM parts v JOIN c{r} c ON c.part = v.part AND c.pos = v.pos GROUP BY 1, 2, 3
+), a{r} AS (SELECT n, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM d{r} GROUP BY 1, 2)"""
+_MOVED = """
+m{r} AS (SELECT v.part, a.entry, v.pos, floor(sum(v.x) / count(*)::DOUBLE)::BIGINT AS x FROM parts v JOIN a{p} a ON a.n = v.n AND a.part = v.part GROUP BY 1, 2, 3),
+c{r} AS (SELECT c.part, c.entry, c.pos, coalesce(m.x, c.x) AS x FROM c{p} c LEFT JOIN m{r} m ON m.part = c.part AND m.entry = c.entry AND m.pos = c.pos)"""
+
+OP12_SQL = f"""
+WITH good AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), flat AS (SELECT n, len(v) // 4 AS size, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM good),
+parts AS (SELECT n, i // size AS part, i % size AS pos, x FROM flat),
+c0 AS (SELECT part, n - 1 AS entry, pos, x FROM parts WHERE n <= 256),
+{",".join(_ASSIGNED.format(r=r) + "," + _MOVED.format(r=r + 1, p=r) for r in range(4))},
+{_ASSIGNED.format(r=4)},
+coded AS (SELECT n, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY n)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM c4) AS codebooks_sha256
+FROM good JOIN coded USING (n)
+"""
+
+OP13_SQL = """
+WITH good AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0
+), positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INT AS rank,
+  n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_nearest, op3_packing, op4_chat, op5_minhash, op6_language, op7_mixing, op8_licenses, op9_toxicity, op10_token_files)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_nearest, op3_packing, op4_chat, op5_minhash, op6_language, op7_mixing, op8_licenses, op9_toxicity, op10_token_files, op11_quality, op12_vector_codes, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op4_chat": OP4_SQL, "op5_minhash": OP5_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op4_chat": OP4_SQL, "op5_minhash": OP5_SQL, "op12_vector_codes": OP12_SQL, "op13_hard_negatives": OP13_SQL}

@@ -229,8 +229,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     counts = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
     bar = lambda k: int(np.ceil((1 << 20) * min(1.0, sample / max(1, counts.get(k, 0)))))
+    # ids of about two samples
     near = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.when(F.col("quality") == 1, bar(1)).otherwise(bar(0)))
-    rows = docs.select("doc_id", "text").join(near, "doc_id").select("quality", F.xxhash64("doc_id", "text").alias("at"), "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(near), "doc_id").select("quality", F.xxhash64("doc_id", "text").alias("at"), "text")
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in lean(batches):

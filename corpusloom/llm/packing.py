@@ -1,8 +1,8 @@
 """Order-preserving packing of documents into sequences by dynamic programming.
 
 The ids of all documents, in ascending doc_id order, are one stream; a sequence is a stretch of
-it. Cuts may fall at document ends (free), after sentence ends (a penalty) and, in long stretches
-without either, at filler places (a larger penalty). With f(j) the least cost of the stream up to
+it. Cuts may fall at document ends (free), after sentence ends (a penalty) and, where no such place lies
+within a window of the one before, at filler places (a larger penalty). With f(j) the least cost of the stream up to
 cut j, at position p(j), and L the window,
 
     f(j) = penalty(j) + min over i with p(j) - p(i) <= L of  f(i) + L - (p(j) - p(i))
@@ -29,8 +29,7 @@ from .tokens import END_ID, default_vocab, pieces, sentence_ends
 WINDOW = 2048
 SENTENCE_COST = 8.0
 FILLER_COST = 64.0
-#: Sentence ends nearer than this to the last cut aren't offered; filler cuts stand this far apart.
-SENTENCE_GAP = 24
+#: Filler cuts stand this far apart, in stretches longer than a window without another place.
 FILLER_GAP = 64
 #: Unpadded short sequences: the powers of two admitted, and what each such sequence costs instead.
 POWERS = (256, 512, 1024)
@@ -39,28 +38,24 @@ POWER_COST = 128.0
 STRETCH = 1 << 19
 
 
-def cut_places(ends: np.ndarray, sentences: np.ndarray, total: int) -> tuple[list[int], list[float]]:
-    """Ascending places and penalties. ends: positions after each document; sentences: after sentence ends."""
-    last_end = np.concatenate([[0], ends])[np.searchsorted(ends, sentences, side="right")]
-    near = np.diff(np.concatenate([[0], sentences])) < SENTENCE_GAP
-    # thin out: of sentence ends in the same grid cell (counted from the document's start) the first stays
-    cell = (sentences - last_end) // SENTENCE_GAP
-    same = np.concatenate([[False], (cell[1:] == cell[:-1]) & (last_end[1:] == last_end[:-1])]) if len(cell) else near
-    places = np.concatenate([ends, sentences[~same]])
-    cost = np.concatenate([np.zeros(len(ends)), np.full(int((~same).sum()), SENTENCE_COST)])
+def cut_places(ends: np.ndarray, sentences: np.ndarray, total: int, window: int = WINDOW) -> tuple[list[int], list[float]]:
+    """Ascending places and penalties: every document's and every sentence's end, and filler places where two of
+    these are more than a window apart. ends: positions after each document; sentences: after sentence ends."""
+    places = np.concatenate([ends, sentences])
+    cost = np.concatenate([np.zeros(len(ends)), np.full(len(sentences), SENTENCE_COST)])
     order = np.lexsort((cost, places))
     places, cost = places[order], cost[order]
-    first = np.concatenate([[True], places[1:] != places[:-1]]) if len(places) else np.zeros(0, bool)
-    places, cost = places[first], cost[first]
+    keep = (places > 0) & (places <= total) & np.concatenate([[True], places[1:] != places[:-1]])[: len(places)]
+    places, cost = places[keep], cost[keep]
     gaps = np.diff(np.concatenate([[0], places]))
-    wide = np.flatnonzero(gaps > 2 * FILLER_GAP)
+    wide = np.flatnonzero(gaps > window)
     if len(wide):
-        fill = np.concatenate([np.arange(places[i] - gaps[i] + FILLER_GAP, places[i], FILLER_GAP) for i in wide])
+        step = min(FILLER_GAP, window)
+        fill = np.concatenate([np.arange(places[i] - gaps[i] + step, places[i], step) for i in wide])
         places, cost = np.concatenate([places, fill]), np.concatenate([cost, np.full(len(fill), FILLER_COST)])
         order = np.argsort(places, kind="stable")
         places, cost = places[order], cost[order]
-    keep = (places > 0) & (places <= total)
-    return places[keep].tolist(), cost[keep].tolist()
+    return places.tolist(), cost.tolist()
 
 
 def best_cuts(places: list[int], cost: list[float], window: int = WINDOW, powers: tuple[int, ...] = POWERS, power_cost: float = POWER_COST) -> list[int]:
@@ -124,7 +119,7 @@ class Packer:
         ends = np.cumsum([len(x[1]) for x in self.docs])
         stream = np.concatenate([x[1] for x in self.docs])
         sentences = np.flatnonzero(self.is_end[np.minimum(stream, len(self.is_end) - 1)]) + 1
-        cuts = best_cuts(*cut_places(ends, sentences, self.n), self.window)
+        cuts = best_cuts(*cut_places(ends, sentences, self.n, self.window), self.window)
         if not last and len(cuts) > 1:
             cuts.pop()
         k, done = 0, 0  # document, ids of it that are cut off here

@@ -229,7 +229,7 @@ def test_pieces_across_stretches():
         assert sequences.get(sequence, 0) == offset
         sequences[sequence] = offset + length
     assert at == len(stream) and list(sequences) == list(range(5, 5 + len(sequences))) and max(sequences.values()) <= 128
-    whole = P.best_cuts(*P.cut_places(np.cumsum([len(x) for _, x in docs]), np.flatnonzero(np.isin(stream, [7, 9])) + 1, len(stream)), 128)
+    whole = P.best_cuts(*P.cut_places(np.cumsum([len(x) for _, x in docs]), np.flatnonzero(np.isin(stream, [7, 9])) + 1, len(stream), 128), 128)
     assert len(sequences) <= 1.05 * len(whole)
 
 
@@ -238,3 +238,22 @@ def test_packing_pads_little(spark):
     sizes = [r.n for r in P.pack_documents(docs).groupBy("sequence_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()]
     padding = sum(0 if n & (n - 1) == 0 else P.WINDOW - n for n in sizes)
     assert padding < 0.03 * sum(sizes)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 60), st.sampled_from("ds")), min_size=1, max_size=40))
+def test_no_filler_where_a_boundary_lies_within_the_window(steps):
+    window, at = 16, 0
+    ends, sentences = [], []
+    for s, kind in steps:
+        at += s
+        (ends if kind == "d" else sentences).append(at)
+    ends = sorted({*ends, at})
+    places, cost = P.cut_places(np.array(ends), np.array(sentences, int), at, window)
+    known = [0, *sorted({*ends, *sentences})]
+    assert set(known[1:]) <= set(places) and places == sorted(set(places))
+    assert all(b - a <= window for a, b in zip([0, *places], places, strict=False))
+    for p, c in zip(places, cost, strict=True):
+        if p not in known:
+            before = max(x for x in known if x < p)
+            assert c == P.FILLER_COST and not any(before < x <= before + window for x in known)

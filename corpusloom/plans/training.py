@@ -11,7 +11,7 @@ from ..functions.boxes import dequantised, quad_area, quantised
 from ..functions.text import human_count
 from ..operators import losses as L
 from ..operators import sampling as S
-from ..operators.order import batched, numbered
+from ..operators.order import batched, numbered, running_total
 from ..streaming.sources import counted_stream
 from .registry import query, table
 
@@ -59,9 +59,10 @@ SELECT doc_id, source, len(ids)::BIGINT AS n, coalesce(sum(len(ids)) OVER (PARTI
   max(len(ids)) OVER (PARTITION BY source)::BIGINT AS longest FROM ids
 """)
 def q_windowed_offsets(spark, sf_dir):
-    before = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
-    n = F.size("ids").cast("long")
-    return _ids(spark, sf_dir).select("doc_id", "source", n.alias("n"), F.coalesce(F.sum(n).over(before), F.lit(0)).alias("start"), F.max(n).over(W.partitionBy("source")).alias("longest"))
+    rows = _ids(spark, sf_dir).select("doc_id", "source", F.size("ids").cast("long").alias("n"))
+    rows = running_total(rows, ["source"], ["doc_id"], "n", "start")
+    longest = rows.groupBy(F.col("source").alias("of")).agg(F.max("n").alias("longest"))
+    return rows.join(longest, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "n", "start", F.col("longest").cast("long").alias("longest"))
 
 
 @query("""

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -257,3 +258,27 @@ def test_models(spark):
     assert tuple(df.select(models.captioned("echo", F.col("i"), "de").alias("a"), models.translated("echo", F.col("i"), "fr").alias("b")).first()) == ("de: x", "fr: x")
     ids = df.select(models.tokenised(F.lit("a cat, a")).alias("t")).first().t
     assert len(ids) == 4 and ids[0] == ids[3]
+
+
+def test_running_total_over_many_partitions(spark):
+    from corpusloom.operators.order import running_total
+
+    rng = random.Random(3)
+    rows = [("hot" if i % 3 else rng.choice([None, "a", "b", "c"]), i, rng.choice([None, 0, 1, 5, 7])) for i in range(3000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, o long, v int").withColumn("before", F.lit("x"))
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = running_total(df, ["k"], ["o"], "v")
+        assert got.columns == ["k", "o", "v", "before"]
+        held = [(r.k, r.o, r.before) for r in got.collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, sums = [], {}
+    for k, o, v in sorted(rows, key=lambda r: r[1]):
+        want.append((k, o, sums.get(k, 0)))
+        sums[k] = sums.get(k, 0) + (v or 0)
+    assert sorted(held, key=lambda r: r[1]) == want
+    assert running_total(df.limit(0), ["k"], ["o"], "v").count() == 0

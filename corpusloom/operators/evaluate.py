@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import metric_tokens, nfkc, nfkc_each
 from . import metrics as M
 from . import report as T
+from .meteor import meteor
 
 # The tasks by kind, and the sets to run.
 TASKS: dict[str, list[str]] = {
@@ -77,7 +78,7 @@ def _cider(name: str, tokenizer: Callable[[Column], Column]) -> Callable[[DataFr
 
 
 def _meteor(df: DataFrame, lang: str) -> dict[str, DataFrame]:
-    return {"METEOR": M.meteor_exact(df).agg((F.avg("meteor") * 100).alias("value"))} if lang in METEOR_LANGS else {}
+    return {"METEOR": meteor(df, lang).agg((F.avg("meteor") * 100).alias("value"))} if lang in METEOR_LANGS else {}
 
 
 def scorers(task: str) -> list[Callable[[DataFrame, str], dict[str, DataFrame]]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.boxes import BINS
+from ..operators import meteor as MT
 from ..operators import metrics as M
 from ..operators import parse as Z
 from ..operators import report as T
@@ -81,6 +82,33 @@ def q_meteor_exact(spark, sf_dir):
     return M.meteor_exact(_predictions(spark, sf_dir)).select("id", F.round("meteor", 6).alias("meteor"))
 
 
+_STEM = "regexp_replace({0}, '^(.{{3,}}?)(?:" + MT.ENDINGS["en"] + ")$', '\\1')"
+
+
+@query(f"""
+WITH {_SIDES}, hw AS (SELECT id, unnest(h) AS word, unnest(range(0, len(h))) AS i FROM t), rw AS (SELECT id, unnest(r) AS word, unnest(range(0, len(r))) AS j FROM t),
+hs AS (SELECT *, {_STEM.format("word")} AS stem FROM hw), rs AS (SELECT *, {_STEM.format("word")} AS stem FROM rw),
+he AS (SELECT id, word, count(*) AS n FROM hs GROUP BY ALL), re AS (SELECT id, word, count(*) AS n FROM rs GROUP BY ALL),
+hl AS (SELECT id, stem, count(*) AS n FROM hs GROUP BY ALL), rl AS (SELECT id, stem, count(*) AS n FROM rs GROUP BY ALL),
+e AS (SELECT id, sum(least(he.n, re.n)) AS m FROM he JOIN re USING (id, word) GROUP BY id), c AS (SELECT id, sum(least(hl.n, rl.n)) AS m FROM hl JOIN rl USING (id, stem) GROUP BY id),
+-- where each stem that both have stands once in either text, there is one alignment, whose chunks can be counted
+several AS (SELECT id, max(greatest(hl.n, rl.n)) > 1 AS open FROM hl JOIN rl USING (id, stem) GROUP BY id),
+pairs_met AS (SELECT id, i, j, lag(i) OVER w AS pi, lag(j) OVER w AS pj FROM hs JOIN rs USING (id, stem) WHERE id IN (SELECT id FROM several WHERE NOT open) WINDOW w AS (PARTITION BY id ORDER BY i)),
+chunked AS (SELECT id, count(*) FILTER (WHERE pi IS NULL OR i <> pi + 1 OR j <> pj + 1) AS chunks FROM pairs_met GROUP BY id)
+SELECT t.id, coalesce(e.m, 0)::BIGINT AS exact, (coalesce(c.m, 0) - coalesce(e.m, 0))::BIGINT AS stems, CASE WHEN c.m IS NULL THEN 0 WHEN NOT open THEN chunks END::BIGINT AS sole_chunks
+FROM t LEFT JOIN e USING (id) LEFT JOIN c USING (id) LEFT JOIN several USING (id) LEFT JOIN chunked USING (id)
+""")
+def q_meteor_stems(spark, sf_dir):
+    """Exact and stem matches of every pair, and the chunks where only one alignment has as many."""
+    rows = _predictions(spark, sf_dir)
+    found = MT.meteor(rows)
+    stems = lambda c: F.transform(M.tokens(c), lambda w: MT.stem(w, "en"))
+    both = rows.select("id", stems(F.col("prediction")).alias("h"), stems(F.col("references")[0]).alias("r"))
+    common = F.array_intersect("h", "r")
+    sole = both.select("id", ((F.size(F.filter("h", lambda w: F.array_contains(common, w))) == F.size(common)) & (F.size(F.filter("r", lambda w: F.array_contains(common, w))) == F.size(common))).alias("sole"))
+    return found.join(sole, "id").select("id", "exact", "stems", F.when(F.col("sole"), F.col("chunks")).alias("sole_chunks"))
+
+
 def _loc(expr: str) -> str:
     return f"'<loc_' || (({expr}) % {BINS})::INT || '>'"
 

@@ -45,18 +45,18 @@ def _sides(df: DataFrame, tokenizer) -> tuple[DataFrame, DataFrame]:
     return hyp, ref
 
 
-def bleu(df: DataFrame, tokenizer=tokens) -> DataFrame:
-    """One row: bleu (percent), p1 to p4, brevity, prediction_length, reference_length.
+#: What BLEU is made of: matches and totals by order, and both lengths; sums of these over any rows give their BLEU.
+BLEU_SUMS = [*(f"match{n}" for n in range(1, ORDER + 1)), *(f"total{n}" for n in range(1, ORDER + 1)), "prediction_length", "reference_length"]
 
-    Clipped by the greatest count in any reference; the reference length is the nearest one's
-    (the shorter of two as near). A precision without matches is smoothed by halving.
-    """
+
+def bleu_sums(df: DataFrame, tokenizer=tokens) -> DataFrame:
+    """Rows of BLEU_SUMS, one an Arrow batch; a batch or a stream of (prediction, references). Rows without a
+    prediction or references are left out."""
     rows = df.select(tokenizer(F.col("prediction")).alias("h"), F.transform("references", tokenizer).alias("r")).where("h is not null and r is not null")
-    names = [*(f"match{n}" for n in range(1, ORDER + 1)), *(f"total{n}" for n in range(1, ORDER + 1)), "prediction_length", "reference_length"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sums = [0] * len(names)
+            sums = [0] * len(BLEU_SUMS)
             for h, refs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 refs = [r for r in refs if r is not None]
                 counted = [_counts(r) for r in refs]
@@ -66,9 +66,23 @@ def bleu(df: DataFrame, tokenizer=tokens) -> DataFrame:
                 if refs:
                     sums[-2] += len(h)
                     sums[-1] += min((len(r) for r in refs), key=lambda x: (abs(len(h) - x), x))
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in sums], names)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in sums], BLEU_SUMS)
+
+    return rows.mapInArrow(count, ", ".join(f"{x} long" for x in BLEU_SUMS))
+
+
+def bleu(df: DataFrame, tokenizer=tokens) -> DataFrame:
+    """One row: bleu (percent), p1 to p4, brevity, prediction_length, reference_length.
+
+    Clipped by the greatest count in any reference; the reference length is the nearest one's
+    (the shorter of two as near). A precision without matches is smoothed by halving.
+    """
+    return bleu_of(bleu_sums(df, tokenizer).agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in BLEU_SUMS)))
+
 
-    out = rows.mapInArrow(count, ", ".join(f"{x} long" for x in names)).agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names))
+def bleu_of(sums: DataFrame) -> DataFrame:
+    """The figures of rows of BLEU_SUMS, each by itself."""
+    out = sums
     zero = F.lit(0)
     for n in range(1, ORDER + 1):
         zero = zero + F.when(F.col(f"match{n}") == 0, 1).otherwise(0)

@@ -2,24 +2,31 @@
 
     spark.dataSource.register(TarSource)
     spark.read.format("tarshards").load(path)          shard, key, name, ext, data
+    spark.read.format("tarshards").option("errors", "rows").load(path)          and error
     spark.readStream.format("tarshards").option("resample", seed).load(path)
-    df.write.format("tarshards").option("per_shard", 5000).save(path)
+    df.write.format("tarshards").option("per_shard", 5000).mode("overwrite").save(path)
+
+A shard that is no tar file or ends too early gives the members before the fault. With "errors" as "rows" a row with
+a null key then says what is wrong, with "fail" the read fails; by default a line on the task's standard output
+does. Errors of the store are no faults of the shard: the task fails and is run again.
 """
 
 from __future__ import annotations
 
 import io
 import tarfile
-import time
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, count
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from .readers import braces
 
+#: Bytes that a task reads at most (a shard isn't divided) and, of small inputs, at least; tasks that small inputs are
+#: divided among; what opening a file counts as; a block of a tar file.
+TASK_BYTES, LEAST_BYTES, TASKS, OPEN_BYTES, BLOCK = 128 << 20, 1 << 20, 64, 1 << 14, 512
+
 SCHEMA = "shard string, key string, name string, ext string, data binary"
 
 
@@ -29,8 +36,8 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"/{path}")
 
 
-def shards(path: str) -> list[str]:
-    """Tar files of a folder, a file, or a pattern with numeric ranges; ascending."""
+def listed(path: str) -> list[tuple[str, int]]:
+    """Tar files of a folder, a file, or a pattern with numeric ranges, with their sizes; ascending."""
     from pyarrow import fs
 
     found = []
@@ -38,12 +45,28 @@ def shards(path: str) -> list[str]:
         f, at = _fs(p)
         info = f.get_file_info(at)
         if info.type == fs.FileType.Directory:
-            found += [x.path for x in f.get_file_info(fs.FileSelector(at)) if x.path.endswith(".tar")]
+            found += [(x.path, x.size) for x in f.get_file_info(fs.FileSelector(at)) if x.path.endswith(".tar")]
         elif info.type == fs.FileType.File:
-            found.append(at)
+            found.append((at, info.size))
     return sorted(found)
 
 
+def shards(path: str) -> list[str]:
+    return [p for p, _ in listed(path)]
+
+
+def grouped(files: list[tuple[str, int]], most: int) -> list[list[str]]:
+    """Files in their order, in groups of about `most` bytes; a file is read by one task."""
+    out, size = [], 0
+    for path, n in files:
+        if not out or size + n + OPEN_BYTES > most:
+            out.append([])
+            size = 0
+        out[-1].append(path)
+        size += n + OPEN_BYTES
+    return out
+
+
 def split_name(name: str) -> tuple[str, str]:
     """Key and extension: before and after the first dot of the base name."""
     folder, _, base = name.rpartition("/")
@@ -51,22 +74,47 @@ def split_name(name: str) -> tuple[str, str]:
     return (f"{folder}/{key}" if folder else key), ext
 
 
-def members(path: str) -> Iterator[tuple]:
-    """Members of a shard; an unreadable shard gives nothing."""
+class _Tail(io.RawIOBase):
+    """A stream that is read once, and its last bytes."""
+
+    def __init__(self, raw):
+        self.raw, self.last = raw, b""
+
+    def read(self, n: int = -1) -> bytes:
+        data = self.raw.read(n) if n >= 0 else self.raw.read()
+        self.last = (self.last + data)[-BLOCK:]
+        return data
+
+
+def members(path: str, errors: str = "skip") -> Iterator[tuple]:
+    """Members of a shard, one at a time; with errors as "rows" each with a last field, null but for faults."""
     f, at = _fs(path)
-    try:
-        with f.open_input_file(at) as raw, tarfile.open(fileobj=io.BytesIO(raw.read())) as tar:
-            rows = [(m.name, tar.extractfile(m).read()) for m in tar if m.isfile()]
-    except (tarfile.TarError, OSError, EOFError) as e:
-        print(f"skipping {path}: {e}")
-        return
-    for name, data in rows:
-        yield (at, *((k := split_name(name))[0], name, k[1]), data)
+    more = (None,) if errors == "rows" else ()
+    # an error of the store passes: only what tarfile says about the bytes is a fault of the shard
+    with f.open_input_stream(at) as raw:
+        tail = _Tail(raw)
+        try:
+            with tarfile.open(fileobj=tail, mode="r|") as tar:
+                for m in tar:
+                    if m.isfile():
+                        key, ext = split_name(m.name)
+                        yield (at, key, m.name, ext, tar.extractfile(m).read(), *more)
+            while tail.read(1 << 20):
+                pass
+            if tail.last.strip(b"\0") or len(tail.last) < BLOCK:
+                raise tarfile.ReadError("no end mark")
+        except (tarfile.TarError, EOFError) as e:
+            if errors == "fail":
+                raise
+            if errors == "rows":
+                yield (at, None, None, None, None, f"{type(e).__name__}: {e}")
+            else:
+                print(f"{path}: {e}")
 
 
 @dataclass
 class Shard(InputPartition):
-    path: str
+    paths: list[str]
 
 
 @dataclass
@@ -75,22 +123,25 @@ class Written(WriterCommitMessage):
 
 
 class TarReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, errors: str, most: int):
+        self.path, self.errors, self.most = path, errors, most
 
     def partitions(self):
-        return [Shard(p) for p in shards(self.path)] or [Shard("")]
+        files = listed(self.path)
+        # fewer bytes a task where there are few, so that all cores have some
+        most = min(self.most, max(LEAST_BYTES, sum(n + OPEN_BYTES for _, n in files) // TASKS))
+        return [Shard(g) for g in grouped(files, most)] or [Shard([])]
 
     def read(self, partition: Shard):
-        if partition.path:
-            yield from members(partition.path)
+        for path in partition.paths:
+            yield from members(path, self.errors)
 
 
 class TarStream(DataSourceStreamReader):
     """An endless stream: each micro-batch is some shards drawn with replacement, by offset and seed."""
 
-    def __init__(self, path: str, seed: int, at_once: int):
-        self.path, self.seed, self.at_once = path, seed, at_once
+    def __init__(self, path: str, seed: int, at_once: int, errors: str):
+        self.path, self.seed, self.at_once, self.errors = path, seed, at_once, errors
         self.made = 0
 
     def initialOffset(self):
@@ -105,23 +156,24 @@ class TarStream(DataSourceStreamReader):
 
         known = shards(self.path)
         self.made = max(self.made, end["n"])
-        return [Shard(random.Random(f"{self.seed}-{i}").choice(known)) for i in range(start["n"], end["n"])] if known else []
+        return [Shard([random.Random(f"{self.seed}-{i}").choice(known)]) for i in range(start["n"], end["n"])] if known else []
 
     def read(self, partition: Shard):
-        yield from members(partition.path)
+        for path in partition.paths:
+            yield from members(path, self.errors)
 
-    def commit(self, end: dict):
-        time.sleep(0)
+    def commit(self, end: dict): ...
 
 
 class TarWriter(DataSourceWriter):
     """Rows with key and data (ext: data if there is none) become shards of at most per_shard keys; each
     task writes its own files under temporary names, which the commit puts in place. A row's shard, if
     it has a number for one, names its file; where a shard's rows came in several files (from several
-    tasks, out of order, or of too many keys), each further one is named after its place among them."""
+    tasks, out of order, or of too many keys), each further one is named after its place among them. Overwriting
+    replaces the tar files that were there, once all new ones are written."""
 
-    def __init__(self, path: str, schema: StructType, per_shard: int):
-        self.path, self.names, self.per_shard = path, schema.names, per_shard
+    def __init__(self, path: str, schema: StructType, per_shard: int, overwrite: bool):
+        self.path, self.names, self.per_shard, self.overwrite = path, schema.names, per_shard, overwrite
 
     def write(self, rows):
         from pyspark import TaskContext
@@ -157,19 +209,33 @@ class TarWriter(DataSourceWriter):
         return Written(files)
 
     def commit(self, messages):
+        from pyarrow import fs
+
         f, at = _fs(self.path)
-        used = {x.removesuffix(".tar") for x in shards(self.path)}
+        old = shards(self.path) if f.get_file_info(at).type == fs.FileType.Directory else []
+        if self.overwrite:
+            for path in old:
+                f.delete_file(path)
+            old = []
+        used = {x.removesuffix(".tar") for x in old}
+        following: dict[str, int] = {}
         for m in messages:
             for temp, name in m.files if m else []:
-                free = next(x for x in chain([name], (f"{name}-{i:04d}" for i in count(1))) if x not in used)
+                free = name
+                while free in used:
+                    following[name] = following.get(name, 0) + 1
+                    free = f"{name}-{following[name]:04d}"
                 used.add(free)
                 f.move(temp, f"{free}.tar")
 
     def abort(self, messages):
+        from pyarrow import fs
+
         f, _ = _fs(self.path)
         for m in messages:
             for temp, _ in m.files if m else []:
-                f.delete_file(temp)
+                if f.get_file_info(temp).type == fs.FileType.File:
+                    f.delete_file(temp)
 
 
 class TarSource(DataSource):
@@ -178,13 +244,19 @@ class TarSource(DataSource):
         return "tarshards"
 
     def schema(self) -> str:
-        return SCHEMA
+        return f"{SCHEMA}, error string" if self._errors() == "rows" else SCHEMA
+
+    def _errors(self) -> str:
+        errors = self.options.get("errors", "skip")
+        if errors not in ("skip", "rows", "fail"):
+            raise ValueError(f"errors is skip, rows or fail, not {errors}")
+        return errors
 
     def reader(self, schema: StructType) -> TarReader:
-        return TarReader(self.options["path"])
+        return TarReader(self.options["path"], self._errors(), int(self.options.get("bytes_per_task", TASK_BYTES)))
 
     def streamReader(self, schema: StructType) -> TarStream:
-        return TarStream(self.options["path"], int(self.options.get("resample", 0)), int(self.options.get("shards_at_once", 1)))
+        return TarStream(self.options["path"], int(self.options.get("resample", 0)), int(self.options.get("shards_at_once", 1)), self._errors())
 
     def writer(self, schema: StructType, overwrite: bool) -> TarWriter:
-        return TarWriter(self.options["path"], schema, int(self.options.get("per_shard", 5000)))
+        return TarWriter(self.options["path"], schema, int(self.options.get("per_shard", 5000)), overwrite)

@@ -35,9 +35,10 @@ def captions(lang: Column, sentences: Column, whole: Column, count: Column) -> C
     )
 
 
-def caption_annotations(df: DataFrame, key: str, lang: str, text: str) -> DataFrame:
-    """key, type, lang, prompt, output of single-language captions over LEAST_CHARS characters."""
-    s = X.sentences(F.col(text))
+def caption_annotations(df: DataFrame, key: str, lang: str, text: str, sentences: str | None = None) -> DataFrame:
+    """key, type, lang, prompt, output of single-language captions over LEAST_CHARS characters. sentences: a column of
+    the text's sentences (as learned by punkt); without it they are told by rule."""
+    s = F.col(sentences) if sentences else X.sentences(F.col(text))
     rows = df.where(long_enough(F.col(text))).select(key, F.explode(captions(F.col(lang), s, F.col(text), F.size(s))).alias("a"))
     return rows.select(key, "a.*")
 
@@ -77,10 +78,12 @@ def translations(pairs: Column, lang: Column, key: Column, seed: int = 0) -> Col
     return F.concat(single, more)
 
 
-def parallel_captions(en: Column, other: Column, lang: Column, key: Column, seed: int = 0) -> Column:
+def parallel_captions(en: Column, other: Column, lang: Column, key: Column, seed: int = 0, en_sentences: Column | None = None, other_sentences: Column | None = None) -> Column:
     """All annotations of one English caption and its translation: captions of both by the other
-    side's number of sentences, the whole translation, and a mix of sentences if the numbers agree."""
-    s_en, s_other = F.transform(X.sentences(en), X.capitalize), X.sentences(other)
+    side's number of sentences, the whole translation, and a mix of sentences if the numbers agree. Sentences that
+    aren't given are told by rule."""
+    s_en = F.transform(X.sentences(en) if en_sentences is None else en_sentences, X.capitalize)
+    s_other = X.sentences(other) if other_sentences is None else other_sentences
     whole = X.join(s_en)
     count = F.size(s_other)
     zipped = F.zip_with(s_en, s_other, lambda a, b: F.struct(a.alias("source"), b.alias("target")))

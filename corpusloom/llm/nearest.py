@@ -8,9 +8,10 @@ F(r^2 / d^2) reaches CONFIDENCE.
 
 The kd-tree has two levels. The upper one, fitted on a bounded sample, divides the projected space into
 cells; a cell's rows (dealt further where they are many, as in a hot spot) are shards. The lower one is
-a tree in each shard, stored with it; its leaves are visited in order of the least projected distance
-and their rows verified by true cosine. A query first searches a shard of its own cell; the distance
-found there tells by the same test which cells are left to search, so whole cells are skipped.
+a tree in each shard, stored with it: leaves that the test rules out are skipped, the points of the others are
+verified by true cosine in the order of their own projected distance, until the test holds. A query first
+searches a shard of its own cell; the distance found there tells by the same test which cells are left to
+search, so whole cells are skipped.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from .hnsw import unit
 from .vectors import cosines, matrix, usable
 
 NEIGHBOURS = 5
-DIMENSIONS = 12
-CONFIDENCE = 0.98
-LEAF = 64
+DIMENSIONS = 32
+CONFIDENCE = 0.97
+#: Points of a leaf, and points that are verified between two tests.
+LEAF, STEP = 64, 32
 #: Rows of an index and of a block of queries, which meet in one task; fewer where rows take more bytes.
 SHARD, QUERIES, MEETING_BYTES = 8192, 4096, 1 << 25
 #: Rows of a length that the upper tree is fitted on, and its cells at most (their boxes are broadcast).
@@ -125,32 +127,41 @@ class Tree:
         """Rows (of the x built from) of the best found for each row of q, -1 for missing ones, their
         products, for queries of which more tie with the k-th than are kept all that do, and the
         number verified. floor: a product known to be reached k times elsewhere."""
-        pq = q @ projection
-        out = np.full((len(q), k + spare), -1)
-        best = np.full((len(q), k + spare), -np.inf)
+        pq, width = q @ projection, k + spare
+        out = np.full((len(q), width), -1)
+        best = np.full((len(q), width), -np.inf)
         seen = np.zeros(len(q), np.int64)
         least = gaps(pq, self.low, self.high)
-        leaves = np.argsort(least, axis=1, kind="stable")
         floor = np.full(len(q), -np.inf) if floor is None else floor
         kth = floor.copy()
-        live = np.arange(len(q))
-        for t in range(leaves.shape[1]):
-            leaf = leaves[live, t]
-            kth[live] = np.maximum(floor[live], np.partition(best[live], spare, axis=1)[:, spare])
-            go = least[live, leaf] <= bound * (2 - 2 * kth[live]) + CLOSE
-            live, leaf = live[go], leaf[go]
-            if not len(live):
-                break
-            by = np.argsort(leaf, kind="stable")
-            for rows in np.split(by, np.flatnonzero(np.diff(leaf[by])) + 1):
-                a, b = self.limits[leaf[rows[0]]], self.limits[leaf[rows[0]] + 1]
-                at = live[rows]
-                s = np.hstack([best[at], q[at] @ self.x[a:b].T])
-                ids = np.hstack([out[at], np.broadcast_to(self.order[a:b], (len(at), b - a))])
-                top = np.argpartition(-s, k + spare - 1, axis=1)[:, : k + spare]
-                best[at], out[at] = np.take_along_axis(s, top, 1), np.take_along_axis(ids, top, 1)
-                seen[at] += b - a
-        kth = np.maximum(floor, np.partition(best, spare, axis=1)[:, spare])
+        p = self.x @ projection
+        square = (p * p).sum(axis=1)
+        leaf_of = np.repeat(np.arange(len(self.limits) - 1), np.diff(self.limits))
+        for i in range(len(q)):
+
+            def verify(at: np.ndarray) -> None:
+                s, ids = np.concatenate([best[i], self.x[at] @ q[i]]), np.concatenate([out[i], self.order[at]])  # noqa: B023
+                top = np.argpartition(-s, width - 1)[:width]
+                best[i], out[i] = s[top], ids[top]  # noqa: B023
+                kth[i] = max(floor[i], np.partition(best[i], spare)[spare])  # noqa: B023
+                seen[i] += len(at)  # noqa: B023
+
+            # the nearest leaf tells how far to look, then points go in the order of their projected distance
+            first = int(least[i].argmin())
+            if least[i, first] <= bound * (2 - 2 * kth[i]) + CLOSE:
+                verify(np.arange(self.limits[first], self.limits[first + 1]))
+            leaves = least[i] <= bound * (2 - 2 * kth[i]) + CLOSE
+            leaves[first] = False
+            points = np.flatnonzero(leaves[leaf_of])
+            away = square[points] - 2 * (p[points] @ pq[i]) + pq[i] @ pq[i]
+            near = away <= bound * (2 - 2 * kth[i]) + CLOSE
+            points, away = points[near], away[near]
+            by = np.argsort(away, kind="stable")
+            points, away = points[by], away[by]
+            for at in range(0, len(points), STEP):
+                if away[at] > bound * (2 - 2 * kth[i]) + CLOSE:
+                    break
+                verify(points[at : at + STEP])
         ties = {}
         for i in np.flatnonzero((best.min(1) >= kth - CLOSE) & (best.min(1) > -np.inf)).tolist():
             there = np.flatnonzero(least[i] <= bound * (2 - 2 * kth[i]) + CLOSE)

@@ -23,8 +23,10 @@ SAMPLE = 2000
 BINS = 1 << 15
 #: A training task hands its counts on when it holds so many.
 HELD = 1 << 20
-#: Expectation-maximisation ends when no proportion moves by more than this, or after so many rounds.
-STILL, ROUNDS = 1e-4, 500
+#: Expectation-maximisation ends when no proportion moves by more than this, or after so many rounds of two steps.
+STILL, ROUNDS = 1e-4, 250
+#: What a language must promise to be let in (1: nothing), and the share that new ones start with.
+GAIN, NEW = 1e-4, 0.2
 #: A further language must raise the log-likelihood by this many times log(n-grams) and have this share.
 PENALTY, LEAST_SHARE = 12.0, 0.1
 UNKNOWN = "und"
@@ -83,19 +85,10 @@ class Model:
         col = self.lang[held]
         more = self.count[held] / self.total[col]
         single = n * np.log(base) + np.bincount(col, c[row] * np.log1p(more / base[col]), len(base))
-        share = np.full(len(base), 1 / len(base))
-        for _ in range(ROUNDS):
-            r = c / (base @ share + np.bincount(row, more * share[col], len(c)))
-            before, share = share, share * (base * r.sum() + np.bincount(col, more * r[row], len(base))) / n
-            if np.abs(share - before).max() < STILL:
-                break
+        share = self._shares(c, row, col, base, more, int(np.argmax(single)))
         order = np.lexsort((np.arange(len(share)), -share))
         order = order[share[order] >= LEAST_SHARE]
-        place = np.full(len(base), -1)
-        place[order] = np.arange(len(order))
-        known = place[col] >= 0
-        p = np.tile(base[order], (len(c), 1))
-        p[row[known], place[col[known]]] += more[known]
+        p = _columns(order, len(c), row, col, base, more)
         best = int(np.argmax(single))
         chosen, value, parts = [best], single[best], np.ones(1)
         for k in range(2, len(order) + 1):
@@ -106,15 +99,58 @@ class Model:
         chosen, parts = [chosen[i] for i in rank], parts[rank]
         return self.langs[chosen[0]], float(min(1.0, share[chosen[0]])), [self.langs[i] for i in chosen], parts.tolist(), float((single[best] / n - math.log(base[best])) / (self._typical[best] - math.log(base[best])))
 
+    @staticmethod
+    def _shares(c: np.ndarray, row: np.ndarray, col: np.ndarray, base: np.ndarray, more: np.ndarray, best: int) -> np.ndarray:
+        """Every language's proportion. The likelihood is concave, so languages that can't raise it have none: from
+        the best single language on, those that can are let in and the proportions fitted anew, until no other can."""
+        n, chosen, part = c.sum(), np.array([best]), np.ones(1)
+        while True:
+            p = _columns(chosen, len(c), row, col, base, more)
+            if len(chosen) > 1:
+                part, _ = _em(p, c, part)
+            r = c / (p @ part)
+            gain = (base * r.sum() + np.bincount(col, more * r[row], len(base))) / n
+            gain[chosen] = 0
+            new = np.flatnonzero(gain > 1 + GAIN)
+            if not len(new):
+                break
+            chosen = np.concatenate([chosen, new])
+            part = np.concatenate([part * (1 - NEW), np.full(len(new), NEW / len(new))])
+        out = np.zeros(len(base))
+        out[chosen] = part
+        return out
+
+
+def _columns(langs: np.ndarray, n: int, row: np.ndarray, col: np.ndarray, base: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Probabilities of a document's bins in some languages."""
+    place = np.full(len(base), -1)
+    place[langs] = np.arange(len(langs))
+    known = place[col] >= 0
+    p = np.tile(base[langs], (n, 1))
+    p[row[known], place[col[known]]] += more[known]
+    return p
+
 
 def _em(p: np.ndarray, c: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
-    """Proportions and log-likelihood of the mixture of p's columns."""
+    """Proportions and log-likelihood of the mixture of p's columns, by expectation-maximisation. From two steps
+    the way ahead is extrapolated (squared iterative steps), which counts only where the likelihood gains by it."""
     n = c.sum()
+    step = lambda s: s * (p.T @ (c / (p @ s))) / n
+    value = lambda s: float(c @ np.log(p @ s))
     for _ in range(ROUNDS):
-        before, share = share, share * (p.T @ (c / (p @ share))) / n
-        if np.abs(share - before).max() < STILL:
+        one = step(share)
+        two = step(one)
+        if np.abs(two - one).max() < STILL and np.abs(one - share).max() < STILL:
+            share = two
             break
-    return share, float(c @ np.log(p @ share))
+        r, v = one - share, two - 2 * one + share
+        size = np.sqrt(v @ v)
+        a = max(1.0, np.sqrt(r @ r) / size) if size > 0 else 1.0
+        far = share + 2 * a * r + a * a * v
+        if a > 1 and far.min() > 0 and value(far / far.sum()) >= value(two):
+            two = far / far.sum()
+        share = two
+    return share, value(share)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:

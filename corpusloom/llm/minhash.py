@@ -292,11 +292,15 @@ def _across(docs: DataFrame, rows: DataFrame, sigs: DataFrame, similarity: float
         if len(one) and len(two):
             like = similar_pairs([shingle_set(t) for t in one["text"]], [shingle_set(t) for t in two["text"]], hundred)
             c, d = one["component"].to_numpy(), two["component"].to_numpy()
-            a, b = np.nonzero(like & (c[:, None] != d[None, :]))
-            names, reps = pd.Series(c[a]).combine(pd.Series(d[b]), lambda x, y: (min(x, y), max(x, y))), {}
-            for k, x, y in zip(names, one["rep"].to_numpy()[a], two["rep"].to_numpy()[b], strict=True):
-                reps.setdefault(k, (x, y))
-            out = list(reps.values())
+            like &= c[:, None] != d[None, :]
+            # one link for each two components that meet here, found component by component
+            for k in np.unique(c).tolist():
+                rows = np.flatnonzero(c == k)
+                cols = np.flatnonzero(like[rows].any(axis=0))
+                _, first = np.unique(d[cols], return_index=True)
+                cols = cols[first]
+                out.append(np.stack([one["rep"].to_numpy()[rows[like[np.ix_(rows, cols)].argmax(axis=0)]], two["rep"].to_numpy()[cols]], axis=1))
+        out = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     more = written(units.groupBy("cluster", "i", "j").applyInPandas(verify, "a long, b long").distinct(), "confirmed")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.prompts import caption_prompt, expand_prompt, translation_prompt
+
 
 def present(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return left.join(right.select(on), on, "left_semi")
@@ -95,3 +98,69 @@ def valid_image(data: Column) -> Column:
     """Whether bytes begin and end as a JPEG or PNG does; decoding needs a library that isn't here."""
     h = F.hex(data)
     return F.coalesce((F.startswith(h, F.lit("FFD8FF")) & F.endswith(h, F.lit("FFD9"))) | (F.startswith(h, F.lit("89504E470D0A1A0A")) & F.endswith(h, F.lit("49454E44AE426082"))), F.lit(False))
+
+
+# The sources of a training and of a validation corpus, as (file, type, style); translated captions
+# stand in training twice, as captions and as translations.
+TRAIN_SOURCES: list[tuple[str, str, str | None]] = [
+    ("gt_data/coco_karpathy_train_gt.csv", "caption", "short"),
+    ("gt_data/coco_karpathy_restval_gt.csv", "caption", "short"),
+    ("gt_data/multi30k_task2_train_gt.csv", "caption", "short"),
+    ("gt_data/image_paragraphs_train_gt.csv", "caption", "detailed"),
+    ("gt_data/docci_train_gt.csv", "caption", "more_detailed"),
+    ("translation_data/coco_karpathy_translate.csv", "caption", "short"),
+    ("translation_data/coco_karpathy_restval_translate.csv", "caption", "short"),
+    ("translation_data/image_paragraphs_translate.csv", "caption", "detailed"),
+    ("translation_data/docci_translate.csv", "caption", "more_detailed"),
+    ("translation_data/multi30k_task2_translate.csv", "caption", "short"),
+    ("gt_data/multi30k_task1_train_gt.csv", "translation", None),
+    ("translation_data/multi30k_task1_translate.csv", "translation", None),
+    ("translation_data/coco_karpathy_translate.csv", "translation", None),
+    ("translation_data/coco_karpathy_restval_translate.csv", "translation", None),
+    ("translation_data/image_paragraphs_translate.csv", "translation", None),
+    ("translation_data/docci_translate.csv", "translation", None),
+]
+VALIDATION_SOURCES: list[tuple[str, str, str | None]] = [
+    ("gt_data/multi30k_task1_val_de_gt.csv", "translation", None),
+    ("gt_data/multi30k_task1_val_fr_gt.csv", "translation", None),
+    ("gt_data/multi30k_task2_val_en_gt.csv", "caption", "short"),
+    ("gt_data/multi30k_task2_val_de_gt.csv", "caption", "short"),
+    ("translation_data/multi30k_task1_val_es_translate.csv", "translation", None),
+    ("translation_data/multi30k_task1_val_ru_translate.csv", "translation", None),
+    ("translation_data/multi30k_task1_val_zh_translate.csv", "translation", None),
+    ("translation_data/multi30k_task2_val_es_translate.csv", "caption", "short"),
+    ("translation_data/multi30k_task2_val_fr_translate.csv", "caption", "short"),
+    ("translation_data/multi30k_task2_val_ru_translate.csv", "caption", "short"),
+    ("translation_data/multi30k_task2_val_zh_translate.csv", "caption", "short"),
+]
+
+
+def source_rows(read: Callable[[str], DataFrame], sources: list[tuple[str, str, str | None]] = TRAIN_SOURCES) -> DataFrame:
+    """All sources in one table, each row with its type, style and the number of its source; read gives a file's rows
+    (img_path, lang, source, target)."""
+    parts = [read(path).withColumns({"type": F.lit(kind), "style": F.lit(style).cast("string"), "source_no": F.lit(i)}) for i, (path, kind, style) in enumerate(sources)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def baked(rows: DataFrame, encode: Callable[[Column], Column], encode_prompt: Callable[[Column], Column] | None = None) -> DataFrame:
+    """rows (img_path, lang, source, target, type, style) with the columns of a training record: prompt (expanded),
+    prompt_ids, output, output_ids, type, lang (lower case). An unknown type or style is an error."""
+    lang, kind = F.col("lang"), F.col("type")
+    prompt = (
+        F.when(kind == "caption", caption_prompt(lang, F.col("style")))
+        .when(kind == "translation", translation_prompt(lang, F.col("source")))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown type: "), F.coalesce(kind, F.lit("null")))))
+    )
+    output = F.when(kind == "caption", caption_text(F.col("source"), F.col("target"), lang)).otherwise(F.col("target"))
+    out = rows.withColumn("__prompt", expand_prompt(prompt)).withColumn("__output", output)
+    rest = [c for c in rows.columns if c not in ("img_path", "lang", "source", "target", "type", "style")]
+    ids = (encode_prompt or encode)(F.col("__prompt")).alias("prompt_ids"), encode(F.col("__output")).alias("output_ids")
+    return out.select(*rest, "img_path", F.col("__prompt").alias("prompt"), ids[0], F.col("__output").alias("output"), ids[1], "type", F.lower(lang).alias("lang"))
+
+
+def baked_annotations(annotations: DataFrame, encode: Callable[[Column], Column], encode_prompt: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Typed annotations (type, lang, prompt, output and others) with prompt_ids and output_ids: the prompt stays as it
+    is, with its tokens, and the ids are those of the expanded one."""
+    out = annotations.withColumn("__prompt", expand_prompt(F.col("prompt")))
+    out = out.withColumn("prompt_ids", (encode_prompt or encode)(F.col("__prompt"))).withColumn("output_ids", encode(F.col("output")))
+    return out.drop("__prompt")

@@ -346,3 +346,58 @@ SELECT doc_id, row_no, row_no // 64 AS batch FROM n WHERE row_no // 64 > 2
 def q_resume_offset(spark, sf_dir):
     rows = batched(numbered(table(spark, sf_dir, "documents").select("doc_id"), "doc_id"), 64)
     return from_batch(rows, 2).select("doc_id", "row_no", "batch")
+
+
+_WORDS = "[^ \\t\\n\\x0B\\f\\r]+"
+
+
+def _word_lengths(c):
+    return F.transform(F.regexp_extract_all(c, F.lit(_WORDS), F.lit(0)), F.char_length)
+
+
+_SAID = "CASE {0} " + " ".join(f"WHEN '{k[6:8]}' THEN '{v}'" for k, v in P.MODIFIERS.items()) + " END"
+_ASKED = "CASE style " + " ".join(f"WHEN '{k}' THEN '{P.TASKS[t]}'" for k, t in P.STYLES.items()) + " END"
+_RECORD = "md5(prompt) AS prompt, len(regexp_extract_all(prompt, '" + _WORDS + "'))::INT AS n_prompt, md5(output) AS output, (coalesce(list_sum(list_transform(regexp_extract_all(output, '" + _WORDS + "'), lambda w: length(w))), 0))::BIGINT AS ids"
+
+
+def _record(df, *keys):
+    total = F.aggregate("output_ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    return df.select(*keys, "type", "lang", F.md5("prompt").alias("prompt"), F.size("prompt_ids").alias("n_prompt"), F.md5("output").alias("output"), total.alias("ids"))
+
+
+@query(f"""
+WITH {_PAIRS}, r AS (
+  SELECT doc_id::VARCHAR AS img_path, upper(lang) AS lang, text AS source, CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END AS target, 'caption' AS type,
+    CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 2000 THEN 'detailed' ELSE 'more_detailed' END AS style FROM documents
+  UNION ALL SELECT conv_id || '-' || turn, lang, source, target, 'translation', NULL FROM pairs
+), b AS (
+  SELECT img_path, type, lower(lang) AS lang, {_SAID.format("upper(lang)")} || ' ' || CASE WHEN type = 'caption' THEN {_ASKED} ELSE 'Translate the following text: ' || source END AS prompt,
+    CASE WHEN type = 'translation' THEN target WHEN length(target) > 0 AND lang <> 'en' THEN target ELSE source END AS output FROM r
+)
+SELECT img_path, type, lang, {_RECORD} FROM b
+""")
+def q_bake_records(spark, sf_dir):
+    """Training records of captions and translations, with expanded prompts; words' lengths stand for ids."""
+    docs, pairs = table(spark, sf_dir, "documents"), _pairs(spark, sf_dir)
+    style = F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 2000, "detailed").otherwise("more_detailed")
+    captions = docs.select(F.col("doc_id").cast("string").alias("img_path"), F.upper("lang").alias("lang"), F.col("text").alias("source"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source")).alias("target"), F.lit("caption").alias("type"), style.alias("style"))
+    texts = pairs.select(F.concat_ws("-", "conv_id", "turn").alias("img_path"), "lang", "source", "target", F.lit("translation").alias("type"), F.lit(None).cast("string").alias("style"))
+    return _record(B.baked(captions.unionByName(texts), _word_lengths), "img_path")
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, lang, text, {_DOC_SENTENCES} AS ss FROM documents WHERE length(text) > 25),
+a AS (
+  SELECT doc_id, lang, 'CAPTION' AS task, ss[1] AS output FROM s WHERE len(ss) > 0
+  UNION ALL SELECT doc_id, lang, 'DETAILED_CAPTION', text FROM s WHERE len(ss) = 2
+  UNION ALL SELECT doc_id, lang, 'MORE_DETAILED_CAPTION', text FROM s WHERE len(ss) >= 3
+), b AS (
+  SELECT doc_id, 'caption' AS type, lang, '<LANG_' || upper(lang) || '><' || task || '>' AS raw, output,
+    {_SAID.format("upper(lang)")} || ' ' || CASE task {" ".join(f"WHEN '{t[1:-1]}' THEN '{P.TASKS[t]}'" for t in P.STYLES.values())} END AS prompt FROM a
+)
+SELECT doc_id, type, lang, md5(raw) AS raw_prompt, {_RECORD.replace("md5(prompt) AS prompt, ", "")} FROM b
+""")
+def q_bake_annotations(spark, sf_dir):
+    """Annotations with ids of their expanded prompts, which themselves stay as they are."""
+    rows = A.caption_annotations(table(spark, sf_dir, "documents"), "doc_id", "lang", "text")
+    return _record(B.baked_annotations(rows, _word_lengths), "doc_id").withColumnRenamed("prompt", "raw_prompt")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import annotate as A
 from ..operators import punkt as K
+from ..operators import subword as U
 from .registry import query, table
 
 _SPACE = "[^ \\t\\n\\x0B\\f\\r]+[ \\t\\n\\x0B\\f\\r]*"
@@ -97,3 +99,27 @@ def q_punkt_sentences(spark, sf_dir):
     model = K.learned(docs, group="lang")
     found = K.split_sentences(docs, model, "doc_id", group="lang")
     return found.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.md5(F.array_join("sentences", "|")).alias("sentences"))
+
+
+def _vocabulary(name):
+    """Where a public vocabulary's file is; a path of the cluster's own does as well."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def q_subword_statistics(spark, sf_dir):
+    """Subword tokens of prompts and outputs by language; a vocabulary's merges have no SQL."""
+    path = _vocabulary("byte_bpe_multi_50k.tiktoken")
+    rows = A.caption_annotations(table(spark, sf_dir, "documents"), "doc_id", "lang", "text")
+    return A.token_statistics(rows, lambda c: F.size(U.token_ids(c, path)))
+
+
+@query()
+def q_vocabulary_match(spark, sf_dir):
+    """The pieces of one vocabulary that stand in the documents, how often, and what they are in another's ids."""
+    new, old = _vocabulary("piece_bpe_32k.model"), _vocabulary("byte_bpe_50k.json")
+    used = U.used_pieces(table(spark, sf_dir, "documents").select("text"), new)
+    match = U.vocabulary_match(spark, new, old, {1: [50256], 2: [50256]})  # as many rows as the vocabulary
+    return used.join(F.broadcast(match), used["id"] == match["new_id"]).select("new_id", "n", "old_ids")

@@ -42,6 +42,12 @@ def shifted_right(labels: Column, start: int, pad: int) -> Column:
 
 
 def spans(pieces: Column) -> Column:
-    """start and end, in characters, of each piece of a concatenation."""
-    start = lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, p: a + F.char_length(p))
-    return F.transform(pieces, lambda p, i: F.struct(start(i).alias("start"), (start(i) + F.char_length(p)).alias("end")))
+    """start and end, in characters, of each piece of a concatenation, in one pass that carries the offset."""
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    start = F.struct(empty.alias("found"), F.lit(0).alias("at"))
+
+    def add(state: Column, piece: Column) -> Column:
+        end = state["at"] + F.char_length(piece)
+        return F.struct(F.concat(state["found"], F.array(F.struct(state["at"].alias("start"), end.alias("end")))).alias("found"), end.alias("at"))
+
+    return F.aggregate(pieces, start, add, lambda s: s["found"])

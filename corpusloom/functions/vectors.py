@@ -59,3 +59,14 @@ def sinusoid(position: Column, dim: int) -> Column:
     angle = lambda i: position / F.pow(F.lit(10000.0), i / half)
     places = F.sequence(F.lit(0), F.lit(half - 1))
     return F.concat(F.transform(places, lambda i: F.sin(angle(i))), F.transform(places, lambda i: F.cos(angle(i))))
+
+
+def perplexity(losses: Column, mask: Column) -> Column:
+    """Of a padded sequence: the exponential of the mean loss where the mask is 1; null where it is nowhere."""
+    return F.exp(masked_mean(losses, mask))
+
+
+def perplexity_after(losses: Column, prompt: Column) -> Column:
+    """Of what follows a prompt of so many tokens, all of which count: losses[i] is that of token i + 1."""
+    rest = F.slice(losses, prompt.cast("int") + 1, F.greatest(F.size(losses) - prompt.cast("int"), F.lit(0)))
+    return F.when(F.size(rest) > 0, F.exp(F.aggregate(rest, F.lit(0.0), lambda a, x: a + x) / F.size(rest)))

@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 
 
 class Model(Protocol):
-    """What evaluation asks of a model; each call gets a batch."""
+    """What evaluation asks of a model; each call gets a batch, which the process_batch methods have made ready."""
+
+    def process_batch_caption(self, images: list[str], lang: str) -> list: ...
+
+    def process_batch_translation(self, images: list[str], lang: str, sources: list[str]) -> tuple[list, list]: ...
+
+    def process_batch_lexical_ambiguity(self, images: list[str], sources: list[str], targets: list[str], lang: str) -> tuple[list, list, list]: ...
 
     def caption(self, images: list[str], lang: str) -> list[str]: ...
 
@@ -21,9 +27,25 @@ class Model(Protocol):
     def perplexity(self, images: list[str], lang: str, sources: list[str], targets: list[str]) -> list[float]: ...
 
 
-class Echo:
+class Plain:
+    """Batches as they are, for models that make nothing ready."""
+
+    def process_batch_caption(self, images: list[str], lang: str) -> list:
+        return images
+
+    def process_batch_translation(self, images: list[str], lang: str, sources: list[str]) -> tuple[list, list]:
+        return images, sources
+
+    def process_batch_lexical_ambiguity(self, images: list[str], sources: list[str], targets: list[str], lang: str) -> tuple[list, list, list]:
+        return images, sources, targets
+
+
+class Echo(Plain):
     """A stand-in whose answers follow from its inputs by rule."""
 
+    def answer(self, image: str, question: str, opening: str) -> str:
+        return f"{image}."
+
     def caption(self, images: list[str], lang: str) -> list[str]:
         return [f"{lang}: {i}" for i in images]
 
@@ -60,6 +82,16 @@ def translated(model: str, source: Column, lang: str) -> Column:
     return run(source)
 
 
+def perplexities(model: str, source: Column, target: Column, lang: str) -> Column:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        m = MODELS[model]()
+        for s, t in batches:
+            yield pd.Series(m.perplexity([""] * len(s), lang, s.tolist(), t.tolist()), dtype=float)
+
+    return run(source, target)
+
+
 def tokenised(text: Column, vocabulary: int = 32000) -> Column:
     """Ids by hash of words and signs: a stand-in for a subword tokenizer."""
     words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0))

@@ -1,6 +1,6 @@
 """Every registered query by name, and the SQL that states the same."""
 
-from . import corpus, evaluation, files, flows, language, training  # noqa: F401
+from . import corpus, evaluation, files, flows, language, prepared, training  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

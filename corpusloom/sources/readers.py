@@ -83,7 +83,11 @@ def read_docci(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.schema(DOCCI).json(path).where(F.col("split") == split).select("image_file", "description")
 
 
-def read_multilingual(spark: SparkSession, path: str, lang: str, allowed: tuple[str, ...]) -> DataFrame:
+# Languages of the multilingual caption set.
+MULTILINGUAL = ("ar", "bn", "cs", "da", "de", "el", "en", "es", "fa", "fi", "fil", "fr", "hi", "hr", "hu", "id", "it", "he", "ja", "ko", "mi", "nl", "no", "pl", "pt", "quz", "ro", "ru", "sv", "sw", "te", "th", "tr", "uk", "vi", "zh")
+
+
+def read_multilingual(spark: SparkSession, path: str, lang: str, allowed: tuple[str, ...] = MULTILINGUAL) -> DataFrame:
     """key, source (English captions), target (captions in lang) of JSON lines with a struct a language."""
     if lang not in allowed:
         raise ValueError(f"language not supported: {lang}")
@@ -142,19 +146,29 @@ def read_statistics(spark: SparkSession, path: str) -> DataFrame:
     return one.select("measure", "task", F.explode("m").alias("lang", "value"))
 
 
+#: Rows of a line of a prediction file: one value, which one task holds.
+PREDICTIONS = 50_000
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """idx, source, prediction, references of a file of parallel lists."""
-    f = spark.read.schema("sources array<string>, predictions array<string>, references array<array<string>>").json(path, multiLine=True)
-    rows = f.select(F.posexplode(F.arrays_zip("sources", "predictions", "references")).alias("idx", "x"))
-    return rows.select(F.col("idx").cast("long").alias("idx"), F.col("x.sources").alias("source"), F.col("x.predictions").alias("prediction"), F.col("x.references").alias("references"))
-
-
-def write_predictions(df: DataFrame, path: str) -> None:
-    """idx, source, prediction, references as one file of parallel lists in the order of idx, which
-    read_predictions reads. The file is one value, so a set of predictions must fit one task."""
-    rows = F.array_sort(F.collect_list(F.struct("idx", "source", "prediction", "references")))
-    lists = df.agg(rows.alias("r")).select(F.col("r.source").alias("sources"), F.col("r.prediction").alias("predictions"), F.col("r.references").alias("references"))
-    lists.coalesce(1).write.mode("overwrite").json(path)
+    """idx, source, prediction, references of a file of parallel lists, or of several lines of such lists, which say
+    where their first row stands."""
+    lists = "sources array<string>, predictions array<string>, references array<array<string>>"
+    text = F.from_json("value", f"first long, {lists}")
+    f = spark.read.text(path, wholetext=False).select(text.alias("f")).where("f.predictions is not null")
+    if f.isEmpty():  # one value over several lines
+        f = spark.read.text(path, wholetext=True).select(text.alias("f"))
+    rows = f.select(F.coalesce("f.first", F.lit(0)).alias("first"), F.posexplode(F.arrays_zip("f.sources", "f.predictions", "f.references")).alias("idx", "x"))
+    return rows.select((F.col("first") + F.col("idx")).alias("idx"), F.col("x.sources").alias("source"), F.col("x.predictions").alias("prediction"), F.col("x.references").alias("references"))
+
+
+def write_predictions(df: DataFrame, path: str, rows: int = PREDICTIONS) -> None:
+    """idx, source, prediction, references as parallel lists in the order of idx, one JSON line for every `rows` rows,
+    so that a set of any size is written by many tasks; a set of at most so many is the one file of lists that
+    evaluations read."""
+    placed = numbered(df.select("idx", "source", "prediction", "references"), "idx").withColumn("first", F.floor(F.col("row_no") / rows) * rows)
+    held = placed.groupBy("first").agg(F.array_sort(F.collect_list(F.struct("row_no", "source", "prediction", "references"))).alias("r"))
+    held.select("first", F.col("r.source").alias("sources"), F.col("r.prediction").alias("predictions"), F.col("r.references").alias("references")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from ..operators import images as I
 from ..sources import readers as R
 from ..sources.tar import TarSource
 from ..storage import new_path
@@ -133,3 +136,32 @@ def _parquet_names(spark, path):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
     return [f.getPath().getName() for f in found if f.getPath().getName().endswith(".parquet")]
+
+
+@F.pandas_udf("binary")
+def _picture(keys: pd.Series) -> pd.Series:
+    """A PNG of four lines of six pixels by rule, every filter among its lines; some cut off, some no image at all."""
+
+    def one(k: int) -> bytes:
+        y, x, c = np.mgrid[0:4, 0:6, 0:3]
+        data = I.encode_png(((k * 7 + x * 3 + y * 5 + c * 11) % 256).astype(np.uint8), (4, 1, 3, 2))
+        return data[:-9] if k % 5 == 0 else b"GIF89a" if k % 5 == 1 else data
+
+    return keys.map(one)
+
+
+@query("""
+WITH p AS (
+  SELECT s_suppkey, (s_suppkey * 7 + x * 3 + y * 5 + c * 11) % 256 AS v, c FROM supplier, range(6) xs(x), range(4) ys(y), range(3) cs(c)
+), n AS (SELECT s_suppkey, sum((v / 255.0::DOUBLE - [0.485::DOUBLE, 0.456, 0.406][(c + 1)::INT]) / [0.229::DOUBLE, 0.224, 0.225][(c + 1)::INT]) AS total FROM p GROUP BY s_suppkey)
+SELECT s_suppkey AS key, CASE WHEN s_suppkey % 5 <> 1 THEN 'png' END AS format, CASE WHEN s_suppkey % 5 > 1 THEN 6 END AS width, CASE WHEN s_suppkey % 5 > 1 THEN 4 END AS height, CASE WHEN s_suppkey % 5 > 1 THEN 3 END AS channels,
+  CASE (s_suppkey % 5)::INT WHEN 0 THEN 'truncated chunk' WHEN 1 THEN 'neither PNG nor JPEG' END AS error, CASE WHEN s_suppkey % 5 > 1 THEN round(total, 2) END AS total FROM n
+""")
+def q_images(spark, sf_dir):
+    """Image files, one a supplier, written, read by Spark, checked, decoded and made a model's inputs."""
+    path = new_path(spark, "images")
+    rows = table(spark, sf_dir, "supplier").select(F.concat("s_suppkey", F.lit(".png")).alias("name"), _picture(F.col("s_suppkey")).alias("data"))
+    I.write_files(rows, path, "name", "data").write.format("noop").mode("overwrite").save()
+    read = I.read_images(spark, path, "*.png").select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("key"), I.checked(F.col("content")).alias("t"), I.pixel_values(F.col("content"), 6, 4).alias("v"))
+    total = F.aggregate(F.transform("v", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return read.select("key", "t.format", "t.width", "t.height", "t.channels", "t.error", F.round(total, 2).alias("total"))

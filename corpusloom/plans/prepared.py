@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import annotate as A
 from ..operators import bake as B
+from ..operators import config as C
 from ..operators import parse as Z
 from ..operators import vocabulary as O
 from ..operators.drive import caption_call
@@ -233,3 +234,24 @@ def q_resumed_calls(spark, sf_dir):
     first, again = ledger.ask(rows, call), ledger.ask(rows, call)
     got = ledger.answered(rows, call)
     return got.groupBy("lang").agg(F.count("*").alias("n"), F.lit(first).cast("long").alias("asked"), F.lit(again).alias("asked_again"), F.count_distinct("output").alias("answers"))
+
+
+_BASE = '{"model": {"width": 64, "rate": 0.5, "name": "base"}, "k": 0, "tags": ["a"]}'
+
+
+@query(f"""
+WITH o AS (SELECT event_id, user_id, event_type, (props ->> 'k')::BIGINT AS k FROM events),
+m AS (
+  SELECT event_id, json_merge_patch('{_BASE}', json_object('k', k), CASE WHEN user_id % 3 = 0 THEN json_object('model', json_object('width', user_id, 'name', event_type)) ELSE json('{{}}') END) AS c, user_id FROM o
+)
+SELECT event_id, (c ->> '$.k')::BIGINT AS k, (c ->> '$.model.width')::BIGINT AS width, (c ->> '$.model.rate')::DOUBLE AS rate, c ->> '$.model.name' AS name, json_array_length(c -> '$.tags')::INT AS tags,
+  CASE WHEN user_id % 7 = 0 THEN '$.tags: text for array' ELSE '' END AS conflicts FROM m
+""")
+def q_config_merge(spark, sf_dir):
+    """An event's settings: defaults, its properties, and overrides by user, some of a wrong kind."""
+    user = F.when(F.col("user_id") % 3 == 0, F.to_json(F.struct(F.struct(F.col("user_id").alias("width"), F.col("event_type").alias("name")).alias("model")))).otherwise("{}")
+    wrong = F.when(F.col("user_id") % 7 == 0, '{"tags": "b"}').otherwise("{}")
+    rows = table(spark, sf_dir, "events").select("event_id", F.parse_json(F.lit(_BASE)).alias("base"), F.parse_json("props").alias("one"), F.parse_json(user).alias("two"), F.parse_json(wrong).alias("three"))
+    got = C.with_overrides(rows, "base", ["one", "two", "three"], strict=False)
+    at = lambda path, kind: C.setting(F.col("config"), path, kind)
+    return got.select("event_id", at("$.k", "bigint").alias("k"), at("$.model.width", "bigint").alias("width"), at("$.model.rate", "double").alias("rate"), at("$.model.name", "string").alias("name"), F.size(at("$.tags", "array<string>")).alias("tags"), F.array_join("config_conflicts", "; ").alias("conflicts"))

@@ -70,3 +70,53 @@ def perplexity_after(losses: Column, prompt: Column) -> Column:
     """Of what follows a prompt of so many tokens, all of which count: losses[i] is that of token i + 1."""
     rest = F.slice(losses, prompt.cast("int") + 1, F.greatest(F.size(losses) - prompt.cast("int"), F.lit(0)))
     return F.when(F.size(rest) > 0, F.exp(F.aggregate(rest, F.lit(0.0), lambda a, x: a + x) / F.size(rest)))
+
+
+def _summed(rows: Column, dim: Column) -> Column:
+    """Sum of the vectors of an array, place by place."""
+    return F.aggregate(rows, F.transform(F.sequence(F.lit(1), dim), lambda _: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+
+
+def mean_vector(rows: Column) -> Column:
+    """Mean of the vectors of a non-empty array, else null."""
+    n = F.size(rows)
+    return F.when(n > 0, F.transform(_summed(rows, F.size(F.get(rows, F.lit(0)))), lambda x: x / n))
+
+
+def pooled_features(frames: Column, how: tuple[str, ...]) -> Column:
+    """Vectors of an image or a film, array of frames of positions of doubles, pooled and put one after the other in the
+    order of how: spatial (a frame's mean, for each frame), temporal (a position's mean over frames, for each
+    position), last (the last frame's positions). Frames have equally many positions."""
+    known = {"spatial", "temporal", "last"}
+    if not how or set(how) - known:
+        raise ValueError(f"pooling is one of {sorted(known)}, not {how}")
+    positions = F.size(F.get(frames, F.lit(0)))
+    parts = {
+        "spatial": lambda: F.transform(frames, mean_vector),
+        "temporal": lambda: F.transform(F.sequence(F.lit(0), positions - 1), lambda p: mean_vector(F.transform(frames, lambda f: F.get(f, p)))),
+        "last": lambda: F.element_at(frames, -1),
+    }
+    return F.concat(*(parts[h]() for h in how))
+
+
+def merged_sequence(first: Column, first_mask: Column, second: Column, second_mask: Column) -> Column:
+    """struct<values, mask> of an image's vectors before a text's, with their masks."""
+    return F.struct(F.concat(first, second).alias("values"), F.concat(first_mask, second_mask).alias("mask"))
+
+
+def softmax(v: Column) -> Column:
+    """Shares of the exponentials; null components share nothing."""
+    top = F.array_max(v)
+    e = F.transform(v, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))
+    return once(e, lambda w: once(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(w, lambda x: x / total)))
+
+
+def rotated(v: Column, position: Column, base: float = 10000.0) -> Column:
+    """Rotary position: component i of the first half and its partner in the second half are turned by the angle
+    position / base^(i / half); v has an even number of components."""
+    half = (F.size(v) / 2).cast("int")
+
+    def angle(i: Column) -> Column:
+        return position / F.pow(F.lit(base), F.pmod(i, half) / half)
+
+    return F.transform(v, lambda x, i: F.when(i < half, x * F.cos(angle(i)) - F.get(v, i + half) * F.sin(angle(i))).otherwise(x * F.cos(angle(i)) + F.get(v, i - half) * F.sin(angle(i))))

@@ -142,16 +142,24 @@ def source_rows(read: Callable[[str], DataFrame], sources: list[tuple[str, str,
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+#: What a row's (lang, style, source, target) becomes, by its type: the prompt and the output.
+PREPROCESSING: dict[str, Callable[[Column, Column, Column, Column], tuple[Column, Column]]] = {
+    "translation": lambda lang, style, source, target: (translation_prompt(lang, source), target),
+    "caption": lambda lang, style, source, target: (caption_prompt(lang, style), caption_text(source, target, lang)),
+}
+
+
 def baked(rows: DataFrame, encode: Callable[[Column], Column], encode_prompt: Callable[[Column], Column] | None = None) -> DataFrame:
     """rows (img_path, lang, source, target, type, style) with the columns of a training record: prompt (expanded),
     prompt_ids, output, output_ids, type, lang (lower case). An unknown type or style is an error."""
     lang, kind = F.col("lang"), F.col("type")
-    prompt = (
-        F.when(kind == "caption", caption_prompt(lang, F.col("style")))
-        .when(kind == "translation", translation_prompt(lang, F.col("source")))
-        .otherwise(F.raise_error(F.concat(F.lit("unknown type: "), F.coalesce(kind, F.lit("null")))))
-    )
-    output = F.when(kind == "caption", caption_text(F.col("source"), F.col("target"), lang)).otherwise(F.col("target"))
+    unknown = F.raise_error(F.concat(F.lit("unknown type: "), F.coalesce(kind, F.lit("null"))))
+    prompt = output = None
+    for name, make in PREPROCESSING.items():
+        p, o = make(lang, F.col("style"), F.col("source"), F.col("target"))
+        prompt = F.when(kind == name, p) if prompt is None else prompt.when(kind == name, p)
+        output = F.when(kind == name, o) if output is None else output.when(kind == name, o)
+    prompt = prompt.otherwise(unknown)
     out = rows.withColumn("__prompt", expand_prompt(prompt)).withColumn("__output", output)
     rest = [c for c in rows.columns if c not in ("img_path", "lang", "source", "target", "type", "style")]
     ids = (encode_prompt or encode)(F.col("__prompt")).alias("prompt_ids"), encode(F.col("__output")).alias("output_ids")

@@ -91,3 +91,18 @@ def batched(df: DataFrame, size: int, number: str = "row_no") -> DataFrame:
 def from_batch(df: DataFrame, after: int) -> DataFrame:
     """Batches after the one where work stopped."""
     return df.where(F.col("batch") > after)
+
+
+def first_batch(df: DataFrame, size: int, number: str = "row_no") -> DataFrame:
+    """A trial run's rows: those of the first batch, by number, so that it is the same every time."""
+    return df.where(F.col(number) < size)
+
+
+def preview(df: DataFrame, *order: str, n: int = 10) -> DataFrame:
+    """The first rows for a look at a result."""
+    return df.orderBy(*order).limit(n)
+
+
+def length(df: DataFrame, declared: int | None = None) -> int:
+    """How many rows a dataset says to have, or a count over all of it where it says nothing."""
+    return declared if declared is not None else df.count()

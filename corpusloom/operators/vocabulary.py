@@ -82,3 +82,20 @@ def bound(defaults: Mapping[str, object], given: Mapping[str, str]) -> dict[str,
         if k in given:
             out[k] = truth(given[k]) if isinstance(d, bool) else given[k] if d is None else type(d)(given[k])
     return out
+
+
+def untile(tile_row: Column, tile_column: Column, row: Column, column: Column, size: int) -> Column:
+    """Place in the grid, as (row, column), of a place in a tile."""
+    return F.struct((tile_row * size + row).alias("row"), (tile_column * size + column).alias("column"))
+
+
+def text_room(max_length: int, image_length: int) -> int:
+    """Tokens left for a text beside an image's; none left is an error."""
+    if max_length <= image_length:
+        raise ValueError(f"an image takes {image_length} of {max_length} tokens")
+    return max_length - image_length
+
+
+def prompt_list(text: str | list[str] | None) -> list[str]:
+    """Prompts as a list, whether one or many were given."""
+    return [] if text is None else [text] if isinstance(text, str) else list(text)

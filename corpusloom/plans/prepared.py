@@ -255,3 +255,45 @@ def q_config_merge(spark, sf_dir):
     got = C.with_overrides(rows, "base", ["one", "two", "three"], strict=False)
     at = lambda path, kind: C.setting(F.col("config"), path, kind)
     return got.select("event_id", at("$.k", "bigint").alias("k"), at("$.model.width", "bigint").alias("width"), at("$.model.rate", "double").alias("rate"), at("$.model.name", "string").alias("name"), F.size(at("$.tags", "array<string>")).alias("tags"), F.array_join("config_conflicts", "; ").alias("conflicts"))
+
+
+_FRAMES = "list_transform(range(4), lambda f: list_transform(range(4), lambda p: list_transform(range(4), lambda d: embedding[(f * 16 + p * 4 + d + 1)::INT]::DOUBLE)))"
+
+
+@query(f"""
+WITH f AS (SELECT vec_id, {_FRAMES} AS f FROM embeddings),
+v AS (SELECT vec_id, f.i AS i, p.j AS j, d.k AS k, f[(f.i + 1)::INT][(p.j + 1)::INT][(d.k + 1)::INT] AS x FROM f, range(4) f(i), range(4) p(j), range(4) d(k))
+SELECT vec_id, 0 AS part, i AS row, k AS place, round(avg(x), 6) AS x FROM v GROUP BY vec_id, i, k
+UNION ALL SELECT vec_id, 1, j, k, round(avg(x), 6) FROM v GROUP BY vec_id, j, k UNION ALL SELECT vec_id, 2, j, k, round(x, 6) FROM v WHERE i = 3
+""")
+def q_feature_pooling(spark, sf_dir):
+    """Vectors as four frames of four positions: means of frames, of positions, and the last frame."""
+    v = lambda f, p: F.slice("embedding", f * 16 + p * 4 + 1, 4).cast("array<double>")
+    frames = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda f: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda p: v(f, p)))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", V.pooled_features(frames, ("spatial", "temporal", "last")).alias("r"))
+    rows = rows.select("vec_id", F.posexplode("r").alias("at", "v")).select("vec_id", "at", F.posexplode("v").alias("place", "x"))
+    return rows.select("vec_id", F.floor(F.col("at") / 4).cast("int").alias("part"), (F.col("at") % 4).cast("long").alias("row"), F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS v, vec_id % 50 AS p FROM embeddings),
+e AS (SELECT vec_id, v, p, k.i AS i FROM v, range(8) k(i)),
+s AS (SELECT *, exp(v[(i + 1)::INT] - list_max(v)) / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))) AS share, p / pow(10000.0::DOUBLE, (i % 4) / 4.0::DOUBLE) AS angle FROM e)
+SELECT vec_id, i AS place, round(share, 6) AS share, round(CASE WHEN i < 4 THEN v[(i + 1)::INT] * cos(angle) - v[(i + 5)::INT] * sin(angle) ELSE v[(i + 1)::INT] * cos(angle) + v[(i - 3)::INT] * sin(angle) END, 6) AS turned FROM s
+""")
+def q_softmax_rotary(spark, sf_dir):
+    """Shares of exponentials, and rotary positions, of eight components."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).cast("array<double>").alias("v"))
+    rows = rows.select("vec_id", F.posexplode(F.arrays_zip(V.softmax(F.col("v")).alias("s"), V.rotated(F.col("v"), F.col("vec_id") % 50).alias("t"))).alias("place", "z"))
+    return rows.select("vec_id", F.col("place").cast("long").alias("place"), F.round("z.s", 6).alias("share"), F.round("z.t", 6).alias("turned"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_orderkey % 97 // 7 AS tile_row, l_partkey % 89 // 7 AS tile_column, l_orderkey % 97 AS row, l_partkey % 89 AS col FROM lineitem
+""")
+def q_untile(spark, sf_dir):
+    """Places of a grid in tiles of seven and back."""
+    y, x = F.col("l_orderkey") % 97, F.col("l_partkey") % 89
+    t = O.tile(y, x, 7)
+    back = O.untile(t["row"], t["column"], y % 7, x % 7, 7)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", t["row"].alias("tile_row"), t["column"].alias("tile_column"), back["row"].alias("row"), back["column"].alias("col"))

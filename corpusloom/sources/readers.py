@@ -171,6 +171,15 @@ def write_predictions(df: DataFrame, path: str, rows: int = PREDICTIONS) -> None
     held.select("first", F.col("r.source").alias("sources"), F.col("r.prediction").alias("predictions"), F.col("r.references").alias("references")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a pattern of numeric ranges and wildcards matches, ascending, on any file system Spark knows."""
+    found = []
+    for p in braces(pattern):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        found += [f.getPath().toString() for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []]
+    return sorted(found)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -159,3 +159,32 @@ def test_quad_area(one):
     square = F.array(*map(F.lit, [0.0, 0.0, 2.0, 0.0, 2.0, 2.0, 0.0, 2.0]))
     assert one(B.quad_area(square)) == 4.0
     assert one(B.quad_area(F.array(*map(F.lit, [1.0, 1.0, 3.0, 1.0, 3.0, 3.0, 1.0, 3.0])), compat=True)) != 4.0
+
+
+def test_merged_sequences_and_room(spark):
+    from corpusloom.functions import vectors as V
+    from corpusloom.operators import vocabulary as O
+
+    one = spark.range(1)
+    r = one.select(V.merged_sequence(F.array(F.array(F.lit(1.0))), F.array(F.lit(1)), F.array(F.array(F.lit(2.0)), F.array(F.lit(3.0))), F.array(F.lit(1), F.lit(0))).alias("s")).first().s
+    assert r["values"] == [[1.0], [2.0], [3.0]] and r["mask"] == [1, 1, 0]
+    assert one.select(V.mean_vector(F.array().cast("array<array<double>>")).alias("m")).first().m is None
+    assert one.select(V.softmax(F.array(F.lit(1e9), F.lit(1e9), F.lit(None).cast("double"))).alias("s")).first().s == [0.5, 0.5, 0.0]
+    with pytest.raises(ValueError):
+        V.pooled_features(F.lit(None), ("other",))
+    assert O.text_room(1024, 577) == 447 and O.prompt_list("a") == ["a"] and O.prompt_list(["a", "b"]) == ["a", "b"] and O.prompt_list(None) == []
+    with pytest.raises(ValueError):
+        O.text_room(10, 10)
+
+
+def test_trial_runs_and_listing(spark, tmp_path):
+    from corpusloom.operators.order import first_batch, length, numbered, preview
+    from corpusloom.sources.readers import listed
+
+    rows = numbered(spark.range(100).repartition(5), "id")
+    assert sorted(r.id for r in first_batch(rows, 7).collect()) == list(range(7)) and [r.id for r in preview(rows, "id", n=3).collect()] == [0, 1, 2]
+    assert length(rows) == 100 and length(rows, 5) == 5
+    for n in ("a-00.tar", "a-01.tar", "a-02.tar", "b.txt"):
+        (tmp_path / n).write_text("x")
+    assert [p.rpartition("/")[2] for p in listed(spark, f"{tmp_path}/a-{{01..05}}.tar")] == ["a-01.tar", "a-02.tar"]
+    assert len(listed(spark, f"{tmp_path}/*.tar")) == 3 and listed(spark, f"{tmp_path}/none*") == []

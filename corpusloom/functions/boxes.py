@@ -13,6 +13,11 @@ def quantised(value: Column, size: Column, bins: int = BINS) -> Column:
     return F.least(F.greatest(F.floor(value / (size / F.lit(bins).cast("double"))), F.lit(0)), F.lit(bins - 1)).cast("int")
 
 
+def quantised_all(points: Column, width: Column, height: Column, bins: int = BINS) -> Column:
+    """Bins of x, y, x, y ... coordinates."""
+    return F.transform(points, lambda v, i: quantised(v, F.when(i % 2 == 0, width).otherwise(height), bins))
+
+
 def dequantised(bin_: Column, size: Column, bins: int = BINS) -> Column:
     """Middle of a bin."""
     return (bin_ + 0.5) * (size / F.lit(bins).cast("double"))

@@ -15,7 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 ORDER = 4
+#: N-grams whose frequencies are broadcast; more are joined by a shuffle.
+BROADCAST_GRAMS = 1_000_000
 
 
 def tokens(c: Column) -> Column:
@@ -106,23 +110,32 @@ def cider(df: DataFrame, tokenizer=tokens, clipped: bool = True, sigma: float =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
+            ids, places, orders, grams, own_n, ref_n, new = [], [], [], [], [], [], []
+            for k, (h, refs) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 known = [set() for _ in range(ORDER)]
-                own = _counts(b.column(1)[k].as_py() or [])
-                for ref, r in enumerate(b.column(2)[k].as_py() or []):
+                own = _counts(h or [])
+                for ref, r in enumerate(refs or []):
                     for n, (c, d) in enumerate(zip(own, _counts(r or []), strict=True)):
-                        grams = list(c | d)
-                        if grams:
-                            # a sample counts once for a gram, whichever of its references hold it
-                            new = [int(g in d and g not in known[n]) for g in grams]
-                            known[n].update(d)
-                            size = len(grams)
-                            yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[k].as_py()] * size, b.schema.field(0).type), pa.array([ref] * size, pa.int32()), pa.array([n + 1] * size, pa.int32()), pa.array(grams), pa.array([c[g] for g in grams], pa.int64()), pa.array([d[g] for g in grams], pa.int64()), pa.array(new, pa.int32())], ["id", "ref", "n", "gram", "c", "d", "first"])
+                        both = c.keys() | d.keys()
+                        ids += [k] * len(both)
+                        places += [ref] * len(both)
+                        orders += [n + 1] * len(both)
+                        grams += both
+                        own_n += [c[g] for g in both]
+                        ref_n += [d[g] for g in both]
+                        # a sample counts once for a gram, whichever of its references hold it
+                        new += [int(g in d and g not in known[n]) for g in both]
+                        known[n].update(d)
+            out = [b.column(0).take(pa.array(ids, pa.int64())), pa.array(places, pa.int32()), pa.array(orders, pa.int32()), pa.array(grams, pa.string()), pa.array(own_n, pa.int64()), pa.array(ref_n, pa.int64()), pa.array(new, pa.int32())]
+            yield pa.RecordBatch.from_arrays(out, ["id", "ref", "n", "gram", "c", "d", "first"])
 
     grams = rows.mapInArrow(count, schema)
-    often = grams.groupBy("n", "gram").agg(F.sum("first").alias("df"))
-    idf = F.ln("samples") - F.ln(F.greatest("df", F.lit(1)))
-    both = grams.join(often, ["n", "gram"]).crossJoin(df.agg(F.count("*").alias("samples"))).select("id", "ref", "n", (F.col("c") * idf).alias("w"), (F.col("d") * idf).alias("v"))
+    # what only one sample holds needs no lookup; the rest is broadcast where it is small, so that common words' many
+    # rows don't meet in one task
+    often = written(grams.groupBy("n", "gram").agg(F.sum("first").alias("df")).where("df > 1"), "grams")
+    often = F.broadcast(often) if often.count() <= BROADCAST_GRAMS else often
+    idf = F.ln("samples") - F.ln(F.coalesce("df", F.lit(1)))
+    both = grams.join(often, ["n", "gram"], "left").crossJoin(df.agg(F.count("*").alias("samples"))).select("id", "ref", "n", (F.col("c") * idf).alias("w"), (F.col("d") * idf).alias("v"))
     product = F.least("w", "v") * F.col("v") if clipped else F.col("w") * F.col("v")
     sims = both.groupBy("id", "ref", "n").agg(F.sum(product).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_a"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm_b"))
     sims = sims.withColumn("sim", F.coalesce(F.try_divide("dot", F.col("norm_a") * F.col("norm_b")), F.lit(0.0)))

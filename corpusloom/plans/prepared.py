@@ -8,6 +8,7 @@ from ..functions import arrays as R
 from ..functions import prompts as P
 from ..functions import text as X
 from ..functions import vectors as V
+from ..functions.boxes import dequantised_all, quantised_all
 from ..operators import annotate as A
 from ..operators import bake as B
 from ..operators import config as C
@@ -297,3 +298,16 @@ def q_untile(spark, sf_dir):
     t = O.tile(y, x, 7)
     back = O.untile(t["row"], t["column"], y % 7, x % 7, 7)
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", t["row"].alias("tile_row"), t["column"].alias("tile_column"), back["row"].alias("row"), back["column"].alias("col"))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, [l_quantity * 15, l_extendedprice / 200, l_discount * 9000, l_tax * 5000] AS v FROM lineitem),
+b AS (SELECT *, list_transform(v, lambda x, i: least(greatest(floor(x / (CASE WHEN i % 2 = 1 THEN 640.0::DOUBLE ELSE 480.0::DOUBLE END / 1000.0::DOUBLE)), 0), 999)::INT) AS b FROM p)
+SELECT l_orderkey, l_linenumber, b[1] AS x1, b[2] AS y1, b[3] AS x2, b[4] AS y2, round((b[3] + 0.5::DOUBLE) * 0.64::DOUBLE, 4) AS x, round((b[4] + 0.5::DOUBLE) * 0.48::DOUBLE, 4) AS y FROM b
+""")
+def q_point_bins(spark, sf_dir):
+    """Points as location bins and back."""
+    size = F.lit(640.0), F.lit(480.0)
+    points = F.array(F.col("l_quantity") * 15, F.col("l_extendedprice") / 200, F.col("l_discount") * 9000, F.col("l_tax") * 5000)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", quantised_all(points, *size).alias("b")).withColumn("d", dequantised_all(F.col("b"), *size))
+    return rows.select("l_orderkey", "l_linenumber", *(F.get("b", F.lit(i)).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))), F.round(F.get("d", F.lit(2)), 4).alias("x"), F.round(F.get("d", F.lit(3)), 4).alias("y"))

@@ -86,3 +86,23 @@ def test_whole_pipeline(spark):
     assert by.where("n <> end or n > 2048").count() == 0 and pieces.count() > 0
     start = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert pieces.join(start, "doc_id", "left_anti").count() == 0
+
+
+def test_run_over_an_empty_table(spark, tmp_path):
+    place = f"file://{tmp_path}"
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{place}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
+    assert P.run(spark, place).count() == 0
+
+
+def test_columns_that_clash_pass_all_stages(spark, docs):
+    """Names that the operators use themselves keep their values through every stage but the last."""
+    names = ["score", "predicted", "fit", "langs", "copies", "copy", "component_id", "kept", "key", "node", "size", "target", "__rest", "__id", "__h", "__row"]
+    more = docs.where("doc_id is not null").select("*", *(F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in names))
+    now = more
+    for name, stage in P.STAGES[:-1]:
+        now = stage(spark, now, SMALL)
+        assert now.columns == more.columns, name
+    rows = now.collect()
+    assert rows and all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names)
+    assert P.STAGES[-1][1](spark, now, SMALL).count() > 0

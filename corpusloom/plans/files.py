@@ -58,13 +58,13 @@ def q_nested_json_split(spark, sf_dir):
 
 @query("SELECT 'VG_' || p_partkey || '.jpg' AS image, p_name AS paragraph FROM part WHERE p_size > 25")
 def q_json_array_ids(spark, sf_dir):
-    """Items of a JSON array that an id list names."""
+    """Items of JSON arrays, one array for every 500 keys, that id lists name."""
     path, ids = new_path(spark, "items"), new_path(spark, "ids")
-    part = table(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part").withColumn("chunk", F.floor(F.col("p_partkey") / 500))
     item = F.struct(F.col("p_partkey").alias("image_id"), F.concat(F.lit("http://images/VG/"), "p_partkey", F.lit(".jpg")).alias("url"), F.col("p_name").alias("paragraph"))
-    part.agg(F.to_json(F.collect_list(item))).write.text(path)  # such a file is one line
-    part.where("p_size > 25").agg(F.to_json(F.collect_list("p_partkey"))).write.text(ids)
-    return R.read_paragraphs(spark, path, ids)
+    part.groupBy("chunk").agg(F.to_json(F.collect_list(item)).alias("value")).select("value").write.text(path)
+    part.where("p_size > 25").groupBy("chunk").agg(F.to_json(F.collect_list("p_partkey")).alias("value")).select("value").write.text(ids)
+    return R.read_paragraphs(spark, path, ids, lines=True)
 
 
 @query("SELECT 'count' AS measure, event_type AS task, 'u' || user_id AS lang, count(*) AS value FROM events GROUP BY event_type, user_id")

@@ -108,9 +108,27 @@ def _candidates(df):
     return df.select("user_id", "event_id", F.array("event_type", F.get(kinds, (F.col("event_id") % 5).cast("int"))).alias("candidates"))
 
 
-@query()
+_KINDS = sorted(_EVENT_WEIGHTS)
+_SHARES = "[" + ", ".join(f"{_EVENT_WEIGHTS[k] / (sum(_EVENT_WEIGHTS.values()) + S.EPSILON)!r}::DOUBLE" for k in _KINDS) + "]"
+
+
+@query(f"""
+WITH RECURSIVE kinds AS (SELECT {_KINDS!r} AS k, {_SHARES} AS share),
+e AS (
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, list_position(k, event_type) AS a, (event_id % 5 + 1)::INT AS b, share,
+    ('0x' || md5('0-' || user_id || '-' || event_id)[1:8])::BIGINT / 4294967296.0::DOUBLE AS u FROM events, kinds
+), r AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS counts FROM e
+  UNION ALL
+  SELECT user_id, i, list_transform(counts, lambda n, j: n + (j = CASE WHEN u * (wa + wb) - wa < 0 THEN a ELSE b END)::BIGINT) FROM (
+    SELECT e.user_id, e.i, r.counts, u, a, b, (share[a] * list_sum(r.counts) >= r.counts[a])::INT + {S.EPSILON!r}::DOUBLE AS wa, (share[b] * list_sum(r.counts) >= r.counts[b])::INT + {S.EPSILON!r}::DOUBLE AS wb
+    FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+), last AS (SELECT user_id, arg_max(counts, i) AS counts FROM r GROUP BY user_id),
+flat AS (SELECT user_id, unnest(k) AS key, unnest(counts) AS n FROM last, kinds)
+SELECT user_id, key, n FROM flat WHERE n > 0
+""")
 def q_dynamic_sampler(spark, sf_dir):
-    """Draws of the balancing sampler, one sampler a user; sequential, so without SQL."""
+    """Draws of the balancing sampler, one sampler a user, each in order of its events."""
     drawn = S.dynamic_sample(_candidates(table(spark, sf_dir, "events")), "user_id", "event_id", "candidates", S.normalised(_EVENT_WEIGHTS))
     return drawn.groupBy("user_id", "key").agg(F.count("*").alias("n"))
 

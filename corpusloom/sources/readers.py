@@ -70,12 +70,13 @@ def read_coco(spark: SparkSession, path: str, split: str) -> DataFrame:
     return images.groupBy("i.filename").agg(F.max_by(captions, "pos").alias("captions"))
 
 
-def read_paragraphs(spark: SparkSession, path: str, ids_path: str) -> DataFrame:
-    """image, paragraph of items in the id list with url and paragraph."""
+def read_paragraphs(spark: SparkSession, path: str, ids_path: str, lines: bool = False) -> DataFrame:
+    """image, paragraph of items in the id list with url and paragraph. Both files are one JSON array, which one task
+    reads, or with `lines` any number of arrays, one a line."""
     from ..operators.bake import url_image
 
-    ids = spark.read.text(ids_path, wholetext=True).select(F.explode(F.from_json("value", "array<long>")).alias("image_id"))
-    items = spark.read.schema(PARAGRAPH).json(path, multiLine=True).where((F.length("url") > 0) & (F.length("paragraph") > 0))
+    ids = spark.read.text(ids_path, wholetext=not lines).select(F.explode(F.from_json("value", "array<long>")).alias("image_id"))
+    items = spark.read.schema(PARAGRAPH).json(path, multiLine=not lines).where((F.length("url") > 0) & (F.length("paragraph") > 0))
     return items.join(ids.distinct(), "image_id", "left_semi").select(url_image(F.col("url")).alias("image"), "paragraph")
 
 

@@ -31,8 +31,11 @@ ABBREVIATION, COLLOCATION, STARTER, POINTED = 0.3, 7.88, 30.0, 0.99
 
 #: A token is a run of other than white space; with what follows it, so that pieces add up to the text.
 PIECE = r"[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*"
-EDGES = r"""^["'(\[{«“‘„¿¡]+|["')\]}»”’,;:]+$"""
 NUMBER = r"^[-+]?[0-9]+([.,][0-9]+)*$"
+#: What may stand before and after a token; of the latter, signs that go on with the sentence.
+OPENING, CLOSING, GOING_ON = "\"'([{«“‘„¿¡", "\"')]}»”’", ",;:"
+#: OPENING and CLOSING as a pattern, for SQL.
+EDGES = r"""^["'(\[{«“‘„¿¡]+|["')\]}»”’,;:]+$"""
 
 
 def pieces(text: Column) -> Column:
@@ -40,44 +43,48 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 
 
-def _bare(piece: Column) -> Column:
-    return F.regexp_replace(piece, r"[ \t\n\x0B\f\r]+$", "")
+@dataclass
+class Token:
+    """Columns of a piece, of plain string functions. end: "," where the sentence goes on, "!" for an end mark, ".." for
+    an ellipsis, "." for a point, else empty."""
 
+    piece: Column
 
-def _type(core: Column) -> Column:
-    bare = F.lower(F.regexp_replace(core, r"[.!?]+$", ""))
-    return F.when(bare.rlike(NUMBER), "#").otherwise(bare)
+    def __post_init__(self):
+        self.bare = F.rtrim(self.piece, F.lit(" \t\n\x0b\f\r"))
+        self.core = F.ltrim(F.rtrim(self.bare, F.lit(CLOSING + GOING_ON)), F.lit(OPENING))
 
+    @property
+    def type(self) -> Column:
+        bare = F.lower(F.rtrim(self.core, F.lit(".!?")))
+        number = F.substring(bare, 1, 1).isin(*"0123456789+-") & bare.rlike(NUMBER)
+        return F.when(number, "#").otherwise(bare)
 
-def _token(piece: Column, core: Column) -> Column:
-    """type, whether it has a point, how it ends (a point, an ellipsis, an end mark, a comma or nothing), its case."""
-    end = (
-        F.when(piece.rlike(r"[,;:][\"')\]}»”’,;:]*$"), ",")
-        .when(core.rlike(r"[!?]$"), "!")
-        .when(core.rlike(r"\.\.$"), "..")
-        .when(core.rlike(r"\.$"), ".")
-        .otherwise("")
-    )
-    case = F.when(core.rlike(r"^\p{Lu}"), "upper").when(core.rlike(r"^\p{Ll}"), "lower").otherwise("none")
-    return F.struct(_type(core).alias("type"), (core.rlike(r"\.$") & ~core.rlike(r"\.\.$")).alias("point"), end.alias("end"), case.alias("case"))
+    @property
+    def point(self) -> Column:
+        return F.endswith(self.core, F.lit(".")) & ~F.endswith(self.core, F.lit(".."))
 
+    @property
+    def end(self) -> Column:
+        goes_on = F.right(F.rtrim(self.bare, F.lit(CLOSING)), F.lit(1)).isin(*GOING_ON)
+        return F.when(goes_on, ",").when(F.right(self.core, F.lit(1)).isin("!", "?"), "!").when(F.endswith(self.core, F.lit("..")), "..").when(F.endswith(self.core, F.lit(".")), ".").otherwise("")
 
-def tokens(pieces: Column) -> Column:
-    """type, point, end and case of each piece."""
-    bare = F.transform(pieces, _bare)
-    both = F.transform(bare, lambda p: F.struct(p.alias("p"), F.regexp_replace(p, EDGES, "").alias("core")))
-    return F.transform(both, lambda b: _token(b["p"], b["core"]))
+    @property
+    def case(self) -> Column:
+        first = F.substring(self.core, 1, 1)
+        return F.when(first != F.lower(first), "upper").when(first != F.upper(first), "lower").otherwise("none")
 
 
 def contexts(df: DataFrame, text: str = "text", group: str | None = None) -> DataFrame:
     """group, type, point, case, before (how the token before ends; start at the beginning of a text), after (the
     type of the token before if that has a point), n. The group keeps languages apart; one pass, one aggregate."""
     held = F.col(group) if group else F.lit(None).cast("string")
-    rows = df.where(F.col(text).isNotNull()).select(held.cast("string").alias("group"), tokens(pieces(F.col(text))).alias("t"))
-    first = F.struct(F.lit("").alias("type"), F.lit(False).alias("point"), F.lit("start").alias("end"), F.lit("none").alias("case"))
-    last = F.concat(F.array(first), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))))
-    each = rows.where(F.size("t") > 0).select("group", F.explode(F.arrays_zip(F.col("t").alias("x"), last.alias("y"))).alias("z"))
-    each = each.select("group", "z.x.type", "z.x.point", "z.x.case", F.col("z.y.end").alias("before"), F.when(F.col("z.y.point"), F.col("z.y.type")).alias("after"))
+    rows = df.where(F.col(text).isNotNull()).select(held.cast("string").alias("group"), pieces(F.col(text)).alias("p"))
+    last = F.concat(F.array(F.lit(None).cast("string")), F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))))
+    # exploded first, so that the columns of a token are compiled code
+    each = rows.where(F.size("p") > 0).select("group", F.explode(F.arrays_zip(F.col("p").alias("x"), last.alias("y"))).alias("z")).select("group", F.col("z.x").alias("x"), F.col("z.y").alias("y"))
+    x, y = Token(F.col("x")), Token(F.col("y"))
+    each = each.select("group", x.type.alias("type"), x.point.alias("point"), x.case.alias("case"), F.when(F.col("y").isNull(), "start").otherwise(y.end).alias("before"), F.when(y.point, y.type).alias("after"))
     return each.groupBy(*each.columns).agg(F.count("*").alias("n"))
 
 
@@ -169,10 +176,12 @@ def boundaries(df: DataFrame, model: Punkt, key: str, text: str = "text", group:
     """key, mark (a hash of the text), ends: the numbers, from 1, of the tokens a sentence ends with, but for the
     last one. Only tokens with a point leave their row, for the joins; rows without any aren't among the results."""
     held = F.col(group) if group else F.lit(None).cast("string")
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key), F.xxhash64(F.col(text)).alias("mark"), held.cast("string").alias("group"), tokens(pieces(F.col(text))).alias("t"))
-    following = F.slice("t", 2, 1 << 30)
-    each = rows.where(F.size("t") > 1).select(key, "mark", "group", F.posexplode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("x"), following.alias("y"))).alias("at", "z"))
-    each = each.where(F.col("z.x.end").isin(".", "..")).select(key, "mark", "group", (F.col("at") + 1).alias("at"), F.col("z.x.end").alias("end"), F.col("z.x.type").alias("type"), F.col("z.y.type").alias("next"), F.col("z.y.case").alias("case"))
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key), F.xxhash64(F.col(text)).alias("mark"), held.cast("string").alias("group"), pieces(F.col(text)).alias("p"))
+    following = F.slice("p", 2, 1 << 30)
+    each = rows.where(F.size("p") > 1).select(key, "mark", "group", F.posexplode(F.arrays_zip(F.slice("p", 1, F.size("p") - 1).alias("x"), following.alias("y"))).alias("at", "z"))
+    each = each.select(key, "mark", "group", (F.col("at") + 1).alias("at"), F.col("z.x").alias("x"), F.col("z.y").alias("y")).where(F.contains("x", F.lit(".")))
+    x, y = Token(F.col("x")), Token(F.col("y"))
+    each = each.where(x.end.isin(".", "..")).select(key, "mark", "group", "at", x.end.alias("end"), x.type.alias("type"), y.type.alias("next"), y.case.alias("case"))
     m = model
     each = each.join(m.abbreviations, _same("group", "a_group") & (F.col("type") == F.col("a_type")) & (F.col("end") == "."), "left")
     short = F.col("a_type").isNotNull()
@@ -202,7 +211,8 @@ def split_sentences(df: DataFrame, model: Punkt, key: str, text: str = "text", g
     found = boundaries(df, model, key, text, group).select(F.col(key).alias("__key"), F.col("mark").alias("__mark"), F.col("ends").alias("__ends"))
     rows = df.drop(out).withColumn("__pieces", pieces(F.col(text))).join(found, F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__mark")), "left")
     # end marks need no table
-    marks = F.filter(F.transform(tokens(F.col("__pieces")), lambda t, i: F.when(t["end"] == "!", i + 1)), lambda i: i.isNotNull())
+    marked = lambda p: (F.contains(p, F.lit("!")) | F.contains(p, F.lit("?"))) & (Token(p).end == "!")
+    marks = F.filter(F.transform("__pieces", lambda p, i: F.when(marked(p), i + 1)), lambda i: i.isNotNull())
     ends = F.array_sort(F.array_distinct(F.concat(F.coalesce("__ends", F.array().cast("array<int>")), marks, F.array(F.size("__pieces")))))
     rows = rows.withColumn("__ends", ends)
     starts = F.concat(F.array(F.lit(0)), F.slice("__ends", 1, F.size("__ends") - 1))

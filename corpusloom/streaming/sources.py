@@ -19,7 +19,7 @@ def file_stream(spark: SparkSession, path: str, files_at_once: int = 1000) -> Da
 
 
 def shuffled_batches(stream: DataFrame, key: str, path: str, checkpoint: str, seed: int = 0):
-    """Writes each micro-batch in a reproducible random order; the stand-in for a shuffle buffer."""
+    """Writes each micro-batch in a reproducible random order; across batches see buffer.shuffle_buffer."""
 
     def write(batch: DataFrame, no: int) -> None:
         order = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string")))
@@ -34,8 +34,12 @@ def with_dead_letters(stream: DataFrame, raw: str, schema: str, path: str, bad_p
 
     def write(batch: DataFrame, no: int) -> None:
         good = F.col("parsed").isNotNull() & F.col("parsed.__corrupt").isNull()
-        batch.where(good).select("parsed.*").drop("__corrupt").write.mode("overwrite").parquet(f"{path}/batch={no}")
-        batch.where(~good).select(raw).write.mode("overwrite").parquet(f"{bad_path}/batch={no}")
+        batch = batch.persist()  # read and parsed once for both outputs
+        try:
+            batch.where(good).select("parsed.*").drop("__corrupt").write.mode("overwrite").parquet(f"{path}/batch={no}")
+            batch.where(~good).select(raw).write.mode("overwrite").parquet(f"{bad_path}/batch={no}")
+        finally:
+            batch.unpersist()
 
     return parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

@@ -371,3 +371,16 @@ def test_trap_conversation(spark):
 def test_crc_folds_agree_with_zlib(spark):
     got = spark.range(50).select("id", F.crc32(F.col("id").cast("string")).alias("c")).collect()
     assert all(r.c == zlib.crc32(str(r.id).encode()) for r in got)
+
+
+def test_one_notice_thousands_of_times():
+    """Neighbouring windows grow into one as long as the text; the search stays in proportion to it."""
+    import time
+
+    from corpusloom.llm import licenses as S
+
+    s = S.Scanner()
+    start = time.time()
+    n, starts, labels, spans = s.scan("licensed under the mit licence " * 4000)
+    assert n == 20_000 and not starts and len(spans) == 4000 and {x[4] for x in spans} == {1}
+    assert len(s.scan("All rights reserved. " * 4000)[1]) == 4000 and time.time() - start < 30

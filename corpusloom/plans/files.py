@@ -138,8 +138,7 @@ def _parquet_names(spark, path):
     return [f.getPath().getName() for f in found if f.getPath().getName().endswith(".parquet")]
 
 
-@F.pandas_udf("binary")
-def _picture(keys: pd.Series) -> pd.Series:
+def _picture(key):
     """A PNG of four lines of six pixels by rule, every filter among its lines; some cut off, some no image at all."""
 
     def one(k: int) -> bytes:
@@ -147,7 +146,11 @@ def _picture(keys: pd.Series) -> pd.Series:
         data = I.encode_png(((k * 7 + x * 3 + y * 5 + c * 11) % 256).astype(np.uint8), (4, 1, 3, 2))
         return data[:-9] if k % 5 == 0 else b"GIF89a" if k % 5 == 1 else data
 
-    return keys.map(one)
+    @F.pandas_udf("binary")
+    def run(keys: pd.Series) -> pd.Series:
+        return keys.map(one)
+
+    return run(key)
 
 
 @query("""

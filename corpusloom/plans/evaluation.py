@@ -104,7 +104,8 @@ def q_meteor_stems(spark, sf_dir):
     found = MT.meteor(rows)
     stems = lambda c: F.transform(M.tokens(c), lambda w: MT.stem(w, "en"))
     both = rows.select("id", stems(F.col("prediction")).alias("h"), stems(F.col("references")[0]).alias("r"))
-    common = F.array_intersect("h", "r")
+    both = both.withColumn("common", F.array_intersect("h", "r"))  # a column, so as not to be made for each word
+    common = F.col("common")
     sole = both.select("id", ((F.size(F.filter("h", lambda w: F.array_contains(common, w))) == F.size(common)) & (F.size(F.filter("r", lambda w: F.array_contains(common, w))) == F.size(common))).alias("sole"))
     return found.join(sole, "id").select("id", "exact", "stems", F.when(F.col("sole"), F.col("chunks")).alias("sole_chunks"))
 

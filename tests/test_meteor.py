@@ -80,3 +80,14 @@ def test_scores(spark):
     assert got["b"].meteor == pytest.approx(p * r / (0.9 * p + 0.1 * r) * (1 - 0.5 / 8)) and (got["b"].exact, got["b"].stems) == (1, 1)
     assert all(got[k].meteor == 0 for k in "cdefg") and got["h"].exact == 1
     assert M.meteor(spark.createDataFrame(rows, "id string, prediction string, references array<string>").limit(0)).count() == 0
+
+
+def test_the_search_ends_where_no_alignment_can_be_better():
+    # twenty words, each at five places, whose neighbours never meet in the other's order: without the bound
+    # the search would go through all ways to place them
+    h = [f"w{i}" for i in range(20)]
+    r = h[::-1] * 5
+    assert M.aligned(h, r, h, r, nodes=1 << 60) == (20, 0, 20)
+    # one pair can meet, and does
+    r = [*r, "w3", "w4"]
+    assert M.aligned(h, r, h, r, nodes=1 << 60) == (20, 0, 19)

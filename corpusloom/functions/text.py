@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -148,13 +149,14 @@ def is_url(c: Column) -> Column:
     return F.startswith(c, F.lit("http"))
 
 
-def human_count(c: Column, compat: bool = False) -> Column:
-    """12345 as "12 K"; from 10^15 on in T (compat: divided once too often)."""
+def human_count(c: Column, compat: bool = False, largest: str = "T", ties: Callable[[Column], Column] = F.bround) -> Column:
+    """12345 as "12 K"; from 10^15 on in T (compat: divided once too often). largest: "B" has no T, all from 10^9 on is
+    in B. ties: how a number is rounded, by default a half to the even one."""
     n = c.cast("double")
-    show = lambda x, unit: F.concat(F.bround(x).cast("long").cast("string"), F.lit(unit))
+    show = lambda x, unit: F.concat(ties(x).cast("long").cast("string"), F.lit(unit))
     last = 1e15 if compat else 1e12
     over = F.when(n >= 1e15, show(n / last, " T")).otherwise(show(n / 1e12, " T"))
-    return F.when(n < 1e3, show(n, "")).when(n < 1e6, show(n / 1e3, " K")).when(n < 1e9, show(n / 1e6, " M")).when(n < 1e12, show(n / 1e9, " B")).otherwise(over)
+    return F.when(n < 1e3, show(n, "")).when(n < 1e6, show(n / 1e3, " K")).when(n < 1e9, show(n / 1e6, " M")).when((n < 1e12) | F.lit(largest == "B"), show(n / 1e9, " B")).otherwise(over)
 
 
 def size_text(c: Column) -> Column:

@@ -16,10 +16,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .batches import parts
 
 ORDER = 4
 #: N-grams whose frequencies are broadcast; more are joined by a shuffle.
 BROADCAST_GRAMS = 1_000_000
+#: N-grams after which a task passes a batch on.
+AT_ONCE = 1 << 16
 
 
 def tokens(c: Column) -> Column:
@@ -61,7 +64,7 @@ def bleu_sums(df: DataFrame, tokenizer=tokens) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sums = [0] * len(BLEU_SUMS)
-            for h, refs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for h, refs in ((h, refs) for p in parts([b]) for h, refs in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True)):
                 refs = [r for r in refs if r is not None]
                 counted = [_counts(r) for r in refs]
                 for n, own in enumerate(_counts(h)):
@@ -108,9 +111,13 @@ def cider(df: DataFrame, tokenizer=tokens, clipped: bool = True, sigma: float =
     rows = df.select("id", tokenizer(F.col("prediction")).alias("h"), F.transform("references", tokenizer).alias("r"))
     schema = f"id {kind.simpleString()}, ref int, n int, gram string, c long, d long, first int"
 
+    def passed(b: pa.RecordBatch, ids, places, orders, grams, own_n, ref_n, new) -> pa.RecordBatch:
+        out = [b.column(0).take(pa.array(ids, pa.int64())), pa.array(places, pa.int32()), pa.array(orders, pa.int32()), pa.array(grams, pa.string()), pa.array(own_n, pa.int64()), pa.array(ref_n, pa.int64()), pa.array(new, pa.int32())]
+        return pa.RecordBatch.from_arrays(out, ["id", "ref", "n", "gram", "c", "d", "first"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, places, orders, grams, own_n, ref_n, new = [], [], [], [], [], [], []
+        for b in parts(batches):
+            held = ids, places, orders, grams, own_n, ref_n, new = tuple([] for _ in range(7))
             for k, (h, refs) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 known = [set() for _ in range(ORDER)]
                 own = _counts(h or [])
@@ -126,8 +133,12 @@ def cider(df: DataFrame, tokenizer=tokens, clipped: bool = True, sigma: float =
                         # a sample counts once for a gram, whichever of its references hold it
                         new += [int(g in d and g not in known[n]) for g in both]
                         known[n].update(d)
-            out = [b.column(0).take(pa.array(ids, pa.int64())), pa.array(places, pa.int32()), pa.array(orders, pa.int32()), pa.array(grams, pa.string()), pa.array(own_n, pa.int64()), pa.array(ref_n, pa.int64()), pa.array(new, pa.int32())]
-            yield pa.RecordBatch.from_arrays(out, ["id", "ref", "n", "gram", "c", "d", "first"])
+                        if len(ids) >= AT_ONCE:
+                            yield passed(b, *held)
+                            for x in held:
+                                x.clear()
+            if ids:
+                yield passed(b, *held)
 
     grams = rows.mapInArrow(count, schema)
     # what only one sample holds needs no lookup; the rest is broadcast where it is small, so that common words' many

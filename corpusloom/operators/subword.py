@@ -11,10 +11,13 @@ import base64
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import parts
 from .vocabulary import matched
 
 # Fixed value: how the public rank files split text before their merges.
@@ -63,6 +66,9 @@ class Vocabulary:
         return [[i for p in ps for i in ([self.special[p]] if p in self.special else next(flat))] for ps in parts]
 
 
+#: Characters of the texts that are encoded at once: what a tokenizer returns takes some hundred bytes a token.
+AT_ONCE = 1 << 18
+
 _open: dict[tuple, Vocabulary] = {}
 
 
@@ -83,15 +89,19 @@ def token_ids(text: Column, path: str, special: Sequence[str] = (), before: Sequ
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocabulary = opened(path, special, pattern)
         for texts in batches:
-            out = pd.Series([None] * len(texts), dtype=object)
-            known = texts.notna().to_numpy().nonzero()[0]
-            for i, ids in zip(known, vocabulary.encode(texts.iloc[known].tolist()), strict=True):
-                out.iloc[i] = [*before, *ids, *after]
-            yield out
+            yield from (pd.Series(ids, dtype=object) for ids in encoded(vocabulary, texts, before, after))
 
     return run(text)
 
 
+def encoded(vocabulary: Vocabulary, texts: pd.Series, before: Sequence[int] = (), after: Sequence[int] = ()) -> Iterator[list[np.ndarray | None]]:
+    """Ids of the texts in their order, null of null; in lists of texts of about AT_ONCE characters."""
+    ends = texts.str.len().fillna(0).cumsum().to_numpy() // AT_ONCE if len(texts) else []
+    for _, some in texts.groupby(ends, sort=False):
+        ids = iter(vocabulary.encode(some[some.notna()].tolist()))
+        yield [np.array([*before, *next(ids), *after], np.int32) if known else None for known in some.notna()]
+
+
 def pieces(spark: SparkSession, path: str) -> DataFrame:
     """id, piece of a vocabulary: as many rows as it has, some ten thousands."""
     v = opened(path)
@@ -105,4 +115,15 @@ def vocabulary_match(spark: SparkSession, new: str, old: str, special: dict[int,
 
 def used_pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """id, n: how often each id stands in the texts; ids that don't aren't among the results."""
-    return docs.select(F.explode(token_ids(F.col(text), path)).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = opened(path)
+        n = np.zeros(vocabulary.size, np.int64)
+        for b in parts(batches):
+            for some in encoded(vocabulary, b.column(0).to_pandas()):
+                ids = [x for x in some if x is not None]
+                n += np.bincount(np.concatenate(ids), minlength=len(n)) if ids else 0
+        found = n.nonzero()[0]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(n[found])], ["id", "n"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows merged at once.
+ROWS = 1024
 MERGED = "struct<merged:string,conflicts:array<string>>"
 
 
@@ -54,31 +57,49 @@ def merge(default, override, known: bool = False, path: str = "$") -> tuple[obje
 
 def merged(default: Column, override: Column, known: bool = False) -> Column:
     """MERGED of two VARIANT columns; a null override changes nothing, a null default takes the override."""
+    return merged_all(default, [override], known)
+
+
+def merged_all(default: Column, overrides: list[Column], known: bool = False) -> Column:
+    """MERGED of a default and each of the overrides in turn, all VARIANT columns: one pass through one Python worker,
+    in parts of ROWS rows. Conflicts stand in the order of the overrides, of each sorted."""
 
     @F.pandas_udf(MERGED)
-    def run(defaults: pd.Series, overrides: pd.Series) -> pd.DataFrame:
-        out = []
-        for d, o in zip(defaults, overrides, strict=True):
-            if d is None or o is None:
-                out.append((o if d is None else d, []))
-                continue
-            value, conflicts = merge(json.loads(d), json.loads(o), known)
-            out.append((json.dumps(value, sort_keys=True, ensure_ascii=False), sorted(conflicts)))
-        return pd.DataFrame(out, columns=["merged", "conflicts"])
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            for at in range(0, len(columns[0]), ROWS):
+                rows = zip(*(c.iloc[at : at + ROWS] for c in columns), strict=True)
+                yield pd.DataFrame([_merged_row(d, o, known) for d, *o in rows], columns=["merged", "conflicts"])
 
-    return run(F.to_json(default), F.to_json(override))
+    return run(F.to_json(default), *map(F.to_json, overrides))
+
+
+def _merged_row(default: str | None, overrides: list[str | None], known: bool) -> tuple[str | None, list[str]]:
+    """Text of what the overrides make of a default, and the conflicts."""
+    value, told = None if default is None else json.loads(default), []
+    there = default is not None
+    for o in overrides:
+        if o is None:
+            continue
+        if not there:
+            value, there = json.loads(o), True
+            continue
+        value, more = merge(value, json.loads(o), known)
+        told += sorted(more)
+    return json.dumps(value, sort_keys=True, ensure_ascii=False) if there else None, told
 
 
 def with_overrides(df: DataFrame, default: str, overrides: list[str], out: str = "config", strict: bool = True, known: bool = False) -> DataFrame:
     """df with the VARIANT column `out`: the default with each of the overrides in turn, all VARIANT columns. strict: a
     conflict is an error that names all paths; otherwise they are told in <out>_conflicts."""
-    now, told = F.col(default), F.array().cast("array<string>")
+    told = F.array().cast("array<string>")
     rows = df.drop(out, f"{out}_conflicts")
     columns = rows.columns
-    rows = rows.withColumns({"__now": now, "__told": told})
-    for o in overrides:
-        rows = rows.withColumn("__m", merged(F.col("__now"), F.col(o), known))
-        rows = rows.withColumn("__now", F.parse_json("__m.merged")).withColumn("__told", F.concat("__told", F.coalesce("__m.conflicts", F.array().cast("array<string>")))).drop("__m")
+    if overrides:
+        rows = rows.withColumn("__m", merged_all(F.col(default), [F.col(o) for o in overrides], known))
+        rows = rows.withColumn("__now", F.parse_json("__m.merged")).withColumn("__told", F.coalesce("__m.conflicts", told)).drop("__m")
+    else:
+        rows = rows.withColumns({"__now": F.col(default), "__told": told})
     if strict:
         rows = rows.withColumn("__now", F.when(F.size("__told") > 0, F.raise_error(F.concat(F.lit("settings: "), F.array_join("__told", "; ")))).otherwise(F.col("__now")))
         return rows.select(*columns, F.col("__now").alias(out))

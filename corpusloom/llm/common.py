@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..storage import drop, new_path, written
 
-__all__ = ["WORD", "components", "drop", "kept", "lean", "new_path", "plus", "written"]
+__all__ = ["WORD", "components", "drop", "kept", "lean", "new_path", "plus", "released", "written"]
 
 #: A word is a run of characters other than ASCII white space (20, 09-0D).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,12 +33,17 @@ def lean(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Reco
             for i in range(0, b.num_rows, rows):
                 yield b.slice(i, rows)
     finally:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another libc
-            pass
+        released()
+
+
+def released() -> None:
+    """Gives back to the system what this process no longer holds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        pass
 
 
 _owner: list = [None, {}]

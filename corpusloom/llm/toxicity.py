@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, lean, plus
+from .common import kept, lean, plus, released
 
 #: Training takes at most so many toxic and ordinary rows, of texts up to so many characters.
 SAMPLE, ORDINARY, SAMPLE_CHARS = 2000, 4000, 20_000
@@ -69,15 +69,35 @@ def _twice(window: bytes) -> bytes:
     return bytes(out)
 
 
-def distinct(docs: list[list[bytes]]) -> list[list[bytes]]:
-    """Without those half of whose three-window runs stood in earlier ones: copies lend weight to chance."""
-    seen: set[int] = set()
+class _Seen:
+    """Hashes met so far, eight bytes each: sorted arrays whose sizes at least double from one to the next."""
+
+    def __init__(self):
+        self.levels: list[np.ndarray] = []
+
+    def fresh(self, hashes: np.ndarray) -> np.ndarray:
+        """Those of some distinct hashes that weren't met yet; all are met from now on."""
+        new = hashes
+        for level in self.levels:
+            at = np.minimum(np.searchsorted(level, new), len(level) - 1)
+            new = new[level[at] != new]
+        if len(new):
+            last = np.sort(new)
+            while self.levels and len(self.levels[-1]) < 2 * len(last):
+                last = np.sort(np.concatenate([self.levels.pop(), last]))
+            self.levels.append(last)
+        return new
+
+
+def distinct(docs: Iterable[list[bytes]]) -> list[list[bytes]]:
+    """Without those half of whose three-window runs stood in earlier ones: copies lend weight to chance. Documents come
+    one at a time and share the windows that are equal, so that copies and frequent words take no room."""
+    seen, one = _Seen(), {}
     out = []
     for d in docs:
-        runs = {hash(tuple(d[i : i + 3])) for i in range(max(1, len(d) - 2))}
-        if 2 * len(runs - seen) >= len(runs):
-            out.append(d)
-        seen |= runs
+        runs = np.unique(np.fromiter((hash(tuple(d[i : i + 3])) for i in range(max(1, len(d) - 2))), np.int64))
+        if 2 * len(seen.fresh(runs)) >= len(runs):
+            out.append([one.setdefault(w, w) for w in d])
     return out
 
 
@@ -188,14 +208,14 @@ def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
         w = np.zeros(FEATURES + 1)
         w[-1] = 30.0 if toxic else -30.0
         return Model(bytes(8), bytes(8), 0, np.zeros(FEATURES), np.ones(FEATURES), w)
-    hot, usual = (distinct([windows(t) for t in texts]) for texts in (toxic, ordinary))
+    hot, usual = (distinct(windows(t) for t in texts) for texts in (toxic, ordinary))
     make = lambda a, b: (trained(a, TOXIC_DOCS, TOXIC_SHARE, TOXIC_BYTES), trained(b, ORDINARY_DOCS, ORDINARY_SHARE, ORDINARY_BYTES))
     got, y = [], []
     for k in range(FOLDS):
         others = lambda x: [t for i, t in enumerate(x) if i % FOLDS != k] or x  # noqa: B023, E731
         d = Distance(*make(others(hot), others(usual)))
         for label, docs in ((1.0, hot[k::FOLDS]), (0.0, usual[k::FOLDS])):
-            got += [d.lengths(t) for t in docs]
+            got += [d.lengths(t).astype(np.int32) for t in docs]
             y += [label] * len(docs)
     least = min(int((x & 0xFFFF).min()) for x in got)
     target = np.array(y)
@@ -219,7 +239,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ordinary: in
     near = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, _bar(sample, counts.get(1, 0))).otherwise(_bar(ordinary, counts.get(0, 0))))
     rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(near, "doc_id").withColumn("order", F.xxhash64("doc_id", "text"))
     got = {k: [r.text for r in rows.where(F.col("toxic") == k).orderBy("order", "text").limit(most[k]).collect()] for k in (1, 0)}
-    return fit(got[1], got[0], min(max(share, 1e-3), 1 - 1e-3))
+    try:
+        return fit(got[1], got[0], min(max(share, 1e-3), 1 - 1e-3))
+    finally:  # the driver's process lives on
+        got.clear()
+        released()
 
 
 def _bar(sample: int, count: int) -> int:

@@ -384,3 +384,22 @@ def test_one_notice_thousands_of_times():
     n, starts, labels, spans = s.scan("licensed under the mit licence " * 4000)
     assert n == 20_000 and not starts and len(spans) == 4000 and {x[4] for x in spans} == {1}
     assert len(s.scan("All rights reserved. " * 4000)[1]) == 4000 and time.time() - start < 30
+
+
+def test_hashes_met_are_told_and_take_eight_bytes_each():
+    import random
+
+    import numpy as np
+
+    from corpusloom.llm.toxicity import _Seen, distinct
+
+    rng, seen, plain = random.Random(5), _Seen(), set()
+    for _ in range(300):
+        some = {rng.randrange(2000) - 1000 for _ in range(rng.randrange(40))}
+        assert set(seen.fresh(np.array(sorted(some), np.int64)).tolist()) == some - plain
+        plain |= some
+    assert sum(map(len, seen.levels)) == len(plain) and len(seen.levels) <= 11
+    # documents may come one at a time; equal windows are one object
+    docs = [[b"a", b"b", b"c", bytes([100 + i])] for i in range(3)] + [[b"a", b"b", b"c", b"d"]]
+    kept = distinct([bytes(w) for w in d] for d in docs)
+    assert kept == docs[:3] and kept[0][0] is kept[1][0]

@@ -15,18 +15,23 @@ from __future__ import annotations
 
 import io
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+import pyarrow as pa
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..operators.batches import parts
 from .readers import braces
 
 #: Bytes that a task reads at most (a shard isn't divided) and, of small inputs, at least; tasks that small inputs are
 #: divided among; what opening a file counts as; a block of a tar file.
 TASK_BYTES, LEAST_BYTES, TASKS, OPEN_BYTES, BLOCK = 128 << 20, 1 << 20, 64, 1 << 14, 512
 
+#: Bytes and members after which a reading task passes a batch on.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 10_000
+
 SCHEMA = "shard string, key string, name string, ext string, data binary"
 
 
@@ -112,6 +117,29 @@ def members(path: str, errors: str = "skip") -> Iterator[tuple]:
                 print(f"{path}: {e}")
 
 
+def in_batches(rows: Iterable[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of `members` as batches of about BATCH_BYTES, as data are of any size."""
+    held: list[tuple] = []
+    size = 0
+
+    def passed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "data" else pa.string()) for n, c in zip(names, zip(*held, strict=True), strict=True)], names)
+
+    for row in rows:
+        held.append(row)
+        size += len(row[4] or b"")
+        if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+            yield passed()
+            held.clear()
+            size = 0
+    if held:
+        yield passed()
+
+
+def columns(errors: str) -> list[str]:
+    return [c.split()[0] for c in SCHEMA.split(", ")] + (["error"] if errors == "rows" else [])
+
+
 @dataclass
 class Shard(InputPartition):
     paths: list[str]
@@ -133,8 +161,7 @@ class TarReader(DataSourceReader):
         return [Shard(g) for g in grouped(files, most)] or [Shard([])]
 
     def read(self, partition: Shard):
-        for path in partition.paths:
-            yield from members(path, self.errors)
+        yield from in_batches((m for path in partition.paths for m in members(path, self.errors)), columns(self.errors))
 
 
 class TarStream(DataSourceStreamReader):
@@ -159,13 +186,12 @@ class TarStream(DataSourceStreamReader):
         return [Shard([random.Random(f"{self.seed}-{i}").choice(known)]) for i in range(start["n"], end["n"])] if known else []
 
     def read(self, partition: Shard):
-        for path in partition.paths:
-            yield from members(path, self.errors)
+        yield from in_batches((m for path in partition.paths for m in members(path, self.errors)), columns(self.errors))
 
     def commit(self, end: dict): ...
 
 
-class TarWriter(DataSourceWriter):
+class TarWriter(DataSourceArrowWriter):
     """Rows with key and data (ext: data if there is none) become shards of at most per_shard keys; each
     task writes its own files under temporary names, which the commit puts in place. A row's shard, if
     it has a number for one, names its file; where a shard's rows came in several files (from several
@@ -175,7 +201,7 @@ class TarWriter(DataSourceWriter):
     def __init__(self, path: str, schema: StructType, per_shard: int, overwrite: bool):
         self.path, self.names, self.per_shard, self.overwrite = path, schema.names, per_shard, overwrite
 
-    def write(self, rows):
+    def write(self, iterator):
         from pyspark import TaskContext
 
         task = TaskContext.get()
@@ -184,8 +210,7 @@ class TarWriter(DataSourceWriter):
         files: list[tuple[str, str]] = []
         tar = out = last = here = None
         keys = 0
-        for row in rows:
-            r = row.asDict()
+        for r in (r for part in parts(iterator) for r in part.to_pylist()):
             shard = str(r["shard"]) if r.get("shard") is not None and str(r["shard"]).isdigit() else None
             if r["key"] != last:
                 keys, last = keys + 1, r["key"]

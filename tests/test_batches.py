@@ -55,3 +55,15 @@ def test_settings_go_through_python_once(spark):
     got = C.with_overrides(rows, "d", ["x", "y", "z"], strict=False)
     assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert [(r.c, r.config_conflicts) for r in got.select(F.to_json("config").alias("c"), "config_conflicts").collect()] == [('{"a":1,"b":[1]}', ["$.a: text for whole number"]), ('{"a":3}', []), ('{"a":1}', [])]
+
+
+def test_tar_members_are_passed_on_by_bytes():
+    from corpusloom.sources import tar as T
+
+    rows = [("s", f"k{i}", f"k{i}.txt", "txt", bytes(1 << 20)) for i in range(10)] + [("s", "e", "e.txt", "txt", b""), ("s", "t", "t.txt", "txt", None)]
+    got = list(T.in_batches(iter(rows), T.columns("skip")))
+    assert [b.num_rows for b in got] == [4, 4, 4] and [tuple(r.values()) for b in got for r in b.to_pylist()] == rows
+    assert got[0].schema.names == ["shard", "key", "name", "ext", "data"] and T.columns("rows")[-1] == "error" and list(T.in_batches([], T.columns("rows"))) == []
+    assert sum(b.num_rows for b in T.in_batches([("s", "k", "n", "e", b"")] * 25_000, T.columns("skip"))) == 25_000
+    # tasks read and write batches, not rows
+    assert isinstance(next(T.TarReader("/nowhere/{1..0}", "skip", 1).read(T.Shard([])), None), type(None)) and issubclass(T.TarWriter, T.DataSourceArrowWriter)

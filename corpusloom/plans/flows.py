@@ -13,6 +13,10 @@ from ..streaming.sources import file_stream
 from .registry import query, table
 
 
+#: Rows of a file of events, and files of a micro-batch.
+EVENTS_A_FILE, FILES_AT_ONCE = 100_000, 4
+
+
 def _long_enough(row: dict) -> dict:
     if row["n_chars"] < 200:
         raise Refused("short")
@@ -65,18 +69,22 @@ def q_observed_counts(spark, sf_dir):
 
 @query("SELECT user_id % 8 AS worker, count(*) AS n, sum(event_id)::BIGINT AS ids, count(DISTINCT event_id) AS different, round(sum(coalesce(value, 0)), 4) AS total FROM events GROUP BY 1")
 def q_shuffle_buffer(spark, sf_dir):
-    """Every event through a stream's shuffle buffer, eight workers of 200 records, emptied at their last event."""
-    path = f"{sf_dir}/events.parquet"
-    worker = F.col("user_id") % 8
-    ends = {r.worker: r.last for r in spark.read.parquet(path).groupBy(worker.alias("worker")).agg(F.max("event_id").alias("last")).collect()}  # eight rows
-    last = F.col("event_id") == F.create_map(*(F.lit(x).cast("long") for kv in ends.items() for x in kv))[F.col("worker")]
+    """Every event through a stream's shuffle buffer, eight workers of 200 records, emptied at a mark after their last event.
+
+    Events come in files of EVENTS_A_FILE rows and the marks in one file after them, so that a micro-batch, whose
+    rows of a worker are held in Python, has FILES_AT_ONCE of them however many there are."""
+    path = new_path(spark, "events")
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 8).cast("long").alias("worker"), "event_id", "value", F.lit(True).alias("record"))
+    events.repartition(max(1, -(-events.count() // EVENTS_A_FILE))).write.parquet(path)
+    none = [F.lit(None).cast(t).alias(c) for c, t in events.dtypes[1:]]
+    events.select("worker").distinct().select("worker", *none).coalesce(1).write.mode("append").parquet(path)  # eight rows
     out, state = new_path(spark, "buffer"), new_path(spark, "buffer-state")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, STORE)
     try:
-        stream = file_stream(spark, path).select(worker.cast("long").alias("worker"), "event_id", "value")
-        q = shuffle_buffer(stream, "worker", F.col("event_id"), 200, 3, last).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        stream = file_stream(spark, path, FILES_AT_ONCE)
+        q = shuffle_buffer(stream, "worker", F.coalesce("event_id", F.lit((1 << 63) - 1)), 200, 3, F.col("record").isNull()).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)

@@ -5,7 +5,8 @@ record that comes takes the place of one drawn at random, which goes out. What i
 order, when the worker's end comes: a record marked as its last, or a time without any.
 
 A record is a row of a map in the state store, by the number of its place, so that a batch reads and writes only
-the places drawn. State and output are committed together by the query's checkpoint. Places are drawn by a
+the places drawn. A micro-batch's rows of a worker are held in Python while they are put in order, so its size must be
+bounded by the source (files_at_once of `file_stream`). State and output are committed together by the query's checkpoint. Places are drawn by a
 hash of seed, worker and the number of draws so far, so that a batch which is run again draws the same.
 """
 

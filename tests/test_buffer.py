@@ -82,3 +82,24 @@ def test_idle_workers_are_emptied(spark, store, tmp_path):
     finally:
         q.stop()
     assert sorted(rows) == list(range(30))
+
+
+def test_the_query_s_batches_are_bounded(spark, monkeypatch):
+    """Events of many files pass in as many micro-batches as their number asks for, and none is lost."""
+    from corpusloom.plans import flows
+
+    from .conftest import DATA
+
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    n = events.count()
+    monkeypatch.setattr(flows, "EVENTS_A_FILE", -(-n // 6))
+    monkeypatch.setattr(flows, "FILES_AT_ONCE", 2)
+    paths = {}
+    whole = flows.new_path
+    monkeypatch.setattr(flows, "new_path", lambda spark, tag: paths.setdefault(tag, whole(spark, tag)))
+    held = {r.worker: (r.n, r.ids, r.different) for r in flows.q_shuffle_buffer(spark, DATA).collect()}
+    plain = events.groupBy((F.col("user_id") % 8).alias("worker")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")).collect()
+    assert held == {r.worker: (r.n, r.ids, r.n) for r in plain}
+    assert len(spark.read.parquet(paths["events"]).inputFiles()) == 7
+    offsets = spark.read.text(f"{paths['buffer-state']}/offsets").inputFiles()
+    assert len(offsets) == 4

@@ -1,8 +1,8 @@
 """Sentence boundaries learned from the corpus itself, without a list of abbreviations.
 
 One pass over the texts counts contexts: how often a word type stands after what kind of token, in which
-case, with or without a point. All that is learned comes from this one table, which is far smaller than
-the texts:
+case, with or without a point. Words are counted as they are written; their columns are made of the counted
+ones, which are far fewer than the texts' words. All that is learned comes from this one table:
 
 * abbreviations: types whose points are too frequent to be sentence ends, by a log-likelihood ratio that is
   scaled down for long types and for those seen without a point, and up for points inside;
@@ -10,20 +10,21 @@ the texts:
 * collocations: pairs that stand around a point more often than chance has it;
 * starters: types that follow sentence ends more often than chance has it.
 
-A text is then cut in two passes. The first takes a point for a sentence end unless its type is an
-abbreviation; the second looks again at abbreviations, ellipses, initials and numbers, and decides by the
-word that follows. Decisions are joins of these few tokens with the learned tables, so that tables of any
+A text is then cut at every token that can end a sentence. Most do; abbreviations, ellipses, initials and
+numbers are looked at again, by the word that follows, and where the sentence goes on the parts are put
+together. Decisions are joins of these few tokens with the learned tables, so that tables of any
 size are shuffled or broadcast as Spark sees fit.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
 from ..storage import drop, written
 
 # Fixed values of the published method: the least scores, and the probability of a point after an abbreviation.
@@ -31,33 +32,50 @@ ABBREVIATION, COLLOCATION, STARTER, POINTED = 0.3, 7.88, 30.0, 0.99
 
 #: A token is a run of other than white space; with what follows it, so that pieces add up to the text.
 PIECE = r"[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*"
+WORD = r"[^ \t\n\x0B\f\r]+"
+#: A number, for SQL; and as two patterns, of which the second mustn't match, that need no stack for a number of many parts.
 NUMBER = r"^[-+]?[0-9]+([.,][0-9]+)*$"
+DIGITS, DOUBLED = r"^[-+]?[0-9](?:[0-9.,]*[0-9])?\z", r"[.,][.,]"
 #: What may stand before and after a token; of the latter, signs that go on with the sentence.
 OPENING, CLOSING, GOING_ON = "\"'([{«“‘„¿¡", "\"')]}»”’", ",;:"
 #: OPENING and CLOSING as a pattern, for SQL.
 EDGES = r"""^["'(\[{«“‘„¿¡]+|["')\]}»”’,;:]+$"""
+#: As few pieces as end with one whose Token.end is ".", ".." or "!"; then what is left. Without nested repeats, so that
+#: long texts need neither stack nor a second look.
+PART = r"""(?s)[^.!?]*+.*?[.!?]["')\]}»”’]*+(?:[ \t\n\x0B\f\r]++|\z)|(?s).+"""
+#: The last token of a part, in group 1.
+LAST = r"(?s)^(?:.*[ \t\n\x0B\f\r])?([^ \t\n\x0B\f\r]+)[ \t\n\x0B\f\r]*\z"
 
+#: What `strip` leaves of a text, in group 1; unlike its pattern this one doesn't stop at the white space within.
+STRIPPED = r"(?sU)^[\s\x1c-\x1f]*+(.*[^\s\x1c-\x1f])?"
 
-def pieces(text: Column) -> Column:
-    """A text's tokens, each with the white space after it."""
-    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+
+def parts(text: Column) -> Column:
+    """A text cut after every token that can end a sentence; white space of a whole text is a part."""
+    return F.regexp_extract_all(text, F.lit(PART), F.lit(0))
 
 
 @dataclass
 class Token:
-    """Columns of a piece, of plain string functions. end: "," where the sentence goes on, "!" for an end mark, ".." for
+    """Columns of a token, of plain string functions. end: "," where the sentence goes on, "!" for an end mark, ".." for
     an ellipsis, "." for a point, else empty."""
 
-    piece: Column
+    core: Column
+    tail: Column
+
+    @classmethod
+    def of(cls, word: Column) -> Token:
+        return cls(F.ltrim(F.rtrim(word, F.lit(CLOSING + GOING_ON)), F.lit(OPENING)), F.rtrim(word, F.lit(CLOSING)))
 
-    def __post_init__(self):
-        self.bare = F.rtrim(self.piece, F.lit(" \t\n\x0b\f\r"))
-        self.core = F.ltrim(F.rtrim(self.bare, F.lit(CLOSING + GOING_ON)), F.lit(OPENING))
+    @classmethod
+    def held(cls, core: str, tail: str) -> Token:
+        """Of columns that were selected before, so that no branch trims a token again."""
+        return cls(F.col(core), F.col(tail))
 
     @property
     def type(self) -> Column:
         bare = F.lower(F.rtrim(self.core, F.lit(".!?")))
-        number = F.substring(bare, 1, 1).isin(*"0123456789+-") & bare.rlike(NUMBER)
+        number = F.substring(bare, 1, 1).isin(*"0123456789+-") & bare.rlike(DIGITS) & ~bare.rlike(DOUBLED)
         return F.when(number, "#").otherwise(bare)
 
     @property
@@ -66,7 +84,7 @@ class Token:
 
     @property
     def end(self) -> Column:
-        goes_on = F.right(F.rtrim(self.bare, F.lit(CLOSING)), F.lit(1)).isin(*GOING_ON)
+        goes_on = F.right(self.tail, F.lit(1)).isin(*GOING_ON)
         return F.when(goes_on, ",").when(F.right(self.core, F.lit(1)).isin("!", "?"), "!").when(F.endswith(self.core, F.lit("..")), "..").when(F.endswith(self.core, F.lit(".")), ".").otherwise("")
 
     @property
@@ -77,15 +95,22 @@ class Token:
 
 def contexts(df: DataFrame, text: str = "text", group: str | None = None) -> DataFrame:
     """group, type, point, case, before (how the token before ends; start at the beginning of a text), after (the
-    type of the token before if that has a point), n. The group keeps languages apart; one pass, one aggregate."""
+    type of the token before if that has a point), n. The group keeps languages apart; one pass, one aggregate, by
+    the words as written: a context has a row for each of its spellings."""
     held = F.col(group) if group else F.lit(None).cast("string")
-    rows = df.where(F.col(text).isNotNull()).select(held.cast("string").alias("group"), pieces(F.col(text)).alias("p"))
-    last = F.concat(F.array(F.lit(None).cast("string")), F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))))
-    # exploded first, so that the columns of a token are compiled code
-    each = rows.where(F.size("p") > 0).select("group", F.explode(F.arrays_zip(F.col("p").alias("x"), last.alias("y"))).alias("z")).select("group", F.col("z.x").alias("x"), F.col("z.y").alias("y"))
-    x, y = Token(F.col("x")), Token(F.col("y"))
-    each = each.select("group", x.type.alias("type"), x.point.alias("point"), x.case.alias("case"), F.when(F.col("y").isNull(), "start").otherwise(y.end).alias("before"), F.when(y.point, y.type).alias("after"))
-    return each.groupBy(*each.columns).agg(F.count("*").alias("n"))
+    rows = df.where(F.col(text).isNotNull()).select(held.cast("string").alias("group"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("p"))
+    last = F.slice(F.concat(F.array(F.lit(None).cast("string")), "p"), F.lit(1), F.size("p"))
+    # exploded first, so that the columns of a token are compiled code; a filter on p would find the words once more
+    each = rows.select("group", F.explode(F.arrays_zip(F.col("p").alias("x"), last.alias("y"))).alias("z")).select("group", F.col("z.x").alias("x"), F.col("z.y").alias("y"))
+    # a token without these signs has neither an end nor a point
+    signs, y = reduce(or_, [F.contains("y", F.lit(c)) for c in GOING_ON + ".!?"]), Token.of(F.col("y"))
+    each = each.select("group", "x", F.col("y").isNull().alias("start"), F.when(signs, y.core).alias("core"), F.when(signs, y.tail).alias("tail"))
+    y = Token.held("core", "tail")
+    before = F.when(F.col("start"), "start").when(F.col("core").isNull(), "").otherwise(y.end)
+    each = each.select("group", "x", before.alias("before"), F.when(y.point, y.type).alias("after"))
+    counted, x = each.groupBy(*each.columns).agg(F.count("*").alias("n")), Token.of(F.col("x"))
+    counted, x = counted.select("*", x.core.alias("core"), x.tail.alias("tail")), Token.held("core", "tail")
+    return counted.select("group", x.type.alias("type"), x.point.alias("point"), x.case.alias("case"), "before", "after", "n")
 
 
 def _binomial(k: Column, n: Column, p: Column) -> Column:
@@ -118,7 +143,7 @@ def _association(c1: Column, c2: Column, both: Column, n: Column) -> Column:
 
 
 def _initial(c: Column) -> Column:
-    return c.rlike(r"^\p{L}$")
+    return c.rlike(r"^\p{L}\z")
 
 
 @dataclass
@@ -172,23 +197,25 @@ def learned(df: DataFrame, text: str = "text", group: str | None = None) -> Punk
     return out
 
 
-def boundaries(df: DataFrame, model: Punkt, key: str, text: str = "text", group: str | None = None) -> DataFrame:
-    """key, mark (a hash of the text), ends: the numbers, from 1, of the tokens a sentence ends with, but for the
-    last one. Only tokens with a point leave their row, for the joins; rows without any aren't among the results."""
+def continued(df: DataFrame, model: Punkt, key: str, text: str = "text", group: str | None = None) -> DataFrame:
+    """key, mark (a hash of the text), on: the numbers, from 1, of the parts after which the sentence goes on. Only last
+    tokens with a point leave their row, for the joins; rows whose parts all are sentences aren't among the results."""
     held = F.col(group) if group else F.lit(None).cast("string")
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key), F.xxhash64(F.col(text)).alias("mark"), held.cast("string").alias("group"), pieces(F.col(text)).alias("p"))
-    following = F.slice("p", 2, 1 << 30)
-    each = rows.where(F.size("p") > 1).select(key, "mark", "group", F.posexplode(F.arrays_zip(F.slice("p", 1, F.size("p") - 1).alias("x"), following.alias("y"))).alias("at", "z"))
-    each = each.select(key, "mark", "group", (F.col("at") + 1).alias("at"), F.col("z.x").alias("x"), F.col("z.y").alias("y")).where(F.contains("x", F.lit(".")))
-    x, y = Token(F.col("x")), Token(F.col("y"))
-    each = each.where(x.end.isin(".", "..")).select(key, "mark", "group", "at", x.end.alias("end"), x.type.alias("type"), y.type.alias("next"), y.case.alias("case"))
+    rows = df.where(F.contains(F.col(text), F.lit("."))).select(F.col(key), F.xxhash64(F.col(text)).alias("mark"), held.cast("string").alias("group"), parts(F.col(text)).alias("p"))
+    # found before they are exploded, as a filter would find them once more
+    last = F.transform(F.slice("p", F.lit(1), F.greatest(F.size("p") - 1, F.lit(0))), lambda c: F.regexp_extract(c, LAST, 1))
+    following = F.transform(F.slice("p", 2, 1 << 30), lambda c: F.regexp_extract(c, WORD, 0))
+    each = rows.select(key, "mark", "group", F.posexplode(F.arrays_zip(last.alias("x"), following.alias("y"))).alias("at", "z"))
+    x, y = Token.of(F.col("z.x")), Token.of(F.col("y"))
+    each = each.where(F.endswith(x.tail, F.lit("."))).select(key, "mark", "group", (F.col("at") + 1).alias("at"), x.core.alias("core"), x.tail.alias("tail"), F.col("z.y").alias("y"))
+    x = Token.held("core", "tail")
+    each = each.select(key, "mark", "group", "at", x.end.alias("end"), x.type.alias("type"), "y")
     m = model
     each = each.join(m.abbreviations, _same("group", "a_group") & (F.col("type") == F.col("a_type")) & (F.col("end") == "."), "left")
     short = F.col("a_type").isNotNull()
     initial, number = _initial(F.col("type")), F.col("type") == "#"
-    each = each.withColumn("open", (F.col("end") == "..") | short | initial | number)
-    plain = each.where("not open").select(key, "mark", "at")
-    hard = each.where("open").join(m.spelling, _same("group", "s_group") & (F.col("next") == F.col("s_type")), "left")
+    hard = each.where((F.col("end") == "..") | short | initial | number).select("*", y.type.alias("next"), y.case.alias("case")).drop("y")
+    hard = hard.join(m.spelling, _same("group", "s_group") & (F.col("next") == F.col("s_type")), "left")
     hard = hard.join(m.collocations, _same("group", "c_group") & (F.col("type") == F.col("c_one")) & (F.col("next") == F.col("c_two")), "left")
     hard = hard.join(m.starters, _same("group", "b_group") & (F.col("next") == F.col("b_type")), "left")
     seen = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
@@ -202,20 +229,18 @@ def boundaries(df: DataFrame, model: Punkt, key: str, text: str = "text", group:
         .when(initial & never, False)
         .otherwise(~short)
     )
-    return plain.union(hard.where(ends).select(key, "mark", "at")).groupBy(key, "mark").agg(F.array_sort(F.collect_set("at")).alias("ends"))
+    return hard.where(~ends).groupBy(key, "mark").agg(F.array_sort(F.collect_set("at")).alias("on"))
 
 
 def split_sentences(df: DataFrame, model: Punkt, key: str, text: str = "text", group: str | None = None, out: str = "sentences") -> DataFrame:
     """df with the sentences of its texts: their pieces joined and stripped, null for null texts, none for texts
     of white space alone. key needs not be unique: rows that share it and their text share the result."""
-    found = boundaries(df, model, key, text, group).select(F.col(key).alias("__key"), F.col("mark").alias("__mark"), F.col("ends").alias("__ends"))
-    rows = df.drop(out).withColumn("__pieces", pieces(F.col(text))).join(found, F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__mark")), "left")
-    # end marks need no table
-    marked = lambda p: (F.contains(p, F.lit("!")) | F.contains(p, F.lit("?"))) & (Token(p).end == "!")
-    marks = F.filter(F.transform("__pieces", lambda p, i: F.when(marked(p), i + 1)), lambda i: i.isNotNull())
-    ends = F.array_sort(F.array_distinct(F.concat(F.coalesce("__ends", F.array().cast("array<int>")), marks, F.array(F.size("__pieces")))))
-    rows = rows.withColumn("__ends", ends)
+    found = continued(df, model, key, text, group).select(F.col(key).alias("__key"), F.col("mark").alias("__mark"), F.col("on").alias("__on"))
+    # texts are shuffled whole, and cut after that
+    rows = df.drop(out).join(found, F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__mark")), "left").withColumn("__parts", parts(F.col(text)))
+    ends = F.array_except(F.sequence(F.lit(1), F.size("__parts")), "__on")
     starts = F.concat(F.array(F.lit(0)), F.slice("__ends", 1, F.size("__ends") - 1))
-    cut = F.transform(F.arrays_zip(starts.alias("a"), F.col("__ends").alias("b")), lambda z: strip(F.array_join(F.slice("__pieces", z["a"] + 1, z["b"] - z["a"]), "")))
+    joined = F.transform(F.arrays_zip(starts.alias("a"), F.col("__ends").alias("b")), lambda z: F.array_join(F.slice("__parts", z["a"] + 1, z["b"] - z["a"]), ""))
+    rows = rows.withColumn("__ends", F.when(F.col("__on").isNotNull(), ends))
+    cut = F.transform(F.when(F.col("__ends").isNull(), F.col("__parts")).otherwise(joined), lambda s: F.regexp_extract(s, STRIPPED, 1))
     return rows.withColumn(out, F.when(F.col(text).isNotNull(), F.filter(cut, lambda s: s != ""))).select(*df.drop(out).columns, out)
-

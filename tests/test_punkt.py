@@ -196,3 +196,45 @@ def test_annotations_of_learned_sentences(spark):
     assert [(r.prompt[-18:], r.output) for r in rows] == [("<LANG_EN><CAPTION>", "He saw old Dr. Smith near the river."), ("<DETAILED_CAPTION>", texts[-1][1])]
     # the rule cuts after the title too, and so takes it for three sentences
     assert A.caption_annotations(cut, "id", "lang", "text").collect()[0].output == "He saw old Dr."
+
+
+def test_texts_are_cut_once_a_pass_and_travel_whole(spark):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(written_texts("en"))], "id int, text string, lang string").repartition(2)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    counted = plan(K.contexts(df, group="lang"))
+    assert counted.count("regexp_extract_all(") == 1  # not in a filter once more
+    # words are counted before their columns are made: that of the case stands above the aggregate
+    assert 0 <= counted.index("AS case#") < counted.index("Aggregate [")
+    model = K.learned(df, group="lang")
+    cut = K.split_sentences(df, model, "id", group="lang")
+    assert plan(cut).count("regexp_extract_all(") == 2  # to look for sentences that go on, and to cut
+    joined = next(line for line in plan(cut).splitlines() if "Join LeftOuter" in line and "xxhash64" in line)
+    above = plan(cut)[: plan(cut).index(joined)]
+    assert above.count("regexp_extract_all(") == 1  # texts meet their marks whole
+    model.drop()
+
+
+def test_parts_end_where_a_sentence_can(spark):
+    rng = random.Random(7)
+    odd = [".", "!", "?", ",", ";", '"', "'", ")", "”", "«", "(", "a", "B", "é", "7", "-", " ", " ", "\n", "\t", "\x0b", "\xa0", "\u2028", "\x1c", "😀"]
+    texts = ["".join(rng.choices(odd, k=rng.randint(0, 60))) for _ in range(1500)] + ["", "  ", ".", " . ", "a.b.c", 'x." y', "... ?!", "1.2." * 20_000, "a" * 50_000 + ". B", ("w " * 5_000 + "end. ") * 2, "." + ")" * 5_000 + "x. Y", "." + " " * 5_000 + "Y", "e.g. " * 2_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(8)
+    got = {r.id: (r.p, r.l) for r in df.select("id", K.parts(F.col("text")).alias("p"), F.transform(K.parts(F.col("text")), lambda c: F.regexp_extract(c, K.LAST, 1)).alias("l")).collect()}
+    for i, t in enumerate(texts):
+        cut, last = got[i]
+        assert "".join(cut) == t
+        pieces, want, now = re.findall(K.PIECE, t), [], []
+        for p in pieces:
+            now.append(p)
+            if plain_token(p)[2] in (".", "..", "!"):
+                want.append(now)
+                now = []
+        want += [now] if now else []
+        assert [c.lstrip(WS) for c in cut if c.strip(WS)] == ["".join(w) for w in want]
+        assert [w for w in last if w] == [w[-1].rstrip(WS) for w in want]
+    # and so do the sentences of such texts
+    model, plain = K.learned(df), PlainPunkt(texts)
+    edge = re.compile(r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$")
+    for r in K.split_sentences(df, model, "id").collect():
+        assert r.sentences == [s for s in (edge.sub("", s) for s in plain.split(texts[r.id])) if s]
+    model.drop()
